@@ -1,0 +1 @@
+"""Every input of the study is a finished yearly table, so there is no streaming operator."""
