@@ -16,7 +16,9 @@ LOOKUP_DOMAIN = {"female": (0, 1), "age": (0, 130), "employment_status_t1": (0,
 def _bounded(table: DataFrame, keys: list[str]) -> DataFrame:
     """Lookup table cut to the fixed domain of its keys, one row per key, ready to broadcast."""
     for key in keys:
-        table = table.filter(F.col(key).cast("int") == F.col(key)).filter(F.col(key).between(*LOOKUP_DOMAIN[key]))
+        if dict(table.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{key} must be a whole number")
+        table = table.filter(F.col(key).between(*LOOKUP_DOMAIN[key]))
     values = [c for c in table.columns if c not in keys]
     return F.broadcast(table.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values]))
 
@@ -54,20 +56,19 @@ def merge_extracts_outer(new: DataFrame, old: DataFrame) -> DataFrame:
         *[F.col(f"o.{c}") for c in old.columns if c not in keys + shared])
 
 
-def _seen_next_year(df: DataFrame, how: str) -> DataFrame:
-    later = df.select("pid", (F.col("year") - 1).alias("year"))
-    return df.join(later, ["pid", "year"], how)
+def _year_before(df: DataFrame) -> DataFrame:
+    return df.select("pid", (F.col("year") - 1).cast("int").alias("year"))
 
 
 def semi_observed_next(df: DataFrame) -> DataFrame:
     """Rows whose person is observed in the next year, for all years at once."""
-    return _seen_next_year(df, "left_semi")
+    return df.join(_year_before(df), ["pid", "year"], "left_semi")
 
 
 def anti_dropouts(df: DataFrame) -> DataFrame:
     """Rows whose person is absent in the next year; the last year has no next one."""
     last = df.agg(F.max("year")).scalar()
-    return _seen_next_year(df.filter(F.col("year") < last), "left_anti")
+    return df.filter(F.col("year") < last).join(_year_before(df), ["pid", "year"], "left_anti")
 
 
 def pair_methods(real: DataFrame, predictions: dict[str, DataFrame], variables: list[str]) -> DataFrame:

@@ -92,8 +92,8 @@ def knn_candidates(left: DataFrame, right: DataFrame, k: int = 5, features: list
     return answered.select("pid", "year", F.inline("found"))
 
 
-def _round(men: DataFrame, women: DataFrame, k: int, features: list[str], seed: int, event: str,
-           hot_rows: int | None) -> DataFrame:
+def _round(spark: SparkSession, men: DataFrame, women: DataFrame, k: int, features: list[str], seed: int,
+           event: str, hot_rows: int | None) -> DataFrame:
     """One round: every man picks one of his k nearest women; a cell of women takes the lowest draws.
 
     A pick is a place among the k nearest, which falls into a cell of women. The i-th accepted man of
@@ -108,14 +108,15 @@ def _round(men: DataFrame, women: DataFrame, k: int, features: list[str], seed:
              .groupBy("year", *lnames, "l_n")
              .agg(F.array_sort(F.collect_list(F.struct("_upto", *rnames))).alias("_cells"),
                   F.least(F.sum("r_n"), F.lit(k)).alias("_places")))
+    lists = cut_lineage(spark, lists)  # one row per cell of men, read several times below
     picking = men.select("year", F.col("pid").alias("man"), *[F.col(f).alias(f"l_{f}") for f in features],
-                         seeded_uniform(["pid", "year"], event + "-pick", seed).alias("_pick"),
+                         seeded_uniform(["pid", "year"], event + "-pick", seed).alias("_choice"),
                          seeded_uniform(["pid", "year"], event + "-man", seed).alias("_draw"))
     asked = join_by_weight(picking, lists, ["year", *lnames], "l_n", "inner", hot_rows)
-    place = F.floor(F.col("_pick") * F.col("_places"))
+    place = F.floor(F.col("_choice") * F.col("_places"))
     target = F.element_at(F.filter("_cells", lambda c: c["_upto"] > place), 1)
-    asked = asked.withColumn("_cell", target).select(
-        "year", "man", "_draw", *[F.col("_cell")[r].alias(r) for r in rnames])
+    asked = cut_lineage(spark, asked.withColumn("_cell", target).select(
+        "year", "man", "_draw", *[F.col("_cell")[r].alias(r) for r in rnames]))
     men_ranked = rank_by_draw(asked, ["year", *rnames], "_draw", "man", "_place").select("year", *rnames, "man", "_place")
     offered = women.select("year", F.col("pid").alias("woman"), *[F.col(f).alias(f"r_{f}") for f in features],
                            seeded_uniform(["pid", "year"], event + "-woman", seed).alias("_draw"))
@@ -147,10 +148,11 @@ def match_pairs(spark: SparkSession, men: DataFrame, women: DataFrame, share: fl
     every chosen man is paired.
     """
     need = ["pid", "year", *features]
-    men, women = men.select(*need).na.drop("any"), women.select(*need).na.drop("any")
-    waiting, free, made = chosen_men(men, women, share, seed, hot_rows), women, None
+    men = cut_lineage(spark, men.select(*need).na.drop("any"))
+    women = cut_lineage(spark, women.select(*need).na.drop("any"))
+    waiting, free, made = cut_lineage(spark, chosen_men(men, women, share, seed, hot_rows)), women, None
     for number in range(1, rounds + 1):
-        pairs = _round(waiting, free, k, features, seed, f"round{number}", hot_rows)
+        pairs = _round(spark, waiting, free, k, features, seed, f"round{number}", hot_rows)
         made = cut_lineage(spark, pairs if made is None else made.unionByName(pairs))
         waiting = _without(waiting, made, "man")
         free = _without(free, made, "woman")

@@ -1 +1,206 @@
+"""Queries of the join operators."""
 
+from pyspark.sql import functions as F
+
+from hearthpanel.operators import joins as op
+from hearthpanel.operators import transitions as tr
+from hearthpanel.operators.matching import eligible_singles, knn_candidates, match_pairs
+from hearthpanel.plans.frames import ana, full, lags, panel, rates
+from hearthpanel.plans.registry import fragment, query
+from hearthpanel.session import cut_lineage
+from hearthpanel.sources.tables import table
+
+fragment("pgen", """
+select pid, hid, year as syear, employment_status as pgemplst, gross_earnings as pglabgro from panel""")
+fragment("ppathl", """
+select p.pid, p.hid + 1000 as hid, p.year as syear, p.female as sex, c.c_nationkey as migback, p.personweight as phrf
+from panel p join customer c on c.c_custkey = p.pid""")
+fragment("pkal", "select pid, year as syear, any_r as kal1e01 from panel where any_r = 1")
+fragment("hgen", "select distinct hid, year as syear, cast(hid % 10 as int) as hgrent from panel")
+fragment("hpathl", "select hid, year as syear, sum(personweight) as hhrf from panel group by hid, year")
+fragment("hbrutto", "select distinct hid, year as syear, cast(hid % 16 as int) as bula from panel where hid % 7 <> 0")
+
+
+def person_tables(spark, folder):
+    df = panel(spark, folder)
+    customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("migback"))
+    pgen = df.select("pid", "hid", F.col("year").alias("syear"), F.col("employment_status").alias("pgemplst"),
+                     F.col("gross_earnings").alias("pglabgro"))
+    ppathl = df.join(customer, "pid").select(
+        "pid", (F.col("hid") + 1000).alias("hid"), F.col("year").alias("syear"), F.col("female").alias("sex"),
+        "migback", F.col("personweight").alias("phrf"))
+    pkal = df.filter("any_r = 1").select("pid", F.col("year").alias("syear"), F.col("any_r").alias("kal1e01"))
+    return pgen, ppathl, pkal
+
+
+def household_tables(spark, folder):
+    df = panel(spark, folder).select("hid", F.col("year").alias("syear"), "personweight")
+    homes = df.select("hid", "syear").distinct()
+    hgen = homes.withColumn("hgrent", (F.col("hid") % 10).cast("int"))
+    hpathl = df.groupBy("hid", "syear").agg(F.sum("personweight").alias("hhrf"))
+    hbrutto = homes.filter("hid % 7 <> 0").withColumn("bula", (F.col("hid") % 16).cast("int"))
+    return hgen, hpathl, hbrutto
+
+
+@query("join_person_left", """
+select g.*, p.sex, p.migback, p.phrf, k.kal1e01
+from pgen g left join ppathl p on p.pid = g.pid and p.syear = g.syear
+            left join pkal k on k.pid = g.pid and k.syear = g.syear""", "pglabgro:2 phrf")
+def _(spark, folder):
+    return op.join_person_left(*person_tables(spark, folder))
+
+
+@query("join_household_left", """
+select g.*, p.hhrf, b.bula from hgen g left join hpathl p on p.hid = g.hid and p.syear = g.syear
+                                       left join hbrutto b on b.hid = g.hid and b.syear = g.syear""", "hhrf")
+def _(spark, folder):
+    return op.join_household_left(*household_tables(spark, folder))
+
+
+@query("join_person_household", """
+select g.*, b.bula from pgen g join hbrutto b on b.hid = g.hid and b.syear = g.syear""", "pglabgro:2")
+def _(spark, folder):
+    pgen, _, _ = person_tables(spark, folder)
+    _, _, hbrutto = household_tables(spark, folder)
+    return op.join_person_household(pgen, hbrutto)
+
+
+@query("merge_extracts_outer", """
+new as (select pid, year, case when pid % 10 = 0 then null else gross_earnings end as gross_earnings, hours, lfs
+        from panel where year >= 1997),
+old as (select pid, year, gross_earnings, hours + 100 as hours, education from panel where year <= 1998)
+select coalesce(n.pid, o.pid) as pid, coalesce(n.year, o.year) as year,
+       coalesce(n.gross_earnings, o.gross_earnings) as gross_earnings, coalesce(n.hours, o.hours) as hours,
+       n.lfs, o.education
+from new n full join old o on o.pid = n.pid and o.year = n.year""", "gross_earnings:2 hours")
+def _(spark, folder):
+    df = panel(spark, folder)
+    new = df.filter("year >= 1997").select(
+        "pid", "year", F.when(F.col("pid") % 10 != 0, F.col("gross_earnings")).alias("gross_earnings"), "hours", "lfs")
+    old = df.filter("year <= 1998").select("pid", "year", "gross_earnings", (F.col("hours") + 100).alias("hours"),
+                                           "education")
+    return op.merge_extracts_outer(new, old)
+
+
+@query("semi_observed_next", """
+select pid, year, age from panel p where exists (select 1 from panel n where n.pid = p.pid and n.year = p.year + 1)""")
+def _(spark, folder):
+    return op.semi_observed_next(panel(spark, folder).select("pid", "year", "age"))
+
+
+@query("anti_dropouts", """
+select pid, year, age from panel p where year < (select max(year) from panel)
+  and not exists (select 1 from panel n where n.pid = p.pid and n.year = p.year + 1)""")
+def _(spark, folder):
+    return op.anti_dropouts(panel(spark, folder).select("pid", "year", "age"))
+
+
+PAIRED = ["pid", "year", "period_ahead"] + [f"{v}_{m}" for v in ("employment_status", "hours", "gross_earnings", "n_children")
+                                            for m in ("real", "standard", "ext")]
+
+
+@query("pair_methods", f"select {', '.join(PAIRED)} from panel_ana",
+       " ".join(f"hours_{m} gross_earnings_{m}:4" for m in ("real", "standard", "ext")))
+def _(spark, folder):
+    return ana(spark, folder).select(*PAIRED)
+
+
+fragment("linked", """
+stays as (select pid, hid, count(*) as n from panel group by pid, hid),
+usual as (select pid, hid as usual_hid from stays qualify row_number() over (partition by pid order by n desc, hid) = 1),
+placed as (select p.*, u.usual_hid from panel p join usual u on u.pid = p.pid),
+mothers as (select usual_hid, min(pid) as motherpid from placed where female = 1 and age between 18 and 49 group by usual_hid)
+select p.pid, p.year, p.age, p.usual_hid, m.motherpid from placed p join mothers m on m.usual_hid = p.usual_hid
+where p.child = 1""".replace("stays as", "with stays as", 1))
+
+
+@query("link_mother_child", "select * from linked")
+def _(spark, folder):
+    return op.link_mother_child(panel(spark, folder)).select("pid", "year", "age", "usual_hid", "motherpid")
+
+
+@query("flag_births_by_link", """
+select p.pid, p.year, case when exists (select 1 from linked l where l.motherpid = p.pid and l.year - l.age = p.year)
+                           then 1 else 0 end as birth from panel_up p""".replace("panel_up", """(
+  select pid, cast(year - 10 as int) as year from panel)"""))
+def _(spark, folder):
+    # children of the fixture are born before the panel starts, so mothers are looked at ten years earlier
+    df = panel(spark, folder)
+    mothers = df.select("pid", (F.col("year") - 10).cast("int").alias("year"))
+    return op.flag_births_by_link(mothers, op.link_mother_child(df))
+
+
+@query("lookup_age_rate", """
+select p.pid, p.year, p.age, r.rate from panel p left join rates r on r.age = p.age
+where p.female = 1 and p.child = 0 and p.age between 15 and 49""", "rate:3")
+def _(spark, folder):
+    return op.lookup_age_rate(panel(spark, folder), rates(spark, folder)).select("pid", "year", "age", "rate")
+
+
+fragment("conditional", """
+with n as (select female, age, count(*) as n from panel_lags group by female, age),
+k as (select female, age, employment_status as status_t, employment_status_t1 as status_t1, count(*) as k
+      from panel_lags group by all),
+states as (select unnest([0, 1, 2, 3]) as s),
+grid as (select n.female, n.age, n.n, a.s as status_t, b.s as status_t1 from n, states a, states b),
+joint as (select g.female, g.age, g.status_t1, g.status_t, g.n, coalesce(k.k, 0) / cast(g.n as double) as joint
+          from grid g left join k on k.female = g.female and k.age = g.age and k.status_t = g.status_t
+                                 and k.status_t1 = g.status_t1),
+both_sides as (select *, sum(joint) over (partition by female, age, status_t) as p_t,
+                    sum(joint) over (partition by female, age, status_t1) as p_t1 from joint)
+select *, case when p_t1 = 0 then 0.0::double else joint / p_t1 end as cond from both_sides""")
+
+
+@query("lookup_transition", """
+wide as (select female, age, status_t1, sum(cond) filter (status_t = 0) as t0, sum(cond) filter (status_t = 1) as t1,
+                sum(cond) filter (status_t = 2) as t2, sum(cond) filter (status_t = 3) as t3
+         from conditional group by all)
+select p.pid, p.year, coalesce(t0, 0.0::double) as t0, coalesce(t1, 0.0::double) as t1, coalesce(t2, 0.0::double) as t2,
+       coalesce(t3, 0.0::double) as t3
+from (select pid, year, female, age, employment_status from panel) p
+left join wide w on w.female = p.female and w.age = p.age and w.status_t1 = p.employment_status""", "t0 t1 t2 t3")
+def _(spark, folder):
+    table_ = tr.transition_conditional(tr.transition_by_sex_age(lags(spark, folder)))
+    df = panel(spark, folder).select("pid", "year", "female", "age", F.col("employment_status").alias("employment_status_t1"))
+    return op.lookup_transition(df, table_).select("pid", "year", "t0", "t1", "t2", "t3")
+
+
+fragment("singles", """
+select pid, year, age, education, migback, east, n_children, female from panel_full
+where in_couple = 0 and child = 0 and n_people - n_children = 1""")
+
+
+@query("knn_candidates", """
+men as (select * from singles where female = 0), women as (select * from singles where female = 1),
+pairs as (select m.pid, m.year, w.pid as candidate,
+                 (m.age - w.age) * (m.age - w.age) + (m.education - w.education) * (m.education - w.education)
+                 + (m.migback - w.migback) * (m.migback - w.migback) + (m.east - w.east) * (m.east - w.east)
+                 + (m.n_children - w.n_children) * (m.n_children - w.n_children) as d2
+          from men m join women w on w.year = m.year)
+select pid, year, cast(row_number() over (partition by pid, year order by d2, candidate) as int) as rank, candidate,
+       sqrt(cast(d2 as double)) as distance
+from pairs qualify row_number() over (partition by pid, year order by d2, candidate) <= 5""", "distance")
+def _(spark, folder):
+    singles = cut_lineage(spark, eligible_singles(full(spark, folder)))
+    return knn_candidates(singles.filter("female = 0"), singles.filter("female = 1"))
+
+
+@query("match_pairs")
+def _(spark, folder):
+    singles = eligible_singles(full(spark, folder))
+    return match_pairs(spark, singles.filter("female = 0"), singles.filter("female = 1"))
+
+
+@query("join_external_ratio", """
+wide as (select cast(year(o_orderdate) as int) as year, count(*) filter (o_orderstatus = 'O') as o,
+                count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'P') as p
+         from orders group by 1),
+own as (select year, avg(working) as mean_working, avg(lfs) as mean_lfs from panel group by year)
+select w.year, o / cast(p as double) as lfs, f / cast(p as double) as working, mean_working, mean_lfs
+from wide w join own on own.year = w.year""", "lfs working mean_working mean_lfs")
+def _(spark, folder):
+    series = (table(spark, folder, "orders")
+              .groupBy(F.col("o_orderstatus").alias("series"), F.year("o_orderdate").cast("int").alias("year"))
+              .agg(F.count(F.lit(1)).cast("double").alias("value")))
+    own = panel(spark, folder).groupBy("year").agg(F.avg("working").alias("mean_working"), F.avg("lfs").alias("mean_lfs"))
+    return op.join_external_ratio(series, {"lfs": "O", "working": "F"}, "P", own)
