@@ -18,6 +18,7 @@ from hearthpanel.operators.household import hh_vars
 from hearthpanel.operators.joins import pair_methods
 from hearthpanel.operators.longitudinal import lagged_panel, period_ahead
 from hearthpanel.plans.registry import fragment
+from hearthpanel.session import stored
 from hearthpanel.sources.tables import order_panel, table
 
 fragment("panel", """
@@ -82,6 +83,8 @@ join panel_full r2 on r2.pid = f.pid and r2.year = f.year - 2""")
 VARIABLES = ["employment_status", "working", "fulltime", "married", "in_couple", "birth", "education",
              "n_people", "n_children", "hh_youngest_age", "hh_frac_working", "hh_income", "hours",
              "gross_earnings"]
+MONEY = ["gross_earnings", "hh_income"]  # also given per day
+METHODS = ["real", "standard", "ext"]
 FIXED = ["hid", "age", "female", "east"]  # facts no predictor changes
 _WHOLE = {"married", "in_couple", "birth", "education", "n_people", "n_children", "hh_youngest_age"}
 _SCALE = {"hh_frac_working": 10_000, "hh_income": 100, "hours": 10_000, "gross_earnings": 100}
@@ -109,7 +112,8 @@ fragment("pred_last", "select pid, year, "
          + ", ".join(f"lag({v}) over (partition by pid order by year) as {v}" for v in _CARRIED)
          + " from panel_full")
 _ana = []
-for _m, _t in (("real", "f"), ("standard", "s"), ("ext", "e")):
+for _m, _t in zip(METHODS, "fse"):
+    _ana += [f"{_t}.{v} / 365 as daily_{v}_{_m}" for v in MONEY]
     _ana += [f"f.{v} as {v}_{_m}" for v in FIXED]
     _ana += [f"{_t}.{v} as {v}_{_m}" for v in _CARRIED]
     _ana += [f"case when {_t}.employment_status >= 2 then 1 else 0 end as working_{_m}",
@@ -124,18 +128,22 @@ join pred_mean e on e.female = f.female and e.age = f.age""")
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return order_panel(spark, folder)
+    return stored(spark, folder, "panel", lambda: order_panel(spark, folder))
 
 
-def full(spark: SparkSession, folder: str) -> DataFrame:
-    base = order_panel(spark, folder).drop("segment", "prio", "n_orders").withColumnRenamed("any_r", "migback")
+def full_panel(people: DataFrame) -> DataFrame:
+    base = people.drop("segment", "prio", "n_orders").withColumnRenamed("any_r", "migback")
     base = base.withColumns({"hhweight": F.col("personweight"), "orighid": F.col("hid"),
                              "motherpid": F.lit(0).cast("bigint"), "age_max": F.lit(60), "predicted": F.lit(0)})
     return hh_vars(base).withColumn("hh_income", F.round("hh_income", 2))
 
 
+def full(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "panel_full", lambda: full_panel(panel(spark, folder)))
+
+
 def lags(spark: SparkSession, folder: str) -> DataFrame:
-    return lagged_panel(full(spark, folder))
+    return stored(spark, folder, "panel_lags", lambda: lagged_panel(full(spark, folder)))
 
 
 def _with_states(df: DataFrame) -> DataFrame:
@@ -156,10 +164,14 @@ def group_mean(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return _with_states(means.select("pid", "year", *FIXED, *[F.col(f"_mean_{v}").alias(v) for v in _CARRIED]))
 
 
+def analysis_frame(people: DataFrame) -> DataFrame:
+    df = people.select("pid", "year", "predicted", *FIXED, *VARIABLES)
+    paired = pair_methods(df, {"standard": last_value(df), "ext": group_mean(df)}, FIXED + VARIABLES)
+    return period_ahead(paired.withColumns({f"daily_{v}_{m}": F.col(f"{v}_{m}") / 365 for v in MONEY for m in METHODS}))
+
+
 def ana(spark: SparkSession, folder: str) -> DataFrame:
-    df = full(spark, folder).select("pid", "year", "predicted", *FIXED, *VARIABLES)
-    predictions = {"standard": last_value(df), "ext": group_mean(df)}
-    return period_ahead(pair_methods(df, predictions, FIXED + VARIABLES))
+    return stored(spark, folder, "panel_ana", lambda: analysis_frame(full(spark, folder)))
 
 
 def rates(spark: SparkSession, folder: str) -> DataFrame:

@@ -61,13 +61,14 @@ def query(name: str, sql: str | None = None, rnd: str = ""):
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
             out = fn(spark, folder)
-            return out.withColumns({c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()}) if digits else out
+            rounded = {c: F.round(c, d) + F.lit(0.0) for c, d in digits.items()}
+            return out.withColumns(rounded) if rounded else out
 
         QUERIES[name] = run
         if sql is not None:
             text = complete_sql(sql)
             if digits:
-                rounded = ", ".join(f"round({c}, {d}) + 0.0 as {c}" for c, d in digits.items())
+                rounded = ", ".join(f'round("{c}", {d}) + 0.0::double as "{c}"' for c, d in digits.items())
                 text = f"select * replace ({rounded}) from ({text}) as answer"
             ORACLES[name] = text
         return run

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 from functools import cache
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -40,3 +41,20 @@ def cut_lineage(spark: SparkSession, df):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, source: str, name: str, build) -> DataFrame:
+    """The table `name` derived from the folder `source`, written once per application.
+
+    Reports and estimation jobs read a finished panel, as Parquet partitioned by year in the shared
+    folder, instead of deriving it again for each pass over the data.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/panels/{uuid4().hex}/{name}"
+        build().write.partitionBy("year").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
