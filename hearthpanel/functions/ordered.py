@@ -43,49 +43,84 @@ def _interpolate(probs: dict[str, float]) -> list[Column]:
     return out
 
 
+def _usable(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The value as a double `_x`; rows without a value or a group are left out."""
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return df.select(*by, x.alias("_x")).na.drop("any")
+
+
+# Value cells per unit of log(1 + |x|): a coarse grid that gives few counts, and a fine one that
+# splits each wanted coarse cell into about 4,096 parts.
+COARSE, FINE = 256, 256 * 4096
+
+
+def _running_cells(counts: DataFrame, parts: list[str], cell: str, wanted: list[float]) -> DataFrame:
+    """Keep the cells that hold a wanted rank; `_off` becomes the number of rows below the cell."""
+    order = Window.partitionBy(*parts).orderBy(cell).rowsBetween(*RUNNING)
+    return (counts.withColumn("_end", F.col("_off") + F.sum("_n").over(order))
+                  .withColumn("_off", F.col("_end") - F.col("_n"))
+                  .filter(_holds_target(F.col("_off"), F.col("_end"), F.col("_total"), wanted)))
+
+
+def _cells_of_groups(cells: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """One row per group with its few wanted cells as a map to their offsets."""
+    return cells.groupBy(*by).agg(F.max("_total").alias("_total"),
+                                  F.map_from_entries(F.collect_list(F.struct(cell, "_off"))).alias("_offs"))
+
+
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Last step: distinct values of one part with the rank range each of them covers."""
+    values = rows.groupBy(*by, "_part", "_x").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_off"), F.max("_total").alias("_total"))
+    part = Window.partitionBy(*by, "_part")
+    return (values.withColumn("_end", F.coalesce("_off", F.lit(0))
+                              + F.sum("_n").over(part.orderBy("_x").rowsBetween(*RUNNING)))
+                  .withColumn("_total", F.coalesce("_total", F.sum("_n").over(part))))
+
+
+def _hot_rows_only(rows: DataFrame, by: list[str], wanted: list[float], hot_rows: int) -> DataFrame:
+    """Rows of heavy groups cut down to the wanted fine cells; rows of other groups as they are."""
+    counts = rows.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.lit(0).cast("bigint"))
+    counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by))).filter(F.col("_total") >= hot_rows)
+    # at most HOT_KEYS rows, each with at most two cells per quantile
+    coarse = (_cells_of_groups(_running_cells(counts, by, "_coarse", wanted), by, "_coarse")
+              .orderBy(F.desc("_total"), *by).limit(HOT_KEYS))
+    inside = (rows.join(F.broadcast(coarse), by).withColumn("_off", F.col("_offs")[F.col("_coarse")])
+                  .filter(F.col("_off").isNotNull()))
+    finer = inside.groupBy(*by, "_coarse", "_fine").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_off"), F.max("_total").alias("_total"))
+    fine = _cells_of_groups(_running_cells(finer, [*by, "_coarse"], "_fine", wanted), by, "_fine")
+    return (rows.join(F.broadcast(fine), by, "left").withColumn("_off", F.col("_offs")[F.col("_fine")])
+                .filter(F.col("_total").isNull() | F.col("_off").isNotNull())
+                .withColumn("_part", F.when(F.col("_total").isNotNull(), F.col("_fine"))))
+
+
+def _wanted_rows_overall(rows: DataFrame, wanted: list[float]) -> DataFrame:
+    """The same for one single group: the wanted cells are joined by the cell itself."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    counts = rows.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"), F.lit(0).cast("bigint").alias("_off"))
+    coarse = _running_cells(counts.withColumn("_total", total), [], "_coarse", wanted).select("_coarse", "_off", "_total")
+    finer = rows.join(F.broadcast(coarse), "_coarse").groupBy("_coarse", "_fine").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_off"), F.max("_total").alias("_total"))
+    fine = _running_cells(finer, ["_coarse"], "_fine", wanted).select("_fine", "_off", "_total")
+    return rows.join(F.broadcast(fine), "_fine").withColumn("_part", F.col("_fine"))
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
                     hot_rows: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    `probs` maps an output name to a probability. For the heaviest groups a first pass counts
-    value cells and finds the cells that hold a wanted rank; the second pass keeps only rows in
-    those cells. A list of at most HOT_KEYS groups with two cells per quantile is broadcast.
-    All other groups are small and are ranked directly.
+    `probs` maps an output name to a probability. Heavy groups (at least `hot_rows` rows) are
+    narrowed down in two passes that count value cells with map-side partial sums: coarse cells
+    first, then fine cells inside the few coarse ones that hold a wanted rank. The last pass
+    shuffles only rows of the wanted fine cells. All other groups are small and ranked directly.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     wanted = list(probs.values())
-    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    for key in by:
-        rows = rows.filter(F.col(key).isNotNull())
-    rows = rows.withColumn("_cell", order_bucket(F.col("_x")))
-
-    cells = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    by_group = Window.partitionBy(*by)
-    cells = (cells.withColumn("_end", F.sum("_n").over(by_group.orderBy("_cell").rowsBetween(*RUNNING)))
-                  .withColumn("_total", F.sum("_n").over(by_group))
-                  .withColumn("_off", F.col("_end") - F.col("_n"))
-                  .filter(_holds_target(F.col("_off"), F.col("_end"), F.col("_total"), wanted)))
-    if by:
-        hot = (cells.filter(F.col("_total") >= hot_rows)
-                    .groupBy(*by).agg(F.max("_total").alias("_total"),
-                                      F.map_from_entries(F.collect_list(F.struct("_cell", "_off"))).alias("_offs"))
-                    .orderBy(F.desc("_total"), *by).limit(HOT_KEYS))
-        kept = (rows.join(F.broadcast(hot), by, "left")
-                    .withColumn("_off", F.col("_offs")[F.col("_cell")])
-                    .filter(F.col("_total").isNull() | F.col("_off").isNotNull())
-                    .withColumn("_part", F.when(F.col("_total").isNotNull(), F.col("_cell"))))
-    else:
-        # one group: at most two cells per quantile
-        kept = (rows.join(F.broadcast(cells.select("_cell", "_off", "_total")), "_cell")
-                    .withColumn("_part", F.col("_cell")))
-    counts = kept.groupBy(*by, "_part", "_x").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_off"), F.max("_total").alias("_total"))
-    part = Window.partitionBy(*by, "_part")
-    ranked = (counts.withColumn("_end", F.coalesce("_off", F.lit(0))
-                                + F.sum("_n").over(part.orderBy("_x").rowsBetween(*RUNNING)))
-                    .withColumn("_total", F.coalesce("_total", F.sum("_n").over(part))))
-    return ranked.groupBy(*by).agg(*_interpolate(probs))
+    rows = _usable(df, by, value).withColumns({"_coarse": order_bucket(F.col("_x"), COARSE),
+                                               "_fine": order_bucket(F.col("_x"), FINE)})
+    kept = _hot_rows_only(rows, by, wanted, hot_rows) if by else _wanted_rows_overall(rows, wanted)
+    return _ranked(kept, by).groupBy(*by).agg(*_interpolate(probs))
 
 
 def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFrame:
@@ -95,11 +130,7 @@ def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFr
     values are merged before the shuffle, ranks inside a value cell are local, and the offset of a
     cell enters as offset * (sum of the cell).
     """
-    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    rows = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
-    for key in by:
-        rows = rows.filter(F.col(key).isNotNull())
-    counts = (rows.withColumn("_cell", order_bucket(F.col("_x")))
+    counts = (_usable(df, by, value).withColumn("_cell", order_bucket(F.col("_x")))
                   .groupBy(*by, "_cell", "_x").agg(F.count(F.lit(1)).cast("double").alias("_n")))
     inside = Window.partitionBy(*by, "_cell").orderBy("_x").rowsBetween(*RUNNING)
     before = F.sum("_n").over(inside) - F.col("_n")

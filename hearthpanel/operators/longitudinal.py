@@ -6,10 +6,13 @@ window over `pid` is small by definition. One shuffle on `pid` serves a whole ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-PERSON = Window.partitionBy("pid")
+
+def _person() -> WindowSpec:
+    return Window.partitionBy("pid")
+
 
 # Lag columns of the estimation panel.
 LAGS = {
@@ -22,7 +25,7 @@ ESTIMATED = ["birth", "retired", "working", "fulltime", "hours", "gross_earnings
 
 
 def min_observations(df: DataFrame, more_than: int = 2) -> DataFrame:
-    return (df.withColumn("_n", F.count(F.lit(1)).over(PERSON))
+    return (df.withColumn("_n", F.count(F.lit(1)).over(_person()))
               .filter(F.col("_n") > more_than).drop("_n"))
 
 
@@ -35,7 +38,7 @@ def _third_year(df: DataFrame):
 def lag_exact(df: DataFrame, lags: dict[str, tuple[str, int]] = LAGS,
               from_third_year: bool = True) -> DataFrame:
     """The value exactly k years before, null when that year was not observed."""
-    frame = lambda k: PERSON.orderBy("year").rangeBetween(-k, -k)
+    frame = lambda k: _person().orderBy("year").rangeBetween(-k, -k)
     out = df.withColumns({name: F.first(source).over(frame(k)) for name, (source, k) in lags.items()})
     return out.filter(F.col("year") >= _third_year(df)) if from_third_year else out
 
@@ -65,15 +68,15 @@ def roll_state(df: DataFrame) -> DataFrame:
 
 
 def first_record(df: DataFrame) -> DataFrame:
-    first = F.row_number().over(PERSON.orderBy("year"))
+    first = F.row_number().over(_person().orderBy("year"))
     return df.withColumn("_row", first).filter("_row = 1").drop("_row")
 
 
 def period_ahead(df: DataFrame) -> DataFrame:
     """Years left until the person's last observation, and years since the first."""
     return df.withColumns({
-        "period_ahead": (F.max("year").over(PERSON) - F.col("year")).cast("int"),
-        "years_since_entry": (F.col("year") - F.min("year").over(PERSON)).cast("int")})
+        "period_ahead": (F.max("year").over(_person()) - F.col("year")).cast("int"),
+        "years_since_entry": (F.col("year") - F.min("year").over(_person())).cast("int")})
 
 
 def entry_year(df: DataFrame) -> DataFrame:

@@ -1 +1,229 @@
+"""Queries of the feature frames, estimation jobs and scoring."""
 
+from pyspark.sql import functions as F
+
+from hearthpanel.operators import estimation as est
+from hearthpanel.operators import features as op
+from hearthpanel.operators import scoring as sc
+from hearthpanel.operators.transitions import transition_by_sex_age, transition_conditional
+from hearthpanel.plans.events import draw
+from hearthpanel.plans.frames import lags
+from hearthpanel.plans.registry import fragment, query
+from hearthpanel.plans.transitions import DRAW, with_shares
+from hearthpanel.session import shared_folder
+
+MONEY_DIGITS = {"hh_income": 2, "gross_earnings_t1": 2, "gross_earnings_t2": 2, "hours_t1": 6, "hours_t2": 6,
+                "hours": 6, "hh_frac_working": 6, "personweight": 6, "hh_income_interacted": 2,
+                "hh_frac_working_interacted": 6, "dep_var": 6}
+
+
+def _feature_query(name: str, target: str, names: list[str], where: str, interact: bool, squared: bool, build) -> None:
+    cols = [f"{target} as dep_var", *names, "personweight"]
+    keys = ["pid", "year"]
+    if interact:
+        cols += [f"{c} * female as {c}_interacted" for c in names if c != "female"]
+    if squared:
+        cols.append("cast(age as bigint) * age as age_squared")
+    listed = names + ["personweight"] + ([f"{c}_interacted" for c in names] if interact else [])
+    digits = [c for c in listed if c in MONEY_DIGITS]
+    if target in ("hours", "gross_earnings"):
+        digits.append("dep_var")
+    spec = " ".join(f"{c}:{MONEY_DIGITS[c]}" for c in digits)
+    sql = f"select {', '.join(keys + cols)} from panel_lags" + (f" where {where}" if where else "")
+    query(name, sql, spec)(lambda spark, folder: build(lags(spark, folder)))
+
+
+_feature_query("features_birth", "birth", op.BIRTH, "", False, False, op.features_birth)
+_feature_query("features_retired", "retired", op.RETIRED, "", True, True, op.features_retired)
+_feature_query("features_working", "working", op.WORKING, "retired = 0", True, True, op.features_working)
+_feature_query("features_fulltime", "fulltime", op.FULLTIME, "working = 1", True, True, op.features_fulltime)
+_feature_query("features_hours", "hours", op.HOURS, "working = 1", False, True, op.features_hours)
+_feature_query("features_earnings", "gross_earnings", op.EARNINGS, "working = 1", False, True, op.features_earnings)
+
+
+@query("features_general", """
+select * exclude (pid, hid, orighid, age_max, predicted, hhweight, gross_earnings, hours), hours as dep_var from panel_lags""",
+       "dep_var hh_income:2 gross_earnings_t1:2 gross_earnings_t2:2 hours_t1 hours_t2 hh_frac_working personweight")
+def _(spark, folder):
+    return op.features_general(lags(spark, folder), "hours")
+
+
+@query("split_train_test", f"select pid, year, case when {draw('split')} < 0.05 then 1 else 0 end as is_test from panel_lags")
+def _(spark, folder):
+    return op.split_train_test(lags(spark, folder).select("pid", "year"))
+
+
+SCALED = ["age", "hours_t1", "n_children"]
+fragment("train", f"""
+select pid, year, age, hours_t1, n_children, hours, case when {draw('split')} < 0.05 then 1 else 0 end as is_test from panel_lags""")
+
+
+@query("standardize", "select pid, year, is_test, " + ", ".join(
+    f"({c} - (select avg({c}) from train where is_test = 0)) / (select stddev_pop({c}) from train where is_test = 0) as {c}"
+    for c in SCALED) + " from train", " ".join(SCALED))
+def _(spark, folder):
+    return op.standardize(op.split_train_test(lags(spark, folder).select("pid", "year", *SCALED)), SCALED)
+
+
+@query("unstandardize", """
+select pid, year, hours * (select stddev_pop(hours_t1) from train) + (select avg(hours_t1) from train) as hours from train""",
+       "hours")
+def _(spark, folder):
+    df = lags(spark, folder).select("pid", "year", "hours", "hours_t1")
+    stats = op.scale_stats(df, ["hours_t1"]).withColumnsRenamed({"hours_t1_mean": "hours_mean", "hours_t1_std": "hours_std"})
+    return op.unstandardize(df.drop("hours_t1"), ["hours"], stats)
+
+
+def _training(spark, folder, build):
+    return op.split_train_test(build(lags(spark, folder)))
+
+
+def _coefficients(spark, folder, build, fit):
+    df = _training(spark, folder, build)
+    return est.coefficients(spark, fit(df), est.feature_names(df))
+
+
+@query("fit_logit")
+def _(spark, folder):
+    return _coefficients(spark, folder, op.features_working, est.fit_logit)
+
+
+@query("fit_ols", """
+select 'intercept' as term, regr_intercept(hours, hours_t1) as beta from train where is_test = 0
+union all select 'hours_t1', regr_slope(hours, hours_t1) from train where is_test = 0""", "beta")
+def _(spark, folder):
+    # one regressor and equal weights, so that plain SQL can give the same line
+    one = lambda df: df.select("pid", "year", F.col("hours").alias("dep_var"), "hours_t1", F.lit(1.0).alias("personweight"))
+    return _coefficients(spark, folder, one, est.fit_ols)
+
+
+def _hits(model, df, target="dep_var"):
+    """Score per part (train and test) of a fitted model."""
+    scored = est.predict(model, df.withColumn("dep_var", F.col(target).cast("double")).na.drop("any"))
+    error = F.col("prediction") - F.col("dep_var")
+    return scored.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mean_abs_error"),
+                                         F.sqrt(F.avg(error * error)).alias("rmse"))
+
+
+@query("fit_boosted_binary")
+def _(spark, folder):
+    df = _training(spark, folder, op.features_fulltime)
+    return _hits(est.fit_boosted_binary(df, trees=8), df)
+
+
+@query("fit_boosted_regression")
+def _(spark, folder):
+    df = _training(spark, folder, op.features_hours)
+    return _hits(est.fit_boosted_regression(df, trees=8), df)
+
+
+def _status_features(spark, folder):
+    df = lags(spark, folder)
+    general = op.features_general(df.withColumns({"_pid": F.col("pid"), "_year": F.col("year")}), "employment_status")
+    return op.split_train_test(general.drop("year").withColumnsRenamed({"_pid": "pid", "_year": "year"}))
+
+
+@query("fit_multiclass_status")
+def _(spark, folder):
+    df = _status_features(spark, folder)
+    scored = est.predict(est.fit_multiclass_status(df, trees=10, depth=5), df)
+    return scored.groupBy("dep_var").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"p{k}").alias(f"p{k}") for k in range(4)])
+
+
+@query("tune_grid")
+def _(spark, folder):
+    return est.tune_grid(_training(spark, folder, op.features_birth), [0.05, 0.15], [2, 4], binary=False)
+
+
+@query("cv_multiclass")
+def _(spark, folder):
+    model = est.cv_multiclass(_status_features(spark, folder), folds=3, trees=5, depth=4)
+    rows = [(fold, float(m[0].featureImportances.toArray().sum()), float(model.avgMetrics[0]))
+            for fold, m in enumerate(model.subModels)]
+    return spark.createDataFrame(rows, "fold int, importance_total double, log_loss double")
+
+
+@query("feature_importance")
+def _(spark, folder):
+    df = _status_features(spark, folder)
+    model = est.fit_multiclass_status(df, trees=10, depth=5)
+    return est.feature_importance(spark, model, est.feature_names(df))
+
+
+@query("save_load_model")
+def _(spark, folder):
+    from uuid import uuid4
+    df = _training(spark, folder, op.features_hours)
+    path = est.save_model(est.fit_ols(df), f"{shared_folder(spark)}/models/{uuid4().hex}")
+    return _hits(est.load_model(path), df)
+
+
+# A coefficient table as an estimation job stores it: (model, term, beta).
+COEFFICIENTS = {
+    "retired": {"intercept": -3.0, "age": 0.04, "retired_t1": 1.5},
+    "working": {"intercept": 0.4, "working_t1": 0.9, "n_children": -0.3, "age": -0.01},
+    "fulltime": {"intercept": -0.8, "fulltime_t1": 1.1, "female": -0.4, "age": 0.01},
+    "hours": {"intercept": 10.0, "hours_t1": 0.35, "hours_t2": 0.1, "fulltime": 6.0, "age*age": -0.002},
+    "gross_earnings": {"intercept": -20000.0, "gross_earnings_t1": 0.4, "hours": 9000.0, "education": 1500.0},
+}
+
+
+def _sql_score(model: str) -> str:
+    terms = COEFFICIENTS[model]
+    return " + ".join([f"({terms['intercept']}::double)"] + [f"({b}::double) * {t.replace('*', ' * ')}"
+                                                          for t, b in terms.items() if t != "intercept"])
+
+
+def _sql_yes(model: str) -> str:
+    return f"case when 1 / (1 + exp(-({_sql_score(model)}))) > 0.5 then 1 else 0 end"
+
+
+@query("score_binary", f"""
+select pid, year, 1 / (1 + exp(-({_sql_score('fulltime')}))) as full_probability, {_sql_yes('fulltime')} as full
+from panel_lags""", "full_probability")
+def _(spark, folder):
+    return sc.score_binary(lags(spark, folder), COEFFICIENTS["fulltime"], "full").select("pid", "year", "full_probability", "full")
+
+
+@query("score_regression", f"""
+select pid, year, greatest(0.0, least(30.0, ({_sql_score('hours')}) * 2.0::double - 15.0::double)) as hours_next from panel_lags""",
+       "hours_next")
+def _(spark, folder):
+    out = sc.score_regression(lags(spark, folder), COEFFICIENTS["hours"], "hours_next", -15.0, 2.0, 30.0)
+    return out.select("pid", "year", "hours_next")
+
+
+@query("score_cascade", f"""
+a as (select * replace ({_sql_yes('retired')} as retired) from panel_lags),
+b as (select * replace (case when retired = 0 then {_sql_yes('working')} else 0 end as working) from a),
+c as (select * replace (case when working = 1 then {_sql_yes('fulltime')} else 0 end as fulltime) from b),
+d as (select * replace (case when working = 1 and fulltime = 1 then 3 when working = 1 then 2 when retired = 1 then 1 else 0 end
+                        as employment_status,
+                        case when working = 1 then least(greatest({_sql_score('hours')}, 0.0), 80.0) else 0.0 end as hours) from c)
+select pid, year, retired, working, fulltime, employment_status, hours,
+       case when working = 1 then greatest({_sql_score('gross_earnings')}, 0.0) else 0.0 end as gross_earnings from d""",
+       "hours gross_earnings:3")
+def _(spark, folder):
+    return sc.score_cascade(lags(spark, folder), COEFFICIENTS).select(
+        "pid", "year", "retired", "working", "fulltime", "employment_status", "hours", "gross_earnings")
+
+
+@query("score_status_blend", f"""
+wide as (select female, age, status_t1, sum(cond) filter (status_t = 0) as t0, sum(cond) filter (status_t = 1) as t1,
+                sum(cond) filter (status_t = 2) as t2, sum(cond) filter (status_t = 3) as t3 from conditional group by all),
+model as (select female, avg(cast(employment_status = 0 as int)) as p0, avg(cast(employment_status = 1 as int)) as p1,
+                 avg(cast(employment_status = 2 as int)) as p2, avg(cast(employment_status = 3 as int)) as p3
+          from panel_lags group by female),
+b as (select l.pid, l.year, {', '.join(f'0.25 * p{k} + 0.75 * coalesce(t{k}, 0) as b{k}' for k in range(4))}, {DRAW} as u
+      from panel_lags l join model m on m.female = l.female
+      left join wide w on w.female = l.female and w.age = l.age and w.status_t1 = l.employment_status_t1),
+s as (select pid, year, case when u < b0 then 0 when u < b0 + b1 then 1 when u < b0 + b1 + b2 then 2
+                             when u < b0 + b1 + b2 + b3 then 3 else 0 end as employment_status from b)
+select *, case when employment_status >= 2 then 1 else 0 end as working,
+       case when employment_status = 1 then 1 else 0 end as retired,
+       case when employment_status = 3 then 1 else 0 end as fulltime from s""")
+def _(spark, folder):
+    df = lags(spark, folder)
+    table = transition_conditional(transition_by_sex_age(df))
+    return sc.score_status_blend(with_shares(df), table).select(
+        "pid", "year", "employment_status", "working", "retired", "fulltime")
