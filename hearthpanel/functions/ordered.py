@@ -107,10 +107,10 @@ def _wanted_rows_overall(rows: DataFrame, wanted: list[float]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    hot_rows: int | None = None) -> DataFrame:
+                    hot_rows: int | None = None, count: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    `probs` maps an output name to a probability. Heavy groups (at least `hot_rows` rows) are
+    `probs` maps an output name to a probability; `count` names a column for the number of values. Heavy groups (at least `hot_rows` rows) are
     narrowed down in two passes that count value cells with map-side partial sums: coarse cells
     first, then fine cells inside the few coarse ones that hold a wanted rank. The last pass
     shuffles only rows of the wanted fine cells. All other groups are small and ranked directly.
@@ -120,7 +120,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     rows = _usable(df, by, value).withColumns({"_coarse": order_bucket(F.col("_x"), COARSE),
                                                "_fine": order_bucket(F.col("_x"), FINE)})
     kept = _hot_rows_only(rows, by, wanted, hot_rows) if by else _wanted_rows_overall(rows, wanted)
-    return _ranked(kept, by).groupBy(*by).agg(*_interpolate(probs))
+    size = [] if count is None else [F.max("_total").alias(count)]
+    return _ranked(kept, by).groupBy(*by).agg(*_interpolate(probs), *size)
 
 
 def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFrame:

@@ -18,6 +18,7 @@ from hearthpanel.functions.columns import flag
 from hearthpanel.functions.ordered import exact_quantiles, gini
 from hearthpanel.functions.skew import join_by_weight
 from hearthpanel.operators.recode import status_from_flags
+from hearthpanel.session import cut_lineage
 
 METHODS = ["real", "standard", "ext"]
 QUANTILES = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
@@ -333,9 +334,7 @@ def trim_quantiles(df: DataFrame, column: str, low: float = 0.05, high: float =
                    by: list[str] | None = None) -> DataFrame:
     """Rows strictly between two exact quantiles of their group."""
     by = by or []
-    q = exact_quantiles(df, by, column, {"_low": low, "_high": high})
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else None
-    values = q.join(sizes, by) if by else q.withColumn("_n", F.lit(0))
+    values = exact_quantiles(df, by, column, {"_low": low, "_high": high}, count="_n")
     kept = _with_group_values(df, values, by, "_n")
     return kept.filter((F.col(column) > F.col("_low")) & (F.col(column) < F.col("_high"))).select(*df.columns)
 
@@ -367,7 +366,9 @@ def error_histograms(df: DataFrame, methods: list[str], variable: str = "gross_e
              for m in methods]
     long = rows.select("period_ahead", F.inline(F.array(*error)))
     by = ["method", "period_ahead"]
-    return histogram_equal_width(trim_quantiles(long, "error", by=by), "error", bins, by)
+    # three short columns, read several times by the histogram
+    trimmed = cut_lineage(df.sparkSession, trim_quantiles(long, "error", by=by))
+    return histogram_equal_width(trimmed, "error", bins, by)
 
 
 def person_histograms(df: DataFrame, bins: int = 32) -> DataFrame:

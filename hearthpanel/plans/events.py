@@ -80,7 +80,14 @@ def _(spark, folder):
     return op.add_newborn_rows(op.flag_births(full(spark, folder), rates(spark, folder))).select(*CHILD, "hours")
 
 
-@query("form_couples")
+@query("form_couples", """
+homes as (select c.year, c.man as pid, w.hid, w.east, w.hhweight from couples c
+          join panel_full w on w.year = c.year and w.pid = c.woman),
+paired as (select year, man as pid from couples union all select year, woman from couples)
+select p.pid, p.year, coalesce(h.hid, p.hid) as hid, coalesce(h.east, p.east) as east,
+       coalesce(h.hhweight, p.hhweight) as hhweight, case when q.pid is not null then 1 else p.in_couple end as in_couple
+from panel_full p left join homes h on h.year = p.year and h.pid = p.pid
+                  left join paired q on q.year = p.year and q.pid = p.pid""", "hhweight")
 def _(spark, folder):
     return op.form_couples(spark, full(spark, folder)).select("pid", "year", "hid", "east", "hhweight", "in_couple")
 

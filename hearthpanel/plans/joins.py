@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from hearthpanel.operators import joins as op
 from hearthpanel.operators import transitions as tr
-from hearthpanel.operators.matching import eligible_singles, knn_candidates, match_pairs
-from hearthpanel.plans.frames import ana, full, lags, panel, rates
+from hearthpanel.operators.matching import FEATURES, eligible_singles, knn_candidates, match_pairs
+from hearthpanel.plans.frames import analysis_frame, full, lags, panel, rates
 from hearthpanel.plans.registry import fragment, query
 from hearthpanel.sources.tables import table
 
@@ -101,7 +101,7 @@ PAIRED = ["pid", "year", "period_ahead"] + [f"{v}_{m}" for v in ("employment_sta
 @query("pair_methods", f"select {', '.join(PAIRED)} from panel_ana",
        " ".join(f"hours_{m} gross_earnings_{m}:4" for m in ("real", "standard", "ext")))
 def _(spark, folder):
-    return ana(spark, folder).select(*PAIRED)
+    return analysis_frame(full(spark, folder)).select(*PAIRED)
 
 
 fragment("linked", """
@@ -184,7 +184,53 @@ def _(spark, folder):
     return knn_candidates(singles.filter("female = 0"), singles.filter("female = 1"))
 
 
-@query("match_pairs")
+FEATURE_LIST = ", ".join(FEATURES)
+
+
+def _draw(event: str, seed: int = 2020) -> str:
+    return (f"(('0x' || substr(md5(concat_ws('|', pid, year, '{event}', '{seed}')), 1, 8))::ubigint"
+            " / 4294967296.0::double)")
+
+
+def _round_sql(n: int, k: int = 5) -> str:
+    """One round of picks between m{n-1} and w{n-1}, person by person; p{n} are its pairs."""
+    m, w, r = f"m{n - 1}", f"w{n - 1}", f"round{n}"
+    d2 = " + ".join(f"(m.{f} - w.{f}) * (m.{f} - w.{f})" for f in FEATURES)
+    cell = ", ".join(f"w.{f} as r_{f}" for f in FEATURES)
+    rcell = ", ".join(f"r_{f}" for f in FEATURES)
+    mine = " and ".join(f"o.{f} = a.r_{f}" for f in FEATURES)
+    return f"""
+cells{n} as (select m.pid, m.year, {d2} as d2, {cell}, count(*) as n
+             from {m} m join {w} w on w.year = m.year group by all),
+near{n} as (select *, coalesce(sum(n) over (partition by pid, year order by d2
+                                            range between unbounded preceding and 1 preceding), 0) as nearer from cells{n}),
+list{n} as (select *, sum(n) over (partition by pid, year order by d2, {rcell} rows unbounded preceding) as upto,
+                   least(sum(n) over (partition by pid, year), {k}) as places from near{n} where nearer < {k}),
+pick{n} as (select * from list{n} where upto > floor({_draw(r + '-pick')} * places)
+            qualify row_number() over (partition by pid, year order by upto) = 1),
+asked{n} as (select year, pid as man, {rcell}, row_number() over (partition by year, {rcell} order by {_draw(r + '-man')}, pid)
+             as place from pick{n}),
+offered{n} as (select year, pid as woman, {FEATURE_LIST}, row_number() over (partition by year, {FEATURE_LIST}
+               order by {_draw(r + '-woman')}, pid) as place from {w}),
+p{n} as (select a.year, a.man, o.woman from asked{n} a join offered{n} o on o.year = a.year and o.place = a.place and {mine}),
+m{n} as (select * from {m} m where not exists (select 1 from p{n} p where p.year = m.year and p.man = m.pid)),
+w{n} as (select * from {w} w where not exists (select 1 from p{n} p where p.year = w.year and p.woman = w.pid))"""
+
+
+fragment("couples", f"""
+with men as (select * from singles where female = 0), w0 as (select * from singles where female = 1),
+sizes as (select year, cast(round_even(0.1::double * least(count(*) filter (female = 0), count(*) filter (female = 1)), 0) as bigint)
+          as wanted from singles group by year),
+m0 as (select m.* from men m join sizes s on s.year = m.year
+       qualify row_number() over (partition by m.year order by {_draw('chosen').replace('pid,', 'm.pid,').replace('year,', 'm.year,')}, m.pid) <= s.wanted),
+{_round_sql(1)}, {_round_sql(2)},
+late_men as (select year, pid as man, row_number() over (partition by year order by {FEATURE_LIST}, {_draw('late-man', 0)}, pid) as place from m2),
+late_women as (select year, pid as woman, row_number() over (partition by year order by {FEATURE_LIST}, {_draw('late-woman', 0)}, pid) as place from w2)
+select * from p1 union all select * from p2
+union all select m.year, m.man, w.woman from late_men m join late_women w on w.year = m.year and w.place = m.place""")
+
+
+@query("match_pairs", "select year, man, woman from couples")
 def _(spark, folder):
     singles = eligible_singles(full(spark, folder))
     return match_pairs(spark, singles.filter("female = 0"), singles.filter("female = 1"))

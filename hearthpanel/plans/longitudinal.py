@@ -35,7 +35,7 @@ LAG_DIGITS = "hours_t1 hours_t2 gross_earnings_t1:2 gross_earnings_t2:2"
 
 @query("lagged_panel", f"select {', '.join(LAGGED)} from panel_lags", LAG_DIGITS)
 def _(spark, folder):
-    return lags(spark, folder).select(*LAGGED)
+    return op.lagged_panel(full(spark, folder)).select(*LAGGED)
 
 
 @query("roll_state", """
