@@ -7,8 +7,6 @@ offset, and only rows of one cell meet in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +16,25 @@ from hearthpanel.functions.skew import HOT_KEYS, HOT_ROWS
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
-def _position(total: Column, prob: float) -> Column:
-    return (total - 1) * F.lit(float(prob))
+def _ranks(prob: float) -> tuple[str, str, str]:
+    """Position of a quantile among the sorted values, and the two ranks it lies between."""
+    place = f"(_total - 1) * {float(prob)!r}D"
+    return place, f"floor({place})", f"ceil({place})"
 
 
-def _holds_target(first: Column, end: Column, total: Column, probs: list[float]) -> Column:
-    """True for the stretch [first, end) of ranks when it holds a rank some quantile needs."""
-    tests = []
-    for p in probs:
-        for rank in (F.floor(_position(total, p)), F.ceil(_position(total, p))):
-            tests.append((rank >= first) & (rank < end))
-    return reduce(lambda a, b: a | b, tests)
+def _holds_target(probs: list[float]) -> Column:
+    """True for the stretch [_off, _end) of ranks when it holds a rank some quantile needs."""
+    ranks = [rank for p in probs for rank in _ranks(p)[1:]]
+    return F.expr(" or ".join(f"({rank} >= _off and {rank} < _end)" for rank in ranks))
 
 
 def _interpolate(probs: dict[str, float]) -> list[Column]:
+    """The values at both ranks, which lie in rows covering [_end - _n, _end), and the line between."""
     out = []
     for name, p in probs.items():
-        place = _position(F.col("_total"), p)
-        inside = lambda rank: (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
-        low = F.max(F.when(inside(F.floor(place)), F.col("_x")))
-        high = F.max(F.when(inside(F.ceil(place)), F.col("_x")))
-        share = F.max(place) - F.floor(F.max(place))
-        out.append((low + share * (high - low)).alias(name))
+        place, below, above = _ranks(p)
+        low, high = (f"max(case when {r} >= _end - _n and {r} < _end then _x end)" for r in (below, above))
+        out.append(F.expr(f"{low} + (max({place}) - floor(max({place}))) * ({high} - {low})").alias(name))
     return out
 
 
@@ -59,7 +54,7 @@ def _running_cells(counts: DataFrame, parts: list[str], cell: str, wanted: list[
     order = Window.partitionBy(*parts).orderBy(cell).rowsBetween(*RUNNING)
     return (counts.withColumn("_end", F.col("_off") + F.sum("_n").over(order))
                   .withColumn("_off", F.col("_end") - F.col("_n"))
-                  .filter(_holds_target(F.col("_off"), F.col("_end"), F.col("_total"), wanted)))
+                  .filter(_holds_target(wanted)))
 
 
 def _cells_of_groups(cells: DataFrame, by: list[str], cell: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # A key is hot from this many rows on, and at most this many keys are treated as hot.
 # Every other key then holds fewer than HOT_ROWS rows or less than 1/HOT_KEYS of all rows.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
+HOT_KEYS = 10_000
 SALTS = 4_096
 
 
@@ -30,10 +30,13 @@ def join_by_weight(df: DataFrame, table: DataFrame, keys: list[str], weight: str
     The at most `hot_keys` heaviest keys are broadcast and answered on the spot. Their rows
     then carry a salt that spreads them over all tasks of the shuffle join which serves the
     other keys. Rows with a missing key are spread in the same way. The salt of `table` is always 0
-    but is computed from the weight: a constant would be moved out of the join keys.
+    but is computed from the weight: a constant would be moved out of the join keys. The salt is a
+    hash of the whole row and not a random number, so a task that is run again routes its rows as
+    before; panel rows differ in (pid, year) and so in their salt.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     values = [c for c in table.columns if c not in keys and c != weight]
+    df = df.drop(*values)  # a value that is already there is replaced
     hot = (table.filter(F.col(weight) >= hot_rows)
                 .orderBy(F.desc(weight), *keys).limit(hot_keys)
                 .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthpanel.operators.features import KEYS, WEIGHT
+from hearthpanel.session import keep_checkpoints
 
 COMMON = dict(featuresCol="features", labelCol="dep_var", weightCol=WEIGHT)
 NOT_FEATURES = {*KEYS, "dep_var", WEIGHT, "is_test"}
@@ -64,6 +65,7 @@ def fit_boosted_regression(df: DataFrame, trees: int = 350, depth: int = 5, rate
 
 
 def _fit_boosted(gbt: Estimator, df: DataFrame) -> PipelineModel:
+    keep_checkpoints(df.sparkSession)  # boosting cuts its own lineage every few trees where it can
     rows = _validated(df.withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"))
     names = [c for c in feature_names(rows) if c != "_validate"]
     return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(rows)

@@ -59,14 +59,15 @@ def hh_youngest_age(df: DataFrame) -> DataFrame:
     return attach_group(df, HOUSEHOLD, [_youngest()])
 
 
-def _mother_of_newborn(df: DataFrame) -> DataFrame:
-    rule = (F.col("hh_youngest_age") == 0) & (F.col("female") == 1) & (F.col("child") == 0)
+def _mother_of_newborn(df: DataFrame, youngest: str = "hh_youngest_age") -> DataFrame:
+    rule = (F.col(youngest) == 0) & (F.col("female") == 1) & (F.col("child") == 0)
     return df.withColumn("birth", flag(rule))
 
 
 def hh_birth_flag(df: DataFrame) -> DataFrame:
     """Adult women of a household whose youngest member is of age 0."""
-    return _mother_of_newborn(hh_youngest_age(df)).drop("hh_youngest_age")
+    youngest = attach_group(df, HOUSEHOLD, [F.min("age").alias("_youngest")])
+    return _mother_of_newborn(youngest, "_youngest").drop("_youngest")
 
 
 def hh_vars(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -79,5 +80,4 @@ def hh_vars_lagged(df: DataFrame, keys: tuple[str, ...] = ("year", "hid")) -> Da
     """As `hh_vars`, from last year's earnings and working flag; pass keys=("hid",) for one year."""
     values = [_income("gross_earnings_t1"), _youngest(), _size(), _children(),
               _frac_working("working_t1")]
-    names = ["hh_income", "hh_youngest_age", "n_people", "n_children", "hh_frac_working"]
-    return attach_group(df.drop(*names), list(keys), values)
+    return attach_group(df, list(keys), values)

@@ -7,6 +7,7 @@ from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -36,14 +37,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or _test_folder()
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Write `df` to the shared folder so that later rounds do not recompute earlier ones."""
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Point checkpoints at the shared folder unless the session already has a place for them."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder so that later rounds do not recompute earlier ones."""
+    keep_checkpoints(spark)
     return df.checkpoint()
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(spark: SparkSession, source: str, name: str, build) -> DataFrame:
@@ -55,6 +61,8 @@ def stored(spark: SparkSession, source: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, source, name)
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/panels/{uuid4().hex}/{name}"
-        build().write.partitionBy("year").parquet(path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+        frame = build()
+        frame.write.partitionBy("year").parquet(path)
+        _WRITTEN[key] = path, frame.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
