@@ -8,7 +8,7 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClas
                                    RegressionEvaluator)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +34,9 @@ def _fit(estimator: Estimator, df: DataFrame) -> PipelineModel:
     return Pipeline(stages=[assembler, estimator]).fit(rows)
 
 
-def fit_logit(df: DataFrame, max_iter: int = 100) -> PipelineModel:
+def fit_logit(df: DataFrame, max_iter: int = 100, tol: float = 1e-10) -> PipelineModel:
     """Weighted logistic regression without a penalty."""
-    return _fit(LogisticRegression(regParam=0.0, maxIter=max_iter, **COMMON), _train(df))
+    return _fit(LogisticRegression(regParam=0.0, maxIter=max_iter, tol=tol, **COMMON), _train(df))
 
 
 def fit_ols(df: DataFrame) -> PipelineModel:
@@ -77,18 +77,32 @@ def fit_multiclass_status(df: DataFrame, trees: int = 50, depth: int = 8, seed:
     return _fit(forest, _train(df))
 
 
-def tune_grid(df: DataFrame, rates: list[float], trees: list[int], binary: bool = True, folds: int = 3,
-              parallelism: int = 4, seed: int = 2020) -> DataFrame:
-    """Cross-validated score of every (rate, trees) setting, one row each."""
-    kind = GBTClassifier if binary else GBTRegressor
-    gbt = kind(maxDepth=5, seed=seed, **COMMON)
-    grid = ParamGridBuilder().addGrid(gbt.stepSize, rates).addGrid(gbt.maxIter, trees).build()
+# The tuning grid.
+RATES = [0.01, 0.175, 0.34, 0.505, 0.67, 0.835, 1.0]
+TREES = [150, 200, 250]
+
+
+def tune_grid(df: DataFrame, rates: list[float] = RATES, trees: list[int] = TREES, binary: bool = True,
+              folds: int = 3, parallelism: int = 4, seed: int = 2020) -> DataFrame:
+    """Cross-validated score of every setting, one row each.
+
+    Two kinds of ensembles are compared: boosted trees over rates and numbers of trees, and random
+    forests, which have no rate, over numbers of trees.
+    """
+    keep_checkpoints(df.sparkSession)
+    boosted = (GBTClassifier if binary else GBTRegressor)(maxDepth=5, seed=seed, **COMMON)
+    forest = (RandomForestClassifier if binary else RandomForestRegressor)(maxDepth=5, seed=seed, **COMMON)
     score = (BinaryClassificationEvaluator(labelCol="dep_var", weightCol=WEIGHT) if binary
              else RegressionEvaluator(labelCol="dep_var", weightCol=WEIGHT))
-    model = _cross_validate(df, gbt, grid, score, folds, parallelism, seed, False)
-    rows = [(float(p[gbt.stepSize]), int(p[gbt.maxIter]), float(m), score.getMetricName())
-            for p, m in zip(grid, model.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "rate double, trees int, score double, metric string")
+    rows = []
+    for kind, model, count, rate in (("boosted", boosted, boosted.maxIter, boosted.stepSize),
+                                     ("forest", forest, forest.numTrees, None)):
+        grid = ParamGridBuilder().addGrid(count, trees)
+        grid = (grid if rate is None else grid.addGrid(rate, rates)).build()
+        fitted = _cross_validate(df, model, grid, score, folds, parallelism, seed, False)
+        rows += [(kind, None if rate is None else float(p[rate]), int(p[count]), float(m), score.getMetricName())
+                 for p, m in zip(grid, fitted.avgMetrics)]
+    return df.sparkSession.createDataFrame(rows, "kind string, rate double, trees int, score double, metric string")
 
 
 def _cross_validate(df: DataFrame, estimator: Estimator, grid: list, score, folds: int, parallelism: int,

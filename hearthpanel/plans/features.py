@@ -1,5 +1,7 @@
 """Queries of the feature frames, estimation jobs and scoring."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from hearthpanel.operators import estimation as est
@@ -83,9 +85,15 @@ def _coefficients(spark, folder, build, fit):
     return est.coefficients(spark, fit(df), est.feature_names(df))
 
 
-@query("fit_logit")
+@query("fit_logit", f"""
+part as (select working_t1 as x, working as y, personweight as w from panel_lags where not {draw('split')} < 0.05),
+odds as (select ln(sum(w) filter (x = 0 and y = 1) / sum(w) filter (x = 0 and y = 0)) as low,
+                ln(sum(w) filter (x = 1 and y = 1) / sum(w) filter (x = 1 and y = 0)) as high from part)
+select 'intercept' as term, low as beta from odds union all select 'working_t1', high - low from odds""", "beta:3")
 def _(spark, folder):
-    return _coefficients(spark, folder, op.features_working, est.fit_logit)
+    # one 0/1 regressor: the coefficients are weighted log odds, which plain SQL can give
+    one = lambda df: df.select("pid", "year", F.col("working").alias("dep_var"), "working_t1", "personweight")
+    return _coefficients(spark, folder, one, est.fit_logit)
 
 
 @query("fit_ols", """
@@ -150,10 +158,14 @@ def _(spark, folder):
     return est.feature_importance(spark, model, est.feature_names(df))
 
 
-@query("save_load_model")
+@query("save_load_model", """
+line as (select regr_slope(hours, hours_t1) as b, regr_intercept(hours, hours_t1) as a from train where is_test = 0)
+select is_test, count(*) as n, avg(abs(a + b * hours_t1 - hours)) as mean_abs_error,
+       sqrt(avg((a + b * hours_t1 - hours) * (a + b * hours_t1 - hours))) as rmse from train, line group by is_test""",
+       "mean_abs_error rmse")
 def _(spark, folder):
-    from uuid import uuid4
-    df = _training(spark, folder, op.features_hours)
+    df = _training(spark, folder, lambda lagged: lagged.select(
+        "pid", "year", F.col("hours").alias("dep_var"), "hours_t1", F.lit(1.0).alias("personweight")))
     path = est.save_model(est.fit_ols(df), f"{shared_folder(spark)}/models/{uuid4().hex}")
     return _hits(est.load_model(path), df)
 

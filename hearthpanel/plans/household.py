@@ -1,7 +1,5 @@
 """Queries of the household aggregates."""
 
-from pyspark.sql import functions as F
-
 from hearthpanel.operators import household as op
 from hearthpanel.plans.frames import lags, panel
 from hearthpanel.plans.registry import query
@@ -54,13 +52,12 @@ def _(spark, folder):
 
 
 @query("hh_vars_lagged", """
-select pid, hid, sum(gross_earnings_t1) over h as hh_income, min(age) over h as hh_youngest_age,
+select pid, year, hid, sum(gross_earnings_t1) over h as hh_income, min(age) over h as hh_youngest_age,
        cast(count(*) over h as int) as n_people, cast(sum(child) over h as int) as n_children,
        case when count(*) over h = sum(child) over h then 0.0::double
             else least(cast(sum(working_t1) over h as double) / cast(count(*) over h - sum(child) over h as double), 1.0)
        end as hh_frac_working
-from panel_lags where year = 2000 window h as (partition by hid)""", "hh_income:2 hh_frac_working")
+from panel_lags window h as (partition by year, hid)""", "hh_income:2 hh_frac_working")
 def _(spark, folder):
-    df = lags(spark, folder).filter(F.col("year") == 2000).select(
-        "pid", "hid", "age", "child", "gross_earnings_t1", "working_t1")
-    return op.hh_vars_lagged(df, ("hid",)).drop("age", "child", "gross_earnings_t1", "working_t1")
+    df = lags(spark, folder).select("pid", "year", "hid", "age", "child", "gross_earnings_t1", "working_t1")
+    return op.hh_vars_lagged(df).drop("age", "child", "gross_earnings_t1", "working_t1")

@@ -17,7 +17,7 @@ from panel p join customer c on c.c_custkey = p.pid""")
 fragment("pkal", "select pid, year as syear, any_r as kal1e01 from panel where any_r = 1")
 fragment("hgen", "select distinct hid, year as syear, cast(hid % 10 as int) as hgrent from panel")
 fragment("hpathl", "select hid, year as syear, sum(personweight) as hhrf from panel group by hid, year")
-fragment("hbrutto", "select distinct hid, year as syear, cast(hid % 16 as int) as bula from panel where hid % 7 <> 0")
+fragment("hbrutto", "select distinct hid, year as syear, cast(hid % 16 as int) as bula from panel where prio <> '5-LOW'")
 
 
 def person_tables(spark, folder):
@@ -33,11 +33,12 @@ def person_tables(spark, folder):
 
 
 def household_tables(spark, folder):
-    df = panel(spark, folder).select("hid", F.col("year").alias("syear"), "personweight")
+    df = panel(spark, folder).select("hid", F.col("year").alias("syear"), "personweight", "prio")
     homes = df.select("hid", "syear").distinct()
     hgen = homes.withColumn("hgrent", (F.col("hid") % 10).cast("int"))
     hpathl = df.groupBy("hid", "syear").agg(F.sum("personweight").alias("hhrf"))
-    hbrutto = homes.filter("hid % 7 <> 0").withColumn("bula", (F.col("hid") % 16).cast("int"))
+    # households that left no answer have no region row
+    hbrutto = df.filter("prio <> '5-LOW'").select("hid", "syear").distinct().withColumn("bula", (F.col("hid") % 16).cast("int"))
     return hgen, hpathl, hbrutto
 
 
@@ -65,7 +66,7 @@ def _(spark, folder):
 
 
 @query("merge_extracts_outer", """
-new as (select pid, year, case when pid % 10 = 0 then null else gross_earnings end as gross_earnings, hours, lfs
+new as (select pid, year, case when prio = '5-LOW' then null else gross_earnings end as gross_earnings, hours, lfs
         from panel where year >= 1997),
 old as (select pid, year, gross_earnings, hours + 100 as hours, education from panel where year <= 1998)
 select coalesce(n.pid, o.pid) as pid, coalesce(n.year, o.year) as year,
@@ -75,7 +76,7 @@ from new n full join old o on o.pid = n.pid and o.year = n.year""", "gross_earni
 def _(spark, folder):
     df = panel(spark, folder)
     new = df.filter("year >= 1997").select(
-        "pid", "year", F.when(F.col("pid") % 10 != 0, F.col("gross_earnings")).alias("gross_earnings"), "hours", "lfs")
+        "pid", "year", F.when(F.col("prio") != "5-LOW", F.col("gross_earnings")).alias("gross_earnings"), "hours", "lfs")
     old = df.filter("year <= 1998").select("pid", "year", "gross_earnings", (F.col("hours") + 100).alias("hours"),
                                            "education")
     return op.merge_extracts_outer(new, old)

@@ -9,7 +9,7 @@ from hearthpanel.plans.registry import fragment, query
 # The panel carries English order labels where the survey has its own; the operators take the labels
 # as arguments.
 PRIORITY_CODES = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "5-LOW": 6}
-NULLABLE_SEGMENT = "case when pid % 11 = 0 then null else segment end"
+NULLABLE_SEGMENT = "case when prio = '5-LOW' then null else segment end"
 
 fragment("mixed", f"""
 select pid, year, employment_status, lfs, hours, {NULLABLE_SEGMENT} as segment,
@@ -23,7 +23,7 @@ def mixed(spark, folder):
     text = F.when(F.col("n_orders") == 1, F.col("prio")).otherwise(F.col("gross_earnings").cast("string"))
     return panel(spark, folder).select(
         "pid", "year", "employment_status", "lfs", "hours",
-        F.when(F.col("pid") % 11 != 0, F.col("segment")).alias("segment"), text.alias("earned"),
+        F.when(F.col("prio") != "5-LOW", F.col("segment")).alias("segment"), text.alias("earned"),
         F.when(F.col("n_orders") != 1, F.col("gross_earnings")).alias("number"))
 
 

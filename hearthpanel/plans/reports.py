@@ -143,10 +143,10 @@ def _(spark, folder):
 
 @query("weighted_mean", """
 select year, sum(v * personweight) / sum(case when v is not null then personweight end) as weighted_mean
-from (select year, personweight, case when pid % 10 <> 0 then hours end as v from panel) group by year""",
+from (select year, personweight, case when prio <> '5-LOW' then hours end as v from panel) group by year""",
        "weighted_mean")
 def _(spark, folder):
-    df = panel(spark, folder).withColumn("v", F.when(F.col("pid") % 10 != 0, F.col("hours")))
+    df = panel(spark, folder).withColumn("v", F.when(F.col("prio") != "5-LOW", F.col("hours")))
     return op.weighted_mean(df, "v", "personweight", ["year"])
 
 

@@ -120,7 +120,7 @@ def _(spark, folder):
 
 PROJECTION_START = """select female, age, employment_status as status,
   count(*) / cast(sum(count(*)) over (partition by female, age) as double) as share
-  from panel_full where year = 1998 group by female, age, employment_status"""
+  from panel_full group by female, age, employment_status"""
 
 
 @query("project_status_shares", f"""
@@ -131,7 +131,7 @@ s2 as (select s.female, cast(s.age + 1 as int) as age, c.status_t as status, sum
        join conditional c on c.female = s.female and c.age = s.age + 1 and c.status_t1 = s.status group by all)
 select *, 0 as period from s0 union all select *, 1 from s1 union all select *, 2 from s2""", "share")
 def _(spark, folder):
-    now = panel(spark, folder).filter("year = 1998").groupBy("female", "age", F.col("employment_status").alias("status")).agg(
+    now = panel(spark, folder).groupBy("female", "age", F.col("employment_status").alias("status")).agg(
         F.count(F.lit(1)).alias("n"))
     sizes = now.groupBy("female", "age").agg(F.sum("n").alias("size"))
     start = now.join(sizes, ["female", "age"]).withColumn("share", F.col("n") / F.col("size"))
