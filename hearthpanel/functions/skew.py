@@ -18,6 +18,20 @@ HOT_KEYS = 10_000
 SALTS = 4_096
 
 
+# Whole numbers of these ranges are the only keys of a lookup table, so its size has a fixed bound:
+# two sexes, 131 ages and four states give at most 1,048 rows however large the panel is.
+LOOKUP_DOMAIN = {"female": (0, 1), "age": (0, 130), "employment_status_t1": (0, 3), "year": (1900, 2199)}
+
+
+def bounded(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Lookup table with one row per key, cut to the fixed domain of its keys and so safe to broadcast."""
+    for key in keys:
+        if dict(table.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{key} must be a whole number")
+        table = table.filter(F.col(key).between(*LOOKUP_DOMAIN[key]))
+    return F.broadcast(table)
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 

@@ -6,21 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import flag
-from hearthpanel.functions.skew import attach_group, join_hot
-
-# Whole numbers of these ranges are the only keys of a lookup table, so its size has a fixed bound:
-# two sexes, 131 ages and four states give at most 1,048 rows however large the panel is.
-LOOKUP_DOMAIN = {"female": (0, 1), "age": (0, 130), "employment_status_t1": (0, 3)}
-
-
-def _bounded(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Lookup table cut to the fixed domain of its keys, one row per key, ready to broadcast."""
-    for key in keys:
-        if dict(table.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
-            raise TypeError(f"{key} must be a whole number")
-        table = table.filter(F.col(key).between(*LOOKUP_DOMAIN[key]))
-    values = [c for c in table.columns if c not in keys]
-    return F.broadcast(table.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values]))
+from hearthpanel.functions.skew import attach_group, bounded, join_hot
 
 
 def join_person_left(left: DataFrame, *others: DataFrame) -> DataFrame:
@@ -111,7 +97,7 @@ def flag_births_by_link(df: DataFrame, children: DataFrame) -> DataFrame:
 def lookup_age_rate(df: DataFrame, rates: DataFrame, ages: tuple[int, int] = (15, 49)) -> DataFrame:
     """Women of the given ages who are no children, with their rate per 1000."""
     eligible = df.filter((F.col("female") == 1) & (F.col("child") == 0) & F.col("age").between(*ages))
-    return eligible.join(_bounded(rates.select("age", "rate"), ["age"]), "age", "left")
+    return eligible.join(bounded(rates.groupBy("age").agg(F.max("rate").alias("rate")), ["age"]), "age", "left")
 
 
 def lookup_transition(df: DataFrame, conditional: DataFrame) -> DataFrame:
@@ -122,7 +108,7 @@ def lookup_transition(df: DataFrame, conditional: DataFrame) -> DataFrame:
     keys = ["female", "age", "employment_status_t1"]
     wide = (conditional.withColumnRenamed("status_t1", "employment_status_t1").groupBy(*keys)
             .agg(*[F.sum(F.when(F.col("status_t") == k, F.col("cond"))).alias(f"t{k}") for k in range(4)]))
-    joined = df.join(_bounded(wide, keys), keys, "left")
+    joined = df.join(bounded(wide, keys), keys, "left")
     return joined.withColumns({f"t{k}": F.coalesce(f"t{k}", F.lit(0.0)) for k in range(4)})
 
 

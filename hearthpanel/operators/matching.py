@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import seeded_uniform
 from hearthpanel.functions.ordered import rank_by_draw
-from hearthpanel.functions.skew import join_by_weight
+from hearthpanel.functions.skew import bounded, join_by_weight
 from hearthpanel.session import cut_lineage
 
 FEATURES = ["age", "education", "migback", "east", "n_children"]
@@ -125,8 +125,7 @@ def _round(spark: SparkSession, men: DataFrame, women: DataFrame, k: int, featur
     return men_ranked.join(women_ranked, ["year", *rnames, "_place"]).select("year", "man", "woman")
 
 
-def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int,
-               hot_rows: int | None = None) -> DataFrame:
+def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int) -> DataFrame:
     """`share` of the smaller side, drawn from the men of each year."""
     sizes = (men.select("year", F.lit(1).alias("m"), F.lit(0).alias("w"))
                 .unionByName(women.select("year", F.lit(0).alias("m"), F.lit(1).alias("w")))
@@ -134,7 +133,7 @@ def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int,
                 .withColumn("_wanted", F.bround(F.least("_men", "_women") * F.lit(share)).cast("bigint")))
     drawn = men.withColumn("_u", seeded_uniform(["pid", "year"], "chosen", seed))
     ranked = rank_by_draw(drawn, ["year"], "_u", "pid", "_rank")
-    with_size = join_by_weight(ranked, sizes.select("year", "_wanted", "_men"), ["year"], "_men", "inner", hot_rows)
+    with_size = ranked.join(bounded(sizes.select("year", "_wanted"), ["year"]), "year")
     return with_size.filter(F.col("_rank") <= F.col("_wanted")).drop("_u", "_rank", "_wanted")
 
 
@@ -150,7 +149,7 @@ def match_pairs(spark: SparkSession, men: DataFrame, women: DataFrame, share: fl
     need = ["pid", "year", *features]
     men = cut_lineage(spark, men.select(*need).na.drop("any"))
     women = cut_lineage(spark, women.select(*need).na.drop("any"))
-    waiting, free, made = cut_lineage(spark, chosen_men(men, women, share, seed, hot_rows)), women, None
+    waiting, free, made = cut_lineage(spark, chosen_men(men, women, share, seed)), women, None
     for number in range(1, rounds + 1):
         pairs = _round(spark, waiting, free, k, features, seed, f"round{number}", hot_rows)
         made = cut_lineage(spark, pairs if made is None else made.unionByName(pairs))

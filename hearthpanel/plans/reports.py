@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hearthpanel.operators import longitudinal as lo
+from hearthpanel.functions.skew import bounded
 from hearthpanel.operators import reports as op
 from hearthpanel.operators.events import complete_panel
 from hearthpanel.operators.joins import anti_dropouts
@@ -164,13 +164,12 @@ union all select 'ext', cast(g.year + 1 as int), m.hours, personweight, 1 from g
 
 def completed_panels(spark, folder):
     """Panels completed by both predictors for the year after a dropout, below each other."""
-    from hearthpanel.functions.skew import attach_group, join_by_weight
     df = full(spark, folder).select("pid", "year", "female", "age", "hours", "personweight")
     gone = anti_dropouts(df).withColumns({"year": (F.col("year") + 1).cast("int"), "age": F.col("age") + 1})
     carried = complete_panel(df, gone)
     mean = F.sum(F.round(F.col("hours") * 10_000).cast("bigint")) / F.count("hours") / F.lit(10_000.0)
-    means = df.groupBy("female", "age").agg(mean.alias("mean_hours"), F.count(F.lit(1)).alias("_n"))
-    by_group = join_by_weight(gone, means, ["female", "age"], "_n").withColumn("hours", F.col("mean_hours")).drop("mean_hours")
+    means = df.groupBy("female", "age").agg(mean.alias("mean_hours"))
+    by_group = gone.join(bounded(means, ["female", "age"]), ["female", "age"], "left").withColumn("hours", F.col("mean_hours")).drop("mean_hours")
     return (carried.withColumn("method", F.lit("standard"))
                    .unionByName(complete_panel(df, by_group).withColumn("method", F.lit("ext"))))
 

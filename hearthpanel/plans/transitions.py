@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from hearthpanel.operators import transitions as op
 from hearthpanel.plans.frames import lags, panel
 from hearthpanel.plans.registry import fragment, query
-from hearthpanel.functions.skew import attach_group
+from hearthpanel.functions.skew import bounded
 
 CELL = "female, age, status_t1, status_t, n, joint, p_t, p_t1"
 CELL_DIGITS = "joint p_t p_t1"
@@ -86,7 +86,7 @@ DRAW = "('0x' || substr(md5(concat_ws('|', pid, year, 'status', '2020')), 1, 8))
 def with_shares(df):
     """Model probabilities of the fixture: status shares of the person's sex."""
     share = lambda k: F.avg((F.col("employment_status") == k).cast("double")).alias(f"p{k}")
-    return attach_group(df, ["female"], [share(k) for k in range(4)])
+    return df.join(bounded(df.groupBy("female").agg(*[share(k) for k in range(4)]), ["female"]), "female", "left")
 
 
 def blended(spark, folder):
