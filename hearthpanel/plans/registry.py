@@ -9,32 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+SQL: dict[str, tuple[str, dict[str, int]]] = {}
 FRAGMENTS: dict[str, str] = {}
 
 
 def fragment(name: str, sql: str) -> None:
-    """Name a shared table expression; it may use fragments that were named before it."""
+    """Name a shared table expression; it may use other fragments."""
     FRAGMENTS[name] = sql.strip()
 
 
-def _needed(sql: str) -> list[str]:
-    """Fragments `sql` uses, directly or not, in the order they were named."""
-    wanted: set[str] = set()
-    todo = [sql]
-    while todo:
-        words = set(re.findall(r"[a-z_0-9]+", todo.pop().lower()))
-        for name in FRAGMENTS:
-            if name in words and name not in wanted:
-                wanted.add(name)
-                todo.append(FRAGMENTS[name])
-    return [name for name in FRAGMENTS if name in wanted]
+def _needed(sql: str, found: list[str]) -> list[str]:
+    """Fragments `sql` uses, directly or not, each after those it uses itself."""
+    words = set(re.findall(r"[a-z_0-9]+", sql.lower()))
+    for name, text in FRAGMENTS.items():
+        if name in words and name not in found and text != sql:
+            _needed(text, found)
+            found.append(name)
+    return found
 
 
 def complete_sql(sql: str) -> str:
     """Prefix the fragments. `sql` is a select, or `name as (...), ... select ...`."""
     sql = sql.strip()
-    parts = [f"{name} as materialized ({FRAGMENTS[name]})" for name in _needed(sql)]
+    parts = [f"{name} as materialized ({FRAGMENTS[name]})" for name in _needed(sql, [])]
     if not parts:
         return sql if sql.lower().startswith("select") else "with " + sql
     glue = "\n" if sql.lower().startswith("select") else ",\n"
@@ -66,10 +63,18 @@ def query(name: str, sql: str | None = None, rnd: str = ""):
 
         QUERIES[name] = run
         if sql is not None:
-            text = complete_sql(sql)
-            if digits:
-                rounded = ", ".join(f'round("{c}", {d}) + 0.0::double as "{c}"' for c, d in digits.items())
-                text = f"select * replace ({rounded}) from ({text}) as answer"
-            ORACLES[name] = text
+            SQL[name] = sql, digits
         return run
     return keep
+
+
+def oracles() -> dict[str, str]:
+    """Complete SQL of every query that has one."""
+    out = {}
+    for name, (sql, digits) in SQL.items():
+        text = complete_sql(sql)
+        if digits:
+            rounded = ", ".join(f'round("{c}", {d}) + 0.0::double as "{c}"' for c, d in digits.items())
+            text = f"select * replace ({rounded}) from ({text}) as answer"
+        out[name] = text
+    return out

@@ -1,6 +1,8 @@
 """Every operator of the survey is registered, and each SQL counterpart gives the same answer."""
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -20,6 +22,14 @@ def test_all_survey_keys_are_registered():
     assert set(keys) == set(QUERIES)
 
 
+def test_sql_does_not_depend_on_import_order():
+    def lengths(first: str) -> str:
+        code = f"import {first}, __spark_entry__ as e; print(sorted((k, len(v)) for k, v in e.oracle_sql().items()))"
+        return subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1],
+                              capture_output=True, text=True, check=True).stdout
+    assert lengths("hearthpanel.plans.events") == lengths("hearthpanel.plans")
+
+
 def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.count() > 0 and "cond" in out.columns
