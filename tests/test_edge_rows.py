@@ -158,7 +158,7 @@ def test_extracts_prefer_the_new_one(spark):
     assert rows(out, "pid", "year", "hours", "a", "b") == [(1, 2000, 3.0, 4, 1), (2, 2000, 5.0, 4, None), (3, 1999, 6.0, None, 1)]
 
 
-def test_external_ratio_uses_the_reference_series_names(spark):
+def test_external_ratio_by_year(spark):
     series = spark.createDataFrame([("Labour Force", 2000, 6.0), ("Employment", 2000, 5.0), ("Population", 2000, 10.0),
                                     ("Labour Force", 2001, 6.0)], "series string, year int, value double")
     out = joins.join_external_ratio(series, {"lfs": "Labour Force", "working": "Employment"}, "Population")
