@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthpanel.llm.store import saved
 
@@ -31,7 +32,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard.astype(np.int32)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _jump(key: pd.Series, shards: pd.Series) -> pd.Series:
     out = np.zeros(len(key), dtype=np.int32)
     counts = shards.to_numpy()
