@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import quality_rules, sharding, token_counts, unigram
+from hearthpanel.llm import licenses, quality_rules, sharding, token_counts, unigram
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,3 +35,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
