@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import licenses, quality_rules, sharding, token_counts, unigram
+from hearthpanel.llm import licenses, quality_rules, sharding, token_counts, toxicity, unigram, url_filter
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,3 +40,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
