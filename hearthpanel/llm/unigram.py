@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from hearthpanel.llm.model_file import BYTE, CONTROL, MARK, UNKNOWN, Vocabulary, read_vocabulary
 
 CACHED_CHUNKS = 300_000
+"""Chunks of a generation whose ids a Python worker remembers. A full generation stays readable while
+the next one fills, so that frequent chunks are carried over and the memory is bounded by two."""
 UNKNOWN_TEXT = " ⁇ "
 
 
@@ -73,6 +75,25 @@ class DoubleArray:
         return found
 
 
+class Memory(dict):
+    """Ids of chunks, as bytes of 32-bit integers; what is missing is encoded and kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self.encode(chunk)).tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= CACHED_CHUNKS:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Codec:
     """Encodes texts to piece ids and decodes ids to texts.
 
@@ -89,37 +110,43 @@ class Codec:
         self.unknown_score, self.unknown_id = vocabulary.unknown_score, vocabulary.unknown_id
         self.bytes_of = vocabulary.byte_ids if vocabulary.byte_fallback else {}
         self.prefix = MARK if vocabulary.dummy_prefix else ""
-        self.chunk_pattern = vocabulary.chunk_pattern
+        self.chunks = re.compile(vocabulary.chunk_pattern).findall
         self.types = vocabulary.types
         # What each id stands for; control pieces stand for nothing.
         self.shown = [b"" if t == CONTROL else UNKNOWN_TEXT.encode() if t == UNKNOWN
                       else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode()
                       for p, t in zip(vocabulary.pieces, vocabulary.types)]
-        self.known: dict[str, tuple[int, ...]] = {}
+        # Score and id of the piece that ends in a state of the trie.
+        ends = {self.trie.check[leaf]: -1 - self.trie.base[leaf]
+                for leaf in range(len(self.trie.check)) if self.trie.base[leaf] < 0}
+        self.piece_of = [ends.get(state, -1) for state in range(len(self.trie.base))]
+        self.score_of = [self.scores[i] if i >= 0 else None for i in self.piece_of]
+        self.known = Memory(self.encode_chunk)
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         data = chunk.encode("utf-8", "surrogatepass")
         size = len(data)
-        best, start_of, id_of = [float("-inf")] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        lowest = float("-inf")
+        best, start_of, id_of = [lowest] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
         best[0] = 0.0
-        base, check, scores = self.trie.base, self.trie.check, self.scores
+        base, check, score_of, piece_of = self.trie.base, self.trie.check, self.score_of, self.piece_of
         start = 0
         while start < size:
             lead = data[start]
             after = start + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-            here, state, single = best[start], 0, False
-            for at in range(start, size):
-                cell = base[state] + data[at] + 1
+            here, state, end, single = best[start], 0, start, False
+            for byte in data[start:]:
+                cell = base[state] + byte + 1
                 if check[cell] != state:
                     break
                 state = cell
-                leaf = base[state]
-                if check[leaf] == state:
-                    piece = -1 - base[leaf]
-                    end = at + 1
-                    single = single or end == after
-                    if here + scores[piece] > best[end]:
-                        best[end], start_of[end], id_of[end] = here + scores[piece], start, piece
+                end += 1
+                score = score_of[state]
+                if score is not None:
+                    if end == after:
+                        single = True
+                    if here + score > best[end]:
+                        best[end], start_of[end], id_of[end] = here + score, start, piece_of[state]
             if not single and here + self.unknown_score > best[after]:
                 best[after], start_of[after], id_of[after] = here + self.unknown_score, start, -1
             start = after
@@ -141,21 +168,11 @@ class Codec:
         out = array("i")
         if not text:
             return out
-        known = self.known
-        last_unknown = False
-        for chunk in re.findall(self.chunk_pattern, self.prefix + text.replace(" ", MARK)):
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= CACHED_CHUNKS:
-                    known.clear()
-                ids = self.encode_chunk(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            if last_unknown and ids[0] == self.unknown_id:
-                ids = ids[1:]
-            out.extend(ids)
-            last_unknown = not self.bytes_of and out[-1] == self.unknown_id
-        return out
+        out.frombytes(b"".join(map(self.known.__getitem__, self.chunks(self.prefix + text.replace(" ", MARK)))))
+        if self.bytes_of or self.unknown_id not in out:
+            return out
+        # A run of unknown characters is one piece, also across chunks.
+        return array("i", (i for k, i in enumerate(out) if k == 0 or i != self.unknown_id or out[k - 1] != i))
 
     def decode(self, ids) -> str:
         """Text of piece ids; no ids give the empty text."""
