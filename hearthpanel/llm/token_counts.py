@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hearthpanel.llm.model_file import MARK, Vocabulary, read_vocabulary
 
 CACHED_CHUNKS = 300_000
-"""Chunks whose counts a Python worker remembers; beyond that the memory starts anew."""
+"""Chunks of a generation whose counts a Python worker remembers; the last full generation stays readable."""
 
 
 class PieceCounter:
@@ -37,6 +37,7 @@ class PieceCounter:
         self.prefix = MARK if vocabulary.dummy_prefix else ""
         self.chunks = re.compile(vocabulary.chunk_pattern).findall
         self.known: dict[str, tuple[int, float]] = {}
+        self.older: dict[str, tuple[int, float]] = {}
 
     def chunk(self, chunk: str) -> tuple[int, float]:
         size = len(chunk)
@@ -67,15 +68,15 @@ class PieceCounter:
         """Number of pieces and score of a whole text; null and empty texts have none."""
         if not text:
             return 0, 0.0
-        known, pieces, total = self.known, 0, 0.0
+        pieces, total = 0, 0.0
         for chunk in self.chunks(self.prefix + text.replace(" ", MARK)):
-            found = known.get(chunk)
+            found = self.known.get(chunk)
             if found is None:
-                if len(known) >= CACHED_CHUNKS:
-                    known.clear()
-                found = self.chunk(chunk)
+                found = self.older.get(chunk) or self.chunk(chunk)
                 if len(chunk) <= 64:
-                    known[chunk] = found
+                    if len(self.known) >= CACHED_CHUNKS:
+                        self.older, self.known = self.known, {}
+                    self.known[chunk] = found
             pieces += found[0]
             total += found[1]
         return pieces, total

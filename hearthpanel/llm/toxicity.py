@@ -8,7 +8,7 @@ not seen the row (out-of-fold), so that a later model learns how far earlier one
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,23 +21,36 @@ INSULTS = ["idiot", "moron", "loser", "clown", "scum", "trash"]
 CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting"]
 CATEGORIES = ["insult", "contempt", "toxic"]
 FOLDS = 3
-BUCKETS = 1 << 16
-STEM = 5
+VOCABULARY = 1_000
+"""Terms that the models see: those whose share of documents differs most between the classes."""
+STEMS = (4, 5)
 TRAINING_ROWS = 20_000
 """Bound of the sample of labelled documents that the chain is fitted on."""
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case words and their stems (first STEM letters) of a whole text; null counts as empty."""
+    """Distinct lower-case words and their stems (their first letters, by STEMS) of a whole text; null counts as empty."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    stems = F.array_distinct(F.transform(words, lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*"))))
-    return F.concat(words, stems)
+    stems = [F.array_distinct(F.transform(words, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))) for n in STEMS]
+    return F.concat(words, *stems)
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    """Adds `words`, the hashed terms of `body` as a 0/1 vector."""
-    return HashingTF(inputCol="terms", outputCol="words", numFeatures=BUCKETS, binary=True).transform(
-        rows.withColumn("terms", terms(F.col("body")))).drop("terms", "body")
+def choose_terms(rows: DataFrame, count: int = VOCABULARY) -> list[str]:
+    """The `count` terms of `rows` (terms, toxic) whose document share differs most between the classes.
+
+    Each document counts once per term. Ties go to the term that sorts first.
+    """
+    sizes = rows.agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).first()
+    seen = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(
+        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    gap = F.abs(F.col("toxic") / sizes.toxic - F.col("clean") / sizes.clean)
+    return [r.term for r in seen.filter("term <> ''").orderBy(gap.desc(), "term").limit(count).collect()]
+
+
+def _vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """`rows` with `words`, a 0/1 vector of the chosen terms, in place of `terms`."""
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="words").setBinary(True)
+    return counts.transform(rows).drop("terms")
 
 
 def _score(rows: DataFrame, model: LogisticRegressionModel, earlier: list[str], name: str) -> DataFrame:
@@ -48,7 +61,7 @@ def _score(rows: DataFrame, model: LogisticRegressionModel, earlier: list[str],
 
 
 def fit_chain(training: DataFrame, categories: list[str] = CATEGORIES, folds: int = FOLDS,
-              penalty: float = 1e-3) -> list[LogisticRegressionModel]:
+              penalty: float = 1e-4) -> list[LogisticRegressionModel]:
     """One linear model per category. `training` has `words`, `fold` and a 0/1 double column per category.
 
     It must be a saved table, as it is read many times.
@@ -83,7 +96,7 @@ def apply_chain(rows: DataFrame, models: list[LogisticRegressionModel], categori
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", limit: int = TRAINING_ROWS) -> DataFrame:
-    """A hashed sample of about `limit` labelled documents with `words`, `fold` and the categories, saved.
+    """A hashed sample of about `limit` labelled documents with `terms`, `fold` and the categories, saved.
 
     Labels with a null key or a null `toxic` are left out; of several labels of a key the highest counts,
     of documents with one key the text that sorts first.
@@ -99,23 +112,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", limit
     says = lambda words: F.lower("body").rlike(r"(?<![\p{L}\p{N}])(" + "|".join(words) + r")(?![\p{L}\p{N}])").cast("double")
     weak = one.withColumns({"insult": F.col("toxic") * says(INSULTS), "contempt": F.col("toxic") * says(CONTEMPT),
                             "fold": F.pmod(F.xxhash64("key", F.lit("fold")), F.lit(FOLDS))})
-    return saved(_vectors(weak), "toxic_training")
+    return saved(weak.withColumn("terms", terms(F.col("body"))).drop("body"), "toxic_terms")
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.5,
           limit: int = TRAINING_ROWS) -> DataFrame:
     """`key`, p_insult, p_contempt, p_toxic (doubles from 0 to 1) and toxic (boolean) of every document.
 
-    The chain is fitted on a sample of about `limit` labelled documents and applied to all whole texts
-    without a shuffle. Where labels are missing or of one class only, p_toxic is the share of toxic labels
+    The chain and its terms are fitted on a sample of about `limit` labelled documents and applied to all
+    whole texts without a shuffle. Where labels are missing or of one class only, p_toxic is the share of toxic labels
     (0.0 without labels), and so are the others. Null and empty texts are judged like texts without words; null
     and repeated keys each keep their rows. Other columns are ignored. No rows give no rows.
     """
     training = training_rows(docs, labels, key, limit)
-    rows = docs.select(F.col(key), F.col("text").alias("body"))
+    rows = docs.select(F.col(key), terms(F.col("text")).alias("terms"))
     share = training.agg(F.avg("toxic")).first()[0] or 0.0
     if 0 < share < 1:
-        scored = apply_chain(_vectors(rows), fit_chain(training))
+        vocabulary = choose_terms(training)
+        models = fit_chain(saved(_vectors(training, vocabulary), "toxic_training"))
+        scored = apply_chain(_vectors(rows, vocabulary), models)
     else:
         scored = rows.withColumns({f"p_{c}": F.lit(float(share)) for c in CATEGORIES})
     return scored.select(key, *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= threshold).alias("toxic"))
