@@ -1 +1,8 @@
 """Operators of a training-data pipeline over the documents, pages, labels and benchmark tables."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

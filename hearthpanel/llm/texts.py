@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 """Bytes hashed at once, so that a text of any length takes bounded memory besides its own words."""
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -24,7 +24,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ALL = np.arange(256, dtype=np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,34 +44,46 @@ def word_bounds(data: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray,
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def _hash_block(data: np.ndarray) -> np.ndarray:
-    starts, ends = word_bounds(data)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of at most BLOCK bytes `data`, the same wherever the span lies."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data.astype(np.uint64) * _POWER[:len(data)], out=total[1:])
     value = (total[ends] - total[starts]) * _INVERSE[starts]
     return mixed(value + (ends - starts).astype(np.uint64) * _ODD)
 
 
-def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
-    """One hash per word `[^\\x20\\x09-\\x0D]+` of the whole text, A-Z lower-cased if asked.
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z lower-cased."""
+    return _LOWER[data]
 
-    Null, empty and blank texts have no words. A text is hashed in blocks that end at white space;
-    only a single word longer than a block is hashed in pieces of a block each.
-    """
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    data = (_LOWER if lower else _ALL)[np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-    if len(data) <= BLOCK:
-        return _hash_block(data)
+
+def utf8(text: str | None) -> np.ndarray:
+    """Bytes of a text; none for null."""
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+
+
+def blocks(data: np.ndarray, gap: np.ndarray) -> list[np.ndarray]:
+    """`data` cut into blocks of at most BLOCK bytes, each but the last ending at a byte marked in `gap` if it has one."""
     out, begin = [], 0
     while begin < len(data):
         end = min(begin + BLOCK, len(data))
         if end < len(data):
-            cuts = np.flatnonzero(_SPACE[data[begin:end]])
+            cuts = np.flatnonzero(gap[data[begin:end]])
             end = begin + int(cuts[-1]) + 1 if len(cuts) else end
-        out.append(_hash_block(data[begin:end]))
+        out.append(data[begin:end])
         begin = end
-    return np.concatenate(out)
+    return out
+
+
+def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
+    """One hash per word `[^\\x20\\x09-\\x0D]+` of the whole text, A-Z lower-cased if asked.
+
+    Null, empty and blank texts have no words. A text is hashed in blocks that end at white space;
+    only a single word longer than a block is hashed in pieces of a block each.
+    """
+    data = lowered(utf8(text)) if lower else utf8(text)
+    parts = [span_hashes(block, *word_bounds(block)) for block in blocks(data, _SPACE)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
