@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import licenses, quality_rules, sharding, token_counts, toxicity, unigram, url_filter
+from hearthpanel.llm import (chosen_path, decontamination, licenses, quality_rules, sharding, span_dedup, token_counts,
+                               toxicity, unigram, url_filter)
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,3 +51,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_url_filter")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query("op1_span_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = span_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_sentences", "n_removed", found.clean.alias("text"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_near_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.judge(table(spark, folder, "documents"))
