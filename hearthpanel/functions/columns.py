@@ -50,7 +50,10 @@ def order_bucket(value: Column, per_unit: int = 4096) -> Column:
 
     The grid is logarithmic (a relative width of about 1/`per_unit`), needs no statistics
     of the data and has at most 6 million cells over all doubles, so it can split a hot
-    group into ordered parts without a first pass and always splits it the same way.
+    group into ordered parts without a first pass and always splits it the same way. The
+    infinities have end cells of their own.
     """
     x = value.cast("double")
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * per_unit).cast("int")
+    top = 800 * per_unit  # log1p of the largest double is below 710
+    finite = F.least(F.greatest(F.floor(F.signum(x) * F.log1p(F.abs(x)) * per_unit), F.lit(-top)), F.lit(top))
+    return (F.when(x == float("inf"), top + 1).when(x == float("-inf"), -top - 1).otherwise(finite)).cast("int")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import order_bucket
-from hearthpanel.functions.skew import HOT_KEYS, HOT_ROWS
+from hearthpanel.functions.skew import HOT_ROWS
 
+SLICE_ROWS = 100_000
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -77,9 +78,8 @@ def _hot_rows_only(rows: DataFrame, by: list[str], wanted: list[float], hot_rows
     """Rows of heavy groups cut down to the wanted fine cells; rows of other groups as they are."""
     counts = rows.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.lit(0).cast("bigint"))
     counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*by))).filter(F.col("_total") >= hot_rows)
-    # at most HOT_KEYS rows, each with at most two cells per quantile
-    coarse = (_cells_of_groups(_running_cells(counts, by, "_coarse", wanted), by, "_coarse")
-              .orderBy(F.desc("_total"), *by).limit(HOT_KEYS))
+    # at most one row per `hot_rows` rows, each with at most two cells per quantile
+    coarse = _cells_of_groups(_running_cells(counts, by, "_coarse", wanted), by, "_coarse")
     inside = (rows.join(F.broadcast(coarse), by).withColumn("_off", F.col("_offs")[F.col("_coarse")])
                   .filter(F.col("_off").isNotNull()))
     finer = inside.groupBy(*by, "_coarse", "_fine").agg(
@@ -147,10 +147,11 @@ def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFr
 def rank_by_draw(df: DataFrame, by: list[str], draw: str, tie: str, name: str) -> DataFrame:
     """1-based rank of each row in its group by a uniform draw, ties by `tie`.
 
-    A group is cut into 4,096 slices of the draw, so a group with a third of all rows is
-    still ranked by many tasks.
+    Groups are cut into slices of the draw, as many as keep a slice of the largest possible group at
+    SLICE_ROWS rows, so a group with a third of all rows is still ranked by many tasks. `df` is counted for it.
     """
-    rows = df.withColumn("_slice", F.floor(F.col(draw) * 4096).cast("int"))
+    slices = max(1, -(-df.count() // SLICE_ROWS))
+    rows = df.withColumn("_slice", F.floor(F.col(draw) * slices).cast("int"))
     slices = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(*RUNNING)
     slices = slices.select(*by, "_slice", (F.sum("_n").over(over) - F.col("_n")).alias("_off"))

@@ -11,68 +11,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on, and at most this many keys are treated as hot.
-# Every other key then holds fewer than HOT_ROWS rows or less than 1/HOT_KEYS of all rows.
+# A key with more rows than this is cut into slices of about this size. There can be at most
+# (all rows) / HOT_ROWS such keys.
 HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+# Rows without a key find no partner; they are only spread over this many parts.
 SALTS = 4_096
 
 
-# Whole numbers of these ranges are the only keys of a lookup table, so its size has a fixed bound:
-# two sexes, 131 ages and four states give at most 1,048 rows however large the panel is.
-LOOKUP_DOMAIN = {"female": (0, 1), "age": (0, 130), "employment_status_t1": (0, 3), "year": (1900, 2199)}
-
-
-def bounded(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Lookup table with one row per key, cut to the fixed domain of its keys and so safe to broadcast."""
-    for key in keys:
-        if dict(table.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
-            raise TypeError(f"{key} must be a whole number")
-        table = table.filter(F.col(key).between(*LOOKUP_DOMAIN[key]))
-    return F.broadcast(table)
-
-
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
 def join_by_weight(df: DataFrame, table: DataFrame, keys: list[str], weight: str,
-                   how: str = "left", hot_rows: int | None = None,
-                   hot_keys: int = HOT_KEYS) -> DataFrame:
+                   how: str = "left", hot_rows: int | None = None) -> DataFrame:
     """Join `table` (one row per key) to `df`; `weight` tells how many rows of `df` a key has.
 
-    The at most `hot_keys` heaviest keys are broadcast and answered on the spot. Their rows
-    then carry a salt that spreads them over all tasks of the shuffle join which serves the
-    other keys. Rows with a missing key are spread in the same way. The salt of `table` is always 0
-    but is computed from the weight: a constant would be moved out of the join keys. The salt is a
-    hash of the whole row and not a random number, so a task that is run again routes its rows as
-    before; panel rows differ in (pid, year) and so in their salt.
+    A key with more than `hot_rows` rows gets ceil(weight / hot_rows) slices: its row of `table` is repeated
+    for each slice, and each row of `df` goes to one of them, so no task holds more of a key than others. The list
+    of such keys with their slices, without any values, is broadcast; it has at most one entry per
+    `hot_rows` rows of `df`. The slice is a hash of the whole row and not a random number, so a task that
+    is run again routes its rows as before; panel rows differ in (pid, year) and so in their slice.
+    Rows with a missing key are spread over all tasks.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     values = [c for c in table.columns if c not in keys and c != weight]
     df = df.drop(*values)  # a value that is already there is replaced
-    hot = (table.filter(F.col(weight) >= hot_rows)
-                .orderBy(F.desc(weight), *keys).limit(hot_keys)
-                .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
-                        F.struct(F.lit(1).alias("_hit"), *values).alias("_hot")))
-    rest = table.select(*[F.col(k).alias(f"_cold_{k}") for k in keys],
-                        F.struct(F.lit(1).alias("_hit"), *values).alias("_cold"),
-                        F.least(F.col(weight), F.lit(0)).cast("int").alias("_cold_salt"))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int") + 1
+    slices = F.greatest(F.ceil(F.coalesce(F.col(weight), F.lit(0)) / hot_rows), F.lit(1)).cast("int")
+    hot = table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], slices.alias("_slices")).filter("_slices > 1")
+    sliced = table.select(*[F.col(k).alias(f"_in_{k}") for k in keys], F.struct(F.lit(1).alias("_hit"), *values).alias("_pick"),
+                          F.explode(F.sequence(F.lit(0), slices - 1)).alias("_in_slice"))
+    spread = F.xxhash64(*df.columns)
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     tagged = (df.join(F.broadcast(hot), _all([df[k] == hot[f"_hot_{k}"] for k in keys]), "left")
-                .drop(*[f"_hot_{k}" for k in keys])
-                .withColumn("_salt", F.when(F.col("_hot").isNotNull() | no_key, spread).otherwise(0)))
-    on = _all([tagged[k] == rest[f"_cold_{k}"] for k in keys]
-              + [tagged["_salt"] == rest["_cold_salt"]])
-    joined = tagged.join(rest, on, "left")
-    picked = [F.coalesce(F.col("_hot"), F.col("_cold")).alias("_pick")]
-    out = joined.select(*df.columns, *picked)
-    if how == "inner":
-        out = out.filter(F.col("_pick").isNotNull())
-    elif how != "left":
+                .withColumn("_slice", F.when(no_key, F.pmod(spread, F.lit(SALTS)).cast("int") + 1)
+                            .otherwise(F.pmod(spread, F.coalesce("_slices", F.lit(1))).cast("int"))))
+    on = _all([tagged[k] == sliced[f"_in_{k}"] for k in keys] + [tagged["_slice"] == sliced["_in_slice"]])
+    if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    return out.select(*df.columns, *[F.col("_pick")[v].alias(v) for v in values])
+    return tagged.join(sliced, on, how).select(*[tagged[c] for c in df.columns], *[F.col("_pick")[v].alias(v) for v in values])
 
 
 def join_hot(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",

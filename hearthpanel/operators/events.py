@@ -64,10 +64,11 @@ def leave_home(df: DataFrame) -> DataFrame:
 
 
 def flag_births(df: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
-    """Women of 15 to 49 who are no children, with birth = 1 when the draw is below their rate."""
+    """All rows, with birth = 1 for women of 15 to 49 who are no children and whose draw is below their rate."""
     u = seeded_uniform(["pid", "year"], "birth", seed)
-    looked_up = lookup_age_rate(df.drop("birth"), rates)
-    return looked_up.withColumn("birth", flag(u < F.col("rate") / 1000)).drop("rate")
+    born = lookup_age_rate(df.select("pid", "year", "female", "child", "age"), rates).filter(u < F.col("rate") / 1000)
+    return (df.drop("birth").join(born.select("pid", "year", F.lit(1).alias("_born")), ["pid", "year"], "left")
+              .withColumn("birth", flag(F.col("_born") == 1)).drop("_born"))
 
 
 def flag_births_scored(df: DataFrame, probability: Column) -> DataFrame:

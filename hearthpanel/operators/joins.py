@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import flag
-from hearthpanel.functions.skew import attach_group, bounded, join_hot
+from hearthpanel.functions.skew import attach_group, join_hot
 
 
 def join_person_left(left: DataFrame, *others: DataFrame) -> DataFrame:
@@ -95,9 +95,14 @@ def flag_births_by_link(df: DataFrame, children: DataFrame) -> DataFrame:
 
 
 def lookup_age_rate(df: DataFrame, rates: DataFrame, ages: tuple[int, int] = (15, 49)) -> DataFrame:
-    """Women of the given ages who are no children, with their rate per 1000."""
+    """Women of the given ages who are no children, with their rate per 1000.
+
+    An age with several different rates is an error; null where `rates` lacks the age.
+    """
+    one = F.when(F.min("rate") == F.max("rate"), F.max("rate")).when(F.max("rate").isNotNull(), F.raise_error(
+        F.concat(F.lit("several rates for age "), F.col("age").cast("string"))))
     eligible = df.filter((F.col("female") == 1) & (F.col("child") == 0) & F.col("age").between(*ages))
-    return eligible.join(bounded(rates.groupBy("age").agg(F.max("rate").alias("rate")), ["age"]), "age", "left")
+    return eligible.join(rates.groupBy("age").agg(one.alias("rate")), "age", "left")
 
 
 def lookup_transition(df: DataFrame, conditional: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def lookup_transition(df: DataFrame, conditional: DataFrame) -> DataFrame:
     keys = ["female", "age", "employment_status_t1"]
     wide = (conditional.withColumnRenamed("status_t1", "employment_status_t1").groupBy(*keys)
             .agg(*[F.sum(F.when(F.col("status_t") == k, F.col("cond"))).alias(f"t{k}") for k in range(4)]))
-    joined = df.join(bounded(wide, keys), keys, "left")
+    joined = df.join(wide, keys, "left")
     return joined.withColumns({f"t{k}": F.coalesce(f"t{k}", F.lit(0.0)) for k in range(4)})
 
 

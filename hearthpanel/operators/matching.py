@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import seeded_uniform
 from hearthpanel.functions.ordered import rank_by_draw
-from hearthpanel.functions.skew import bounded, join_by_weight
+from hearthpanel.functions.skew import join_by_weight
 from hearthpanel.session import cut_lineage
 
 FEATURES = ["age", "education", "migback", "east", "n_children"]
@@ -133,7 +133,7 @@ def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int) -> Dat
                 .withColumn("_wanted", F.bround(F.least("_men", "_women") * F.lit(share)).cast("bigint")))
     drawn = men.withColumn("_u", seeded_uniform(["pid", "year"], "chosen", seed))
     ranked = rank_by_draw(drawn, ["year"], "_u", "pid", "_rank")
-    with_size = ranked.join(bounded(sizes.select("year", "_wanted"), ["year"]), "year")
+    with_size = ranked.join(sizes.select("year", "_wanted"), "year")
     return with_size.filter(F.col("_rank") <= F.col("_wanted")).drop("_u", "_rank", "_wanted")
 
 

@@ -302,11 +302,10 @@ def prediction_error(df: DataFrame, variable: str, methods: list[str]) -> DataFr
 def drop_largest(df: DataFrame, value: str, by: str) -> DataFrame:
     """Remove rows whose value equals the positive maximum of any group.
 
-    The maxima (one per group of a short integer key) enter as one array from a one-row subquery.
+    Rows without a value stay.
     """
-    largest = (df.groupBy(by).agg(F.max(value).alias("m")).filter(F.col("m") > 0)
-                 .agg(F.collect_set("m")).scalar())
-    return df.filter(~F.coalesce(F.array_contains(largest, F.col(value)), F.lit(False)))
+    largest = df.groupBy(by).agg(F.max(value).alias("_m")).filter(F.col("_m") > 0).select("_m").distinct()
+    return df.join(largest, F.col(value) == F.col("_m"), "left_anti")
 
 
 def abs_error_describe(df: DataFrame, variable: str, method: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import seeded_uniform, when_any
 from hearthpanel.operators.longitudinal import birth_cohort
+from hearthpanel.session import cut_lineage
 
 STATES = (0, 1, 2, 3)
 
@@ -45,9 +46,9 @@ def transition_marginals(df: DataFrame) -> DataFrame:
 
 
 def transition_by_sex_age(df: DataFrame) -> DataFrame:
-    """Joint probabilities and both marginals for every sex and one-year age, all in one job."""
+    """Joint probabilities and both marginals for every sex and one-year age, whatever the ages, all in one job."""
     by = ["female", "age"]
-    keyed = df.filter(F.col("age").between(0, 100) & F.col("female").isNotNull())
+    keyed = df.filter(F.col("age").isNotNull() & F.col("female").isNotNull())
     cells = _cells(keyed, by)
     return cells.select(
         *by, "status_t1", "status_t", "n", "joint",
@@ -101,15 +102,18 @@ def project_status_shares(start: DataFrame, conditional: DataFrame, periods: int
     """Expected status shares by sex and age after each of `periods` years, without any draw.
 
     `start` has (female, age, status, share). Everybody ages by one each period, so each step is a
-    join of two tables of at most 2 * 101 * 4 rows; a cell without a table keeps no mass.
+    join of two aggregated tables, and is cut there. Where the table knows no move from a status, its share
+    goes on with status null (unknown), so the shares of an age stay the same in sum.
     """
-    moves = conditional.select("female", "age", F.col("status_t1").alias("_from"), "status_t", "cond")
-    now = start.select("female", "age", "status", "share")
+    spark = start.sparkSession
+    moves = cut_lineage(spark, conditional.filter("cond > 0").select(
+        "female", "age", F.col("status_t1").alias("_from"), "status_t", "cond"))
+    now = cut_lineage(spark, start.select("female", "age", "status", "share"))
     out = now.withColumn("period", F.lit(0))
     for step in range(1, periods + 1):
         aged = now.select("female", (F.col("age") + 1).cast("int").alias("age"), F.col("status").alias("_from"), "share")
-        now = (aged.join(moves, ["female", "age", "_from"])
-                   .groupBy("female", "age", F.col("status_t").alias("status"))
-                   .agg(F.sum(F.col("share") * F.col("cond")).alias("share")))
+        now = cut_lineage(spark, aged.join(moves, ["female", "age", "_from"], "left")
+                          .groupBy("female", "age", F.col("status_t").alias("status"))
+                          .agg(F.sum(F.col("share") * F.coalesce("cond", F.lit(1.0))).alias("share")))
         out = out.unionByName(now.withColumn("period", F.lit(step)))
     return out

@@ -58,9 +58,9 @@ def _(spark, folder):
 
 
 fragment("mothers", f"""
-select p.* exclude (birth), case when {draw('birth').replace('pid,', 'p.pid,').replace('year,', 'p.year,')} < r.rate / 1000 then 1 else 0 end as birth
-from panel_full p left join rates r on r.age = p.age
-where p.female = 1 and p.child = 0 and p.age between 15 and 49""")
+select p.* exclude (birth), case when p.female = 1 and p.child = 0 and p.age between 15 and 49
+     and {draw('birth').replace('pid,', 'p.pid,').replace('year,', 'p.year,')} < r.rate / 1000 then 1 else 0 end as birth
+from panel_full p left join rates r on r.age = p.age""")
 
 
 @query("flag_births", "select pid, year, age, birth from mothers")

@@ -96,12 +96,14 @@ def _(spark, folder):
     return _coefficients(spark, folder, one, est.fit_logit)
 
 
-@query("fit_ols", """
-select 'intercept' as term, regr_intercept(hours, hours_t1) as beta from train where is_test = 0
-union all select 'hours_t1', regr_slope(hours, hours_t1) from train where is_test = 0""", "beta")
-def _(spark, folder):
-    # one regressor and equal weights, so that plain SQL can give the same line
-    one = lambda df: df.select("pid", "year", F.col("hours").alias("dep_var"), "hours_t1", F.lit(1.0).alias("personweight"))
+@query("fit_ols", f"""
+part as (select hours_t1 as x, hours as y, personweight as w from panel_lags where not {draw('split')} < 0.05),
+line as (select (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) as b,
+                sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from part)
+select 'intercept' as term, my - b * mx as beta from line union all select 'hours_t1', b from line""", "beta:4")
+def _(spark, folder):
+    # one regressor with the weights of the survey, so that the normal equations fit plain SQL
+    one = lambda df: df.select("pid", "year", F.col("hours").alias("dep_var"), "hours_t1", "personweight")
     return _coefficients(spark, folder, one, est.fit_ols)
 
 
@@ -140,7 +142,7 @@ def _(spark, folder):
 
 @query("tune_grid")
 def _(spark, folder):
-    return est.tune_grid(_training(spark, folder, op.features_birth), [0.05, 0.15], [2, 4], binary=False)
+    return est.tune_grid(_training(spark, folder, op.features_working), [0.05, 0.15], [2, 4], binary=True)
 
 
 @query("cv_multiclass")

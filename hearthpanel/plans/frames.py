@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import flag
-from hearthpanel.functions.skew import bounded
 from hearthpanel.operators.household import hh_vars
 from hearthpanel.operators.joins import pair_methods
 from hearthpanel.operators.longitudinal import lagged_panel, period_ahead
@@ -162,7 +161,7 @@ def group_mean(df: DataFrame) -> DataFrame:
     """Predictor `ext`: the means of all persons of the same sex and age."""
     keys = ["female", "age"]
     means = df.groupBy(*keys).agg(*[_mean(v).alias(f"_mean_{v}") for v in _CARRIED])
-    return _with_states(df.join(bounded(means, keys), keys, "left").select("pid", "year", *FIXED, *[F.col(f"_mean_{v}").alias(v) for v in _CARRIED]))
+    return _with_states(df.join(means, keys, "left").select("pid", "year", *FIXED, *[F.col(f"_mean_{v}").alias(v) for v in _CARRIED]))
 
 
 def analysis_frame(people: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from hearthpanel.functions.skew import bounded
 from hearthpanel.operators import reports as op
 from hearthpanel.operators.events import complete_panel
 from hearthpanel.operators.joins import anti_dropouts
@@ -169,7 +168,7 @@ def completed_panels(spark, folder):
     carried = complete_panel(df, gone)
     mean = F.sum(F.round(F.col("hours") * 10_000).cast("bigint")) / F.count("hours") / F.lit(10_000.0)
     means = df.groupBy("female", "age").agg(mean.alias("mean_hours"))
-    by_group = gone.join(bounded(means, ["female", "age"]), ["female", "age"], "left").withColumn("hours", F.col("mean_hours")).drop("mean_hours")
+    by_group = gone.join(means, ["female", "age"], "left").withColumn("hours", F.col("mean_hours")).drop("mean_hours")
     return (carried.withColumn("method", F.lit("standard"))
                    .unionByName(complete_panel(df, by_group).withColumn("method", F.lit("ext"))))
 

@@ -1,5 +1,6 @@
 """Hand-written edge rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -163,3 +164,33 @@ def test_external_ratio_by_year(spark):
                                     ("Labour Force", 2001, 6.0)], "series string, year int, value double")
     out = joins.join_external_ratio(series, {"lfs": "Labour Force", "working": "Employment"}, "Population")
     assert rows(out, "year", "lfs", "working") == [(2000, 0.6, 0.5)]
+
+
+def test_lookups_take_any_age(spark):
+    people = spark.createDataFrame([(1, 1990, 1, 0, 140), (2, 1990, 1, 0, 150)], "pid long, year int, female int, child int, age int")
+    rates = spark.createDataFrame([(140, 20.0), (140, 20.0)], "age int, rate double")
+    got = {r.pid: r.rate for r in joins.lookup_age_rate(people, rates, (15, 200)).collect()}
+    assert got == {1: 20.0, 2: None}
+
+
+def test_several_rates_of_an_age_are_an_error(spark):
+    people = spark.createDataFrame([(1, 1990, 1, 0, 30)], "pid long, year int, female int, child int, age int")
+    rates = spark.createDataFrame([(30, 10.0), (30, 20.0)], "age int, rate double")
+    with pytest.raises(Exception, match="several rates"):
+        joins.lookup_age_rate(people, rates).collect()
+
+
+def test_births_keep_the_population(spark):
+    people = spark.createDataFrame([(1, 1990, 1, 0, 30), (2, 1990, 0, 0, 30), (3, 1990, 1, 0, 70)],
+                                   "pid long, year int, female int, child int, age int")
+    rates = spark.createDataFrame([(30, 1000.0)], "age int, rate double")
+    assert {r.pid: r.birth for r in events.flag_births(people, rates).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_transitions_of_any_age_and_unknown_moves(spark):
+    lags = spark.createDataFrame([(1, 2000, 0, 120, 0, 1, 2)], "pid long, year int, female int, age int, east int, employment_status int, employment_status_t1 int")
+    table = transitions.transition_conditional(transitions.transition_by_sex_age(lags))
+    assert {r.age for r in table.collect()} == {120}
+    start = spark.createDataFrame([(0, 119, 2, 1.0), (0, 50, 1, 1.0)], "female int, age int, status int, share double")
+    last = {(r.age, r.status): r.share for r in transitions.project_status_shares(start, table, 1).filter("period = 1").collect()}
+    assert last == {(120, 1): 1.0, (51, None): 1.0}

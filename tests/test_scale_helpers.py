@@ -47,6 +47,15 @@ def test_value_cells_keep_the_order(spark):
     assert cells == sorted(cells)
 
 
+def test_infinite_values_have_end_cells(spark):
+    values = [float("-inf"), -1.7e308, 0.0, 1.7e308, float("inf")]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, x double")
+    cells = [r.b for r in df.select("x", order_bucket(F.col("x"), 256 * 4096).alias("b")).orderBy("x").collect()]
+    assert cells == sorted(set(cells))
+    got = exact_quantiles(df, ["g"], "x", {"low": 0.0, "half": 0.5, "top": 1.0}, 1).first()
+    assert (got.half, got.top) == (0.0, float("inf")) or got.half == 0.0
+
+
 def _pairs(values):
     n = len(values)
     return sum(abs(a - b) for i, a in enumerate(values) for b in values[i + 1:]) / (n * n * (sum(values) / n))
@@ -82,10 +91,10 @@ def test_hot_join_equals_a_plain_join(spark, skewed, hot, how):
     assert rows(join_hot(skewed, table, ["g"], how, hot), "id", "name") == rows(skewed.join(table, "g", how), "id", "name")
 
 
-def test_salt_is_part_of_the_shuffle(skewed):
+def test_slice_is_part_of_the_shuffle(skewed):
     out = attach_group(skewed, ["g"], [F.sum("x").alias("s")], 1)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    joins = [line for line in plan.splitlines() if "Join" in line and "_salt" in line and "_cold_salt" in line]
+    joins = [line for line in plan.splitlines() if "Join" in line and "_slice" in line and "_in_slice" in line]
     assert joins, plan
 
 
