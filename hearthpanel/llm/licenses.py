@@ -20,7 +20,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GRAM = 4
 GAP = 6
-"""Diagonals at most this far apart belong to one span."""
+"""Diagonals at most this far apart, or a third of the template if that is less, belong to one span."""
 LEAST_SCORE = 0.6
 
 # Phrases with their labels, and public notices that name a license, in usual wording.
@@ -88,8 +88,8 @@ def matched_spans(keyed: DataFrame, keys: list[str], templates: list[tuple[str,
     """Verified spans of templates in rows that have `keys` and an array `words`.
 
     Returns keys, label, template, first_word, last_word (of the span, inclusive) and score: the share of
-    the template's grams found in the span. A span is verified where the score is at least LEAST_SCORE, the
-    template places rise along it and it is at most half as long again as the template plus GAP.
+    the template's grams found in the span. A span is verified where the score is at least LEAST_SCORE and it
+    is at most half as long again as the template plus GAP.
     The template table is a constant of the library, so it can be broadcast.
     """
     grams = bound(F.col("words"), lambda w: F.when(F.size(w) >= GRAM, F.transform(
@@ -100,17 +100,15 @@ def matched_spans(keyed: DataFrame, keys: list[str], templates: list[tuple[str,
     votes = spread.join(F.broadcast(known), "hash").select(
         *keys, "template", "label", "grams", "place", "at", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
     lines = votes.groupBy(*keys, "template", "label", "grams", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"),
-        F.min("place").alias("low"), F.max("place").alias("high"))
-    # Neighbouring diagonals join where their places in the document follow each other as well.
-    order = Window.partitionBy(*keys, "template").orderBy("first", "diagonal")
-    before = F.lag("diagonal").over(order)
-    apart = (before.isNull() | (F.abs(F.col("diagonal") - before) > GAP)
-             | (F.col("first") - F.lag("last").over(order) > GAP + GRAM) | (F.col("low") <= F.lag("low").over(order)))
+        F.count(F.lit(1)).alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
+    # Diagonals of one copy lie close to each other, those of another copy a template's length away.
+    order = Window.partitionBy(*keys, "template").orderBy("diagonal")
+    near = F.least(F.lit(GAP), F.greatest(F.lit(1), F.floor(F.col("grams") / 3)))
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True))
     merged = (lines.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(order))
               .groupBy(*keys, "template", "label", "grams", "span")
               .agg(F.sum("votes").alias("votes"), F.min("first").alias("first_word"),
-                   (F.max("last") + GRAM - 1).alias("last_word"), F.min("low").alias("low"), F.max("high").alias("high")))
+                   (F.max("last") + GRAM - 1).alias("last_word")))
     score = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     long = F.col("last_word") - F.col("first_word") + 1 > 1.5 * (F.col("grams") + GRAM - 1) + GAP
     return (merged.withColumn("score", score).filter((F.col("score") >= LEAST_SCORE) & ~long)
