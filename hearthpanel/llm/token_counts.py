@@ -35,7 +35,8 @@ class PieceCounter:
         self.unknown = vocabulary.unknown_score
         self.fallback = vocabulary.byte_fallback
         self.prefix = MARK if vocabulary.dummy_prefix else ""
-        self.chunks = re.compile(vocabulary.chunk_pattern).findall
+        # Without byte fallback a run of unknown characters is one piece, also across chunks.
+        self.chunks = re.compile(vocabulary.chunk_pattern if self.fallback else r"(?s).+").findall
         self.known: dict[str, tuple[int, float]] = {}
         self.older: dict[str, tuple[int, float]] = {}
 
