@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import (chosen_path, decontamination, licenses, quality_rules, sharding, span_dedup, token_counts,
+from hearthpanel.llm import (chosen_path, decontamination, licenses, quality_rules, sharding, span_dedup, sql, token_counts,
                                toxicity, unigram, url_filter)
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -33,12 +33,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"), SHARDS)
 
 
-@query("op5_quality_rules")
+@query("op5_quality_rules", sql.QUALITY_RULES)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", sql.LICENSE_SCAN)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -53,7 +53,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
-@query("op1_span_dedup")
+@query("op1_span_dedup", sql.SPAN_DEDUP)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = span_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_sentences", "n_removed", found.clean.alias("text"))
@@ -64,6 +64,6 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op6_near_dedup")
+@query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.judge(table(spark, folder, "documents"))
