@@ -20,46 +20,51 @@ from hearthpanel.llm.components import components
 from hearthpanel.llm.store import saved
 from hearthpanel.llm.texts import mixed, shingle_set, word_hashes
 
-POSITIONS = 64
+POSITIONS, SKETCH = 64, 512
+"""Positions whose tokens paths can go by, and positions that the sketch has a bit of (the former among them)."""
 TREES, ROOT_BRANCHES = 4, 4
 """A pair of similarity s agrees on none of the 16 root tokens with probability (1 - s)^16: 2e-10 at 0.75."""
 BRANCHES = 2
-PLAIN_LEVELS = 3
-SMALL = 64
+PLAIN_LEVELS = 1
+SMALL = 200
 """Nodes of at most so many sets are compared exhaustively."""
-PIVOTS, SAMPLE, DIFFERENCES = 4, 16, 32
+PIVOTS, SAMPLE, DIFFERENCES = 4, 16, 5
 SHINGLE = 5
+BROADCAST_ROWS = 500_000
+"""Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
 NUMERATOR, DENOMINATOR = 75, 100
-LEAST_AGREEMENT = 34
-"""Of 64 positions, those that agree in two bits of the token: 52 are expected at similarity 0.75, 16 at 0. Fewer than
-34 come by chance with a probability of 1e-7 at the threshold; such pairs are not confirmed."""
+LEAST_AGREEMENT = 404
+"""Of 512 positions, those that agree in one bit of the token: 448 are expected at similarity 0.75, 256 at 0. Fewer than
+404 come by chance with a probability of 1e-7 at the threshold; such pairs are not confirmed."""
+SKETCHES = [f"s{k}" for k in range(1, SKETCH // 64 + 1)]
 
 _RANDOM = np.random.default_rng(20240229)
-_FLIP = _RANDOM.integers(0, 1 << 64, POSITIONS, dtype=np.uint64)[:, None]
-_TIMES = (_RANDOM.integers(0, 1 << 64, POSITIONS, dtype=np.uint64) | np.uint64(1))[:, None]
+_FLIP = _RANDOM.integers(0, 1 << 32, SKETCH, dtype=np.uint32)[:, None]
+_TIMES = (_RANDOM.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1))[:, None]
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("vertex", "n", "s1", "s2")]
+_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("vertex", "n", *SKETCHES)]
                         + [T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Smallest token at each position, as a 32-bit hash; positions are independent orders of all shingles."""
-    low = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(shingles), 4096):
-        part = shingles[None, start:start + 4096]
+    """Smallest token at each of SKETCH positions, as a 32-bit hash; positions are independent orders of all shingles."""
+    low = np.full(SKETCH, np.iinfo(np.uint32).max, dtype=np.uint32)
+    halves = (shingles >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(halves), 1024):
+        part = halves[None, start:start + 1024]
         low = np.minimum(low, ((part ^ _FLIP) * _TIMES).min(axis=1))
-    return mixed(low) & np.uint64(0xFFFFFFFF)
+    return mixed(low.astype(np.uint64)) & np.uint64(0xFFFFFFFF)
 
 
 def _summary(text: str | None) -> tuple:
     shingles = shingle_set(word_hashes(text), SHINGLE)
     if len(shingles) == 0:
-        return None, 0, 0, 0, None
+        return None, 0, *[0] * len(SKETCHES), None
     tokens = signature(shingles)
     # Equal sets get equal numbers, and different ones differ but for a chance of 2^-64.
     vertex = mixed(np.array([mixed(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], dtype=np.uint64))
-    bits = [int((_BITS * ((tokens >> np.uint64(k)) & np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1)]
-    return int(vertex.view(np.int64)[0]), len(shingles), *bits, tokens.astype(np.uint32).view(np.int32)
+    bits = [int((_BITS * (tokens[k:k + 64] & np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) for k in range(0, SKETCH, 64)]
+    return int(vertex.view(np.int64)[0]), len(shingles), *bits, tokens[:POSITIONS].astype(np.uint32).view(np.int32)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -71,41 +76,69 @@ def _set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(_SCHEMA)
 def _summaries(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", "s1", "s2", "tokens"])
-        yield out.astype({"vertex": "Int64", "n": "int64", "s1": "int64", "s2": "int64"})
+        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", *SKETCHES, "tokens"])
+        yield out.astype({"vertex": "Int64", "n": "int64"} | {c: "int64" for c in SKETCHES})
 
 
 def _child(node: Column, position: Column) -> Column:
     return F.xxhash64(node, position, F.get("tokens", position))
 
 
+def _differing() -> Column:
+    """Positions at which the sketches of rows a and b differ."""
+    return sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCHES[1:]),
+               F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))))
+
+
 def _alike() -> Column:
     """May rows a and b be linked, by their sizes and sketches?"""
-    differ = F.col("a.s1").bitwiseXOR(F.col("b.s1")).bitwiseOR(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     return ((DENOMINATOR * F.least("a.n", "b.n") >= NUMERATOR * F.greatest("a.n", "b.n"))
-            & (F.bit_count(differ) <= POSITIONS - LEAST_AGREEMENT))
+            & (_differing() <= SKETCH - LEAST_AGREEMENT))
 
 
 def _pairs_of(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """Candidate pairs (a < b) within equal nodes."""
+    """Candidate pairs (a < b) within equal nodes that are not known to be in one component."""
     low, high = F.col("a.vertex"), F.col("b.vertex")
-    together = left.alias("a").join(right.alias("b"), (F.col("a.node") == F.col("b.node")) & _alike()
-                                    & ((low < high) if ordered else (low != high)))
+    together = left.alias("a").join(right.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+                                    & _alike() & ((low < high) if ordered else (low != high)))
     return together.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct()
 
 
-def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LEVELS) -> DataFrame:
-    """Candidate pairs (a < b) of a saved table of distinct sets (vertex, n, s1, s2, tokens).
+def _first_nodes(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row per set and root token: the nodes right below the roots of all trees."""
+    tokens = F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))) for tree in range(TREES)
+                       for p in range(tree * ROOT_BRANCHES, (tree + 1) * ROOT_BRANCHES)])
+    return sets.select(F.explode(tokens).alias("node"), *columns)
+
+
+def star_pairs(sets: DataFrame) -> DataFrame:
+    """Each set with a leader of each of its first nodes, where the sketches allow a link.
 
-    A node that is still too large after `plain_levels` holds a crowd of sets that agree on most tokens. Some
-    pivots, those most like a sample of the crowd, are compared with all members. Members then go on to children by
-    the tokens in which they differ from the first pivot, so each child holds fewer sets and the search ends
-    with small nodes only; no pair is given up for the size of its node.
+    These few pairs, once confirmed, join most of a crowd of near copies into one component, so that its many
+    other pairs need no comparison. A leader is the member smallest in an order of the node's own.
+    """
+    rows = _first_nodes(sets, "vertex", "n", *SKETCHES)
+    leaders = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("vertex").bitwiseXOR(F.col("node"))).alias("low"))
+    leaders = saved(leaders.filter("size > 1").select("node", F.col("low").bitwiseXOR(F.col("node")).alias("leader")), "leaders")
+    members = rows.join(leaders, "node").filter("vertex <> leader").alias("a")
+    heads = sets.select(*[F.col(c).alias(c) for c in ("vertex", "n", *SKETCHES)]).alias("b")
+    met = members.join(heads, (F.col("a.leader") == F.col("b.vertex")) & _alike())
+    low, high = F.col("a.vertex"), F.col("b.vertex")
+    return saved(met.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct(), "star_pairs")
+
+
+def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LEVELS) -> DataFrame:
+    """Candidate pairs (a < b) of a saved table of distinct sets (vertex, root, n, sketches, tokens).
+
+    Sets with the same `root` are known to be in one component; their pairs are left out. A node that is still too
+    large after `plain_levels` holds a crowd of sets that agree on most tokens. Some pivots, those most like a sample
+    of the crowd, are compared with all members. Members then go on to children by tokens in which they differ from
+    the first pivot (at positions picked by the node), so each child holds fewer sets and the search ends with small
+    nodes only; no pair is given up for the size of its node. Two members that are both linked to the pivot need
+    no path of their own.
     """
-    lean = ["node", "vertex", "n", "s1", "s2"]
-    roots = F.array(*[F.xxhash64(F.lit(tree), F.lit(p), F.get("tokens", F.lit(p))) for tree in range(TREES)
-                      for p in range(tree * ROOT_BRANCHES, (tree + 1) * ROOT_BRANCHES)])
-    rows = sets.select(F.explode(roots).alias("node"), "vertex", "n", "s1", "s2")
+    lean = ["node", "vertex", "root", "n", *SKETCHES]
+    rows = _first_nodes(sets, *lean[1:])
     found, level = [], 0
     while True:
         sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node_sizes")
@@ -118,17 +151,17 @@ def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LE
         tokens = sets.select("vertex", "tokens")
         if level < plain_levels:
             picks = F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")) for k in range(BRANCHES)])
-            rows = many.join(tokens, "vertex").select(F.explode(F.array_distinct(picks)).alias("node"), "vertex", "n", "s1", "s2")
+            rows = many.join(tokens, "vertex").select(F.explode(F.array_distinct(picks)).alias("node"), *lean[1:])
         else:
             pivots = saved(_pivots(many), "pivots")
             found.append(saved(_pairs_of(many, pivots.select(*lean), False), "pivot_pairs"))
             first = pivots.filter("place = 1").select("node", "vertex").join(tokens, "vertex").select("node", F.col("tokens").alias("pivot"))
             spread = many.join(tokens, "vertex").join(saved(first, "first_pivots"), "node")
-            at = F.filter(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda i: F.get("tokens", i) != F.get("pivot", i))
-            # The positions to go by are chosen by the node, so members choose alike.
-            chosen = F.slice(F.array_sort(F.transform(at, lambda i: F.struct(F.xxhash64("node", i).alias("h"), i.alias("i")))), 1, DIFFERENCES)
-            rows = spread.select(F.explode(F.transform(chosen, lambda c: F.xxhash64(
-                "node", c["i"], F.get("tokens", c["i"])))).alias("node"), "vertex", "n", "s1", "s2")
+            # The node picks the positions, so members go by the same ones.
+            picks = F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int") for k in range(DIFFERENCES)])
+            differ = F.filter(F.array_distinct(picks), lambda i: F.get("tokens", i) != F.get("pivot", i))
+            rows = spread.select(F.explode(F.transform(differ, lambda i: F.xxhash64(
+                "node", i, F.get("tokens", i)))).alias("node"), *lean[1:])
         level += 1
     pairs = found[0]
     for more in found[1:]:
@@ -141,9 +174,8 @@ def _pivots(members: DataFrame) -> DataFrame:
 
     drawn = members.withColumn("draw", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("vertex", "node"), "vertex")))
     sample = saved(drawn.filter(F.col("draw") <= SAMPLE).drop("draw"), "sample")
-    differ = F.col("a.s1").bitwiseXOR(F.col("b.s1")).bitwiseOR(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     likeness = members.alias("a").join(sample.alias("b"), F.col("a.node") == F.col("b.node")).groupBy(
-        *[F.col(f"a.{c}").alias(c) for c in ("node", "vertex", "n", "s1", "s2")]).agg(F.sum(F.bit_count(differ)).alias("distance"))
+        *[F.col(f"a.{c}").alias(c) for c in ("node", "vertex", "root", "n", *SKETCHES)]).agg(F.sum(_differing()).alias("distance"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("distance", "vertex"))
     return likeness.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("distance")
 
@@ -159,10 +191,12 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text
     """The pairs (a, b, both vertices) whose full sets have the similarity asked for."""
     wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
     # One row of each wanted set gives its text.
-    chosen = saved(rows.join(wanted, "vertex").groupBy("vertex").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("r"))
+    chosen = saved(rows.filter("n > 0").join(wanted, "vertex").groupBy("vertex").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("r"))
                    .select("vertex", F.col("r.id").alias("i"), F.col("r.print").alias("p")), "chosen_rows")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("print"), body.alias("body"))
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     found = texts.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).select("vertex", "body")
     # Equal rows give their set more than once.
     sets = saved(found.select("vertex", _set_of("body").alias("shingles")).dropDuplicates(["vertex"]), "full_sets")
@@ -186,10 +220,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     their rows, all marked alike. Other columns are ignored. No rows give no rows.
     """
     rows = _summarised(docs, key, text)
-    sets = saved(rows.filter("n > 0").dropDuplicates(["vertex"]).select("vertex", "n", "s1", "s2", "tokens"), "sets")
-    pairs = saved(candidates(sets), "candidates")
-    links = confirmed(docs, rows, pairs, key, text)
-    roots = components(links)
+    sets = saved(rows.filter("n > 0").dropDuplicates(["vertex"]).select("vertex", "n", *SKETCHES, "tokens"), "sets")
+    stars = confirmed(docs, rows, star_pairs(sets), key, text)
+    known = components(stars).withColumnRenamed("vertex", "v")
+    rooted_sets = saved(sets.join(known, F.col("vertex") == F.col("v"), "left").withColumn(
+        "root", F.coalesce("root", "vertex")).drop("v"), "rooted_sets")
+    pairs = saved(candidates(rooted_sets), "candidates")
+    roots = components(stars.union(confirmed(docs, rows, pairs, key, text)))
     rooted = saved(rows.select("id", "print", "vertex", "n").join(roots.withColumnRenamed("vertex", "v"), F.col("vertex") == F.col("v"), "left")
                    .select("id", "print", "n", F.coalesce("root", "vertex").alias("root")), "rooted")
     smallest = saved(rooted.groupBy("root").agg(F.min("id").alias("smallest")).filter("root is not null"), "smallest")

@@ -353,6 +353,7 @@ def test_crowds_lose_no_link(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     summed = chosen_path._summarised(df, "doc_id", "text")
     sets = chosen_path.saved(summed.dropDuplicates(["vertex"]), "sets")
+    sets = sets.withColumn("root", F.col("vertex"))
     pairs = chosen_path.candidates(sets, small=8, plain_levels=1)
     links = chosen_path.confirmed(df, summed, chosen_path.saved(pairs, "p"), "doc_id", "text")
     roots = {r.vertex: r.root for r in components.components(links).collect()}
