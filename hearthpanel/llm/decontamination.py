@@ -45,6 +45,13 @@ def _hash_word(word: str) -> int:
 _UNIT_HASHES = np.sort(np.array([_hash_word(u) for u in UNITS], dtype=np.uint64))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of `values` are in the sorted array `known`."""
+    if len(values) == 0 or len(known) == 0:
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def template(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Template tokens and values of a whole text, as two arrays of hashes of the same length.
 
@@ -80,7 +87,8 @@ def _template_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     follows = np.zeros(len(starts), dtype=bool)
     follows[1:] = (number[1:] & number[:-1] & ((gap[1:] == 46) | (gap[1:] == 44))) | (name[1:] & name[:-1] & (gap[1:] == 32))
     unit = np.zeros(len(starts), dtype=bool)
-    unit[1:] = number[:-1] & ~number[1:] & np.isin(value[1:], _UNIT_HASHES)
+    behind = np.flatnonzero(number[:-1] & ~number[1:]) + 1
+    unit[behind] = _among(value[behind], _UNIT_HASHES)
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     return token[~follows], value[~follows]
 
@@ -110,7 +118,7 @@ def _with_windows(rows: DataFrame, wanted=None) -> DataFrame:
             for text in batch:
                 at, hashes, token, value = windows(text)
                 if wanted is not None and len(at):
-                    keep = np.isin(hashes, wanted.value)
+                    keep = _among(hashes, wanted.value)
                     at, hashes = at[keep], hashes[keep]
                 found = []
                 for place, code in zip(at.tolist(), hashes.view(np.int64).tolist()):
