@@ -115,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", limit
     return saved(weak.withColumn("terms", terms(F.col("body"))).drop("body"), "toxic_terms")
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.5,
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.3,
           limit: int = TRAINING_ROWS) -> DataFrame:
     """`key`, p_insult, p_contempt, p_toxic (doubles from 0 to 1) and toxic (boolean) of every document.
 
