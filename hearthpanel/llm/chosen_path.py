@@ -2,8 +2,9 @@
 
 Trees branch the documents recursively: a node picks some positions of the minwise signature, and its documents
 go on to one child per picked position, by the token that is smallest there. Similar documents agree on most
-tokens and so share many paths. Small nodes are compared exhaustively; independent trees repeat the search
-until a pair at the threshold is missed with negligible probability. All links are confirmed on full sets.
+tokens and so share many paths. All nodes are compared exhaustively, small ones by sketches and large ones in blocks
+of full sets; independent trees repeat the search until a pair at the threshold is missed with negligible
+probability. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +28,11 @@ TREES, ROOT_BRANCHES = 4, 4
 BRANCHES = 2
 PLAIN_LEVELS = 1
 SMALL = 200
-"""Nodes of at most so many sets are compared exhaustively."""
-PIVOTS, SAMPLE, DIFFERENCES = 4, 16, 5
+"""Nodes of at most so many sets are compared by sketches."""
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
+"""About so many sets, and shingles in all, of a larger node are in one block; each two blocks are compared in one task."""
+COLUMNS = 2048
+"""Shingles whose occurrences in a block are counted at once."""
 SHINGLE = 5
 BROADCAST_ROWS = 500_000
 """Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
@@ -127,16 +131,8 @@ def star_pairs(sets: DataFrame) -> DataFrame:
     return saved(met.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct(), "star_pairs")
 
 
-def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LEVELS) -> DataFrame:
-    """Candidate pairs (a < b) of a saved table of distinct sets (vertex, root, n, sketches, tokens).
-
-    Sets with the same `root` are known to be in one component; their pairs are left out. A node that is still too
-    large after `plain_levels` holds a crowd of sets that agree on most tokens. Some pivots, those most like a sample
-    of the crowd, are compared with all members. Members then go on to children by tokens in which they differ from
-    the first pivot (at positions picked by the node), so each child holds fewer sets and the search ends with small
-    nodes only; no pair is given up for the size of its node. Two members that are both linked to the pivot need
-    no path of their own.
-    """
+def _nodes(sets: DataFrame, small: int, plain_levels: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) within small nodes, and the saved members of the nodes that are still large after `plain_levels`."""
     lean = ["node", "vertex", "root", "n", *SKETCHES]
     rows = _first_nodes(sets, *lean[1:])
     found, level = [], 0
@@ -146,38 +142,121 @@ def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LE
         few = members.filter(F.col("size") <= small).select(*lean)
         found.append(saved(_pairs_of(few, few, True), "pairs"))
         many = members.filter(F.col("size") > small).select(*lean)
-        if many.isEmpty():
+        if level >= plain_levels or many.isEmpty():
             break
-        tokens = sets.select("vertex", "tokens")
-        if level < plain_levels:
-            picks = F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")) for k in range(BRANCHES)])
-            rows = many.join(tokens, "vertex").select(F.explode(F.array_distinct(picks)).alias("node"), *lean[1:])
-        else:
-            pivots = saved(_pivots(many), "pivots")
-            found.append(saved(_pairs_of(many, pivots.select(*lean), False), "pivot_pairs"))
-            first = pivots.filter("place = 1").select("node", "vertex").join(tokens, "vertex").select("node", F.col("tokens").alias("pivot"))
-            spread = many.join(tokens, "vertex").join(saved(first, "first_pivots"), "node")
-            # The node picks the positions, so members go by the same ones.
-            picks = F.array(*[F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int") for k in range(DIFFERENCES)])
-            differ = F.filter(F.array_distinct(picks), lambda i: F.get("tokens", i) != F.get("pivot", i))
-            rows = spread.select(F.explode(F.transform(differ, lambda i: F.xxhash64(
-                "node", i, F.get("tokens", i)))).alias("node"), *lean[1:])
+        picks = F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")) for k in range(BRANCHES)])
+        rows = many.join(sets.select("vertex", "tokens"), "vertex").select(F.explode(F.array_distinct(picks)).alias("node"), *lean[1:])
         level += 1
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    return pairs.distinct()
+    return pairs.distinct(), many
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """PIVOTS members per node, the ones most like a sample of SAMPLE members; `place` counts from 1."""
+def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LEVELS) -> DataFrame:
+    """Candidate pairs (a < b), by sketches, of a saved table of distinct sets (vertex, root, n, sketches, tokens).
+
+    Sets with the same `root` are known to be in one component; their pairs are left out. Nodes of any size are
+    compared exhaustively. A crowd gives as many candidates as it has pairs; `links` compares it without making them.
+    """
+    pairs, many = _nodes(sets, small, plain_levels)
+    return pairs.union(_pairs_of(many, many, True)).distinct()
 
-    drawn = members.withColumn("draw", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("vertex", "node"), "vertex")))
-    sample = saved(drawn.filter(F.col("draw") <= SAMPLE).drop("draw"), "sample")
-    likeness = members.alias("a").join(sample.alias("b"), F.col("a.node") == F.col("b.node")).groupBy(
-        *[F.col(f"a.{c}").alias(c) for c in ("node", "vertex", "root", "n", *SKETCHES)]).agg(F.sum(_differing()).alias("distance"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("distance", "vertex"))
-    return likeness.withColumn("place", place).filter(F.col("place") <= PIVOTS).drop("distance")
+
+def _blocks(many: DataFrame) -> DataFrame:
+    """Members of large nodes, a row for each two blocks they are compared in: node, main, i, j, block, vertex, root.
+
+    The sets of a node's most frequent root are cut into blocks of their own, which are compared with those of
+    the others only; a crowd that is one component makes no rows.
+    """
+    roots = many.groupBy("node", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    top = roots.groupBy("node").agg(F.max(F.struct("sets", "root", "shingles")).alias("top"), F.sum("sets").alias("sets"),
+                                    F.sum("shingles").alias("shingles")).filter(F.col("sets") > F.col("top.sets"))
+    parts = lambda count, size: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    split = saved(top.select("node", F.col("top.root").alias("most"), parts(F.col("top.sets"), F.col("top.shingles")).alias("mains"),
+                             parts(F.col("sets") - F.col("top.sets"), F.col("shingles") - F.col("top.shingles")).alias("others")), "node_blocks")
+    of_main = F.col("root") == F.col("most")
+    block = F.pmod(F.xxhash64("vertex", "node"), F.when(of_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = many.join(split, "node").select("node", "vertex", "root", of_main.alias("is_main"), block.alias("block"), "mains", "others")
+    upto = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    pair = lambda main, i, j: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"))
+    met = F.when(F.col("is_main"), F.transform(upto("others"), lambda j: pair(True, F.col("block"), j))).otherwise(F.concat(
+        F.transform(upto("mains"), lambda i: pair(True, i, F.col("block"))),
+        F.transform(upto("others"), lambda k: pair(False, F.least("block", k), F.greatest("block", k)))))
+    return placed.select("node", "vertex", "root", "is_main", "block", F.explode(met).alias("m")).select(
+        "node", "m.*", (F.col("is_main") | (~F.col("m.main") & (F.col("block") == F.col("m.i")))).alias("first"),
+        ((~F.col("is_main")) & (F.col("block") == F.col("m.j"))).alias("second"), "vertex", "root")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each set on the left with each on the right, exactly."""
+    sizes = [len(s) for s in (*left, *right)]
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    inside = shared[column]
+    place, column = place[inside], (np.cumsum(shared) - 1)[column[inside]]
+    order = np.argsort(column, kind="stable")
+    place, column = place[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
+        has[place[low:high], column[low:high] - start] = 1
+        out += has[:len(left)] @ has[len(left):].T
+    return out.astype(np.int64)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect whatever all links connect, fewer than there are rows and columns."""
+    rows, columns = np.ones(linked.shape[0], dtype=bool), np.ones(linked.shape[1], dtype=bool)
+    out = []
+    for start in np.flatnonzero(linked.any(axis=1)):
+        stack = [start] if rows[start] else []
+        rows[start] = False
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(linked[i] & columns):
+                columns[j] = False
+                more = np.flatnonzero(linked[:, j] & rows)
+                rows[more] = False
+                out += [(i, j), *((k, j) for k in more)]
+                stack.extend(more)
+    return out
+
+
+def _block_links(group: pd.DataFrame) -> pd.DataFrame:
+    left, right = group[group["first"]], group[group["second"]]
+    found = []
+    if len(left) and len(right):
+        x, y = list(left["shingles"]), list(right["shingles"])
+        common = common_counts(x, y)
+        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
+        a, b = left["vertex"].to_numpy(), right["vertex"].to_numpy()
+        apart = left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
+        found = [(min(a[i], b[j]), max(a[i], b[j])) for i, j in _forest((DENOMINATOR * common >= NUMERATOR * union) & apart)]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def crowd_links(many: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a < b) within large nodes: all members are compared on full sets, a task per two blocks.
+
+    Of the links between two blocks as many stay as connect what they connect. A link between sets that are
+    linked in no other way always stays.
+    """
+    blocks = saved(_blocks(many), "blocks")
+    if blocks.isEmpty():
+        return blocks.select(F.col("vertex").alias("a"), F.col("vertex").alias("b"))
+    sets = full_sets(docs, rows, blocks.select("vertex").distinct(), key, text)
+    found = blocks.join(sets, "vertex").groupBy("node", "main", "i", "j").applyInPandas(_block_links, "a long, b long")
+    return saved(found.distinct(), "crowd_links")
+
+
+def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, key: str, text: str, small: int = SMALL,
+          plain_levels: int = PLAIN_LEVELS) -> DataFrame:
+    """Links (a < b) that join the sets with different `root`; `rows` as summarised, `sets` as in `candidates`."""
+    pairs, many = _nodes(sets, small, plain_levels)
+    return confirmed(docs, rows, saved(pairs, "candidates"), key, text).union(crowd_links(many, docs, rows, key, text))
 
 
 def _summarised(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -187,9 +266,8 @@ def _summarised(docs: DataFrame, key: str, text: str) -> DataFrame:
     return saved(rows.select("id", "print", "s.*"), "summaries")
 
 
-def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b, both vertices) whose full sets have the similarity asked for."""
-    wanted = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """Saved table of the wanted vertices and all their shingles."""
     # One row of each wanted set gives its text.
     chosen = saved(rows.filter("n > 0").join(wanted, "vertex").groupBy("vertex").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("r"))
                    .select("vertex", F.col("r.id").alias("i"), F.col("r.print").alias("p")), "chosen_rows")
@@ -199,7 +277,12 @@ def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text
         chosen = F.broadcast(chosen)
     found = texts.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).select("vertex", "body")
     # Equal rows give their set more than once.
-    sets = saved(found.select("vertex", _set_of("body").alias("shingles")).dropDuplicates(["vertex"]), "full_sets")
+    return saved(found.select("vertex", _set_of("body").alias("shingles")).dropDuplicates(["vertex"]), "full_sets")
+
+
+def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b, both vertices) whose full sets have the similarity asked for."""
+    sets = full_sets(docs, rows, pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct(), key, text)
     left = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -225,8 +308,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     known = components(stars).withColumnRenamed("vertex", "v")
     rooted_sets = saved(sets.join(known, F.col("vertex") == F.col("v"), "left").withColumn(
         "root", F.coalesce("root", "vertex")).drop("v"), "rooted_sets")
-    pairs = saved(candidates(rooted_sets), "candidates")
-    roots = components(stars.union(confirmed(docs, rows, pairs, key, text)))
+    roots = components(stars.union(links(docs, rows, rooted_sets, key, text)))
     rooted = saved(rows.select("id", "print", "vertex", "n").join(roots.withColumnRenamed("vertex", "v"), F.col("vertex") == F.col("v"), "left")
                    .select("id", "print", "n", F.coalesce("root", "vertex").alias("root")), "rooted")
     smallest = saved(rooted.groupBy("root").agg(F.min("id").alias("smallest")).filter("root is not null"), "smallest")

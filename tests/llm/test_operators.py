@@ -366,6 +366,33 @@ def test_crowds_lose_no_link(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_tight_pairs_in_a_crowd_below_the_threshold(spark):
+    """Every planted pair of similarity 0.76 is linked, though the 1,200 sets around are alike by 0.72 and linked with nothing."""
+    rng = random.Random(5)
+    core = [f"c{i}" for i in range(170)]
+    rows = [(i, " ".join(core + [f"u{i}x{k}" for k in range(32)])) for i in range(1200)]
+    for i in range(60):
+        pair = [f"p{i}x{k}" for k in range(5)]
+        rows += [(2000 + 2 * i + side, " ".join(core + pair + [f"q{i}s{side}x{k}" for k in range(27)])) for side in (0, 1)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    summed = chosen_path._summarised(df, "doc_id", "text")
+    sets = chosen_path.saved(summed.dropDuplicates(["vertex"]).withColumn("root", F.col("vertex")), "sets")
+    ids = {r.vertex: r.id for r in summed.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in chosen_path.links(df, summed, sets, "doc_id", "text").collect()}
+    assert found == {(2000 + 2 * i, 2001 + 2 * i) for i in range(60)}
+    assert sum(not r.kept for r in chosen_path.judge(df).collect()) == 60
+
+
+def test_common_counts_and_forest():
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(6000), rng.randrange(1, 3000)))) for _ in range(40)]
+    common = chosen_path.common_counts(sets[:15], sets[15:])
+    assert common.tolist() == [[len(set(a) & set(b)) for b in sets[15:]] for a in sets[:15]]
+    assert len(chosen_path._forest(np.ones((30, 30), dtype=bool))) < 60 and chosen_path._forest(np.zeros((3, 4), dtype=bool)) == []
+    assert chosen_path._forest(np.array([[False, True], [True, False]])) == [(0, 1), (1, 0)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
