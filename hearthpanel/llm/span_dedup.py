@@ -1,7 +1,8 @@
 """Substring dedup on runs of sentences.
 
 Every run of a few consecutive sentences is hashed and compared with all runs of all documents; sentences
-inside a run that occurred before, in an earlier document or earlier in the same one, are removed.
+inside a run that occurred before, in an earlier document or earlier in the same one, are removed. Only where
+neighbouring repeated runs have few words, all taken together, they stay.
 """
 
 from __future__ import annotations
@@ -32,18 +33,32 @@ def _sentences(pieces: Column) -> Column:
 
 
 def _occurrences(sentences: Column) -> Column:
-    """Hash, first and last piece of each run, and whether the text has the run before (`again`)."""
+    """Hash, first and last piece of each run, words by sentence, and whether the text has the run before (`again`)."""
     def runs(s):
         return F.when(F.size(s) >= RUN, F.transform(F.sequence(F.lit(0), F.size(s) - RUN), lambda i: F.struct(
             F.xxhash64(*[F.get(s, i + k)["wording"] for k in range(RUN)]).alias("hash"),
             F.get(s, i)["at"].alias("first"), F.get(s, i + RUN - 1)["at"].alias("last"),
-            sum((F.size(F.split(F.get(s, i + k)["wording"], " ")) for k in range(RUN)), F.lit(0)).alias("words"))))
-    long_enough = F.filter(bound(sentences, runs), lambda r: r["words"] >= LEAST_WORDS)
-    return bound(F.array_sort(long_enough), lambda s: F.transform(s, lambda r, k: F.struct(
-        r["hash"].alias("hash"), r["first"].alias("first"), r["last"].alias("last"),
+            F.array(*[F.shiftleft(F.get(s, i + k)["at"].cast("bigint"), 32) + F.size(F.split(F.get(s, i + k)["wording"], " "))
+                      for k in range(RUN)]).alias("sizes"))))
+    return bound(F.array_sort(bound(sentences, runs)), lambda s: F.transform(s, lambda r, k: F.struct(
+        r["hash"].alias("hash"), r["first"].alias("first"), r["last"].alias("last"), r["sizes"].alias("sizes"),
         F.coalesce(F.get(s, k - 1)["hash"] == r["hash"], F.lit(False)).alias("again"))))
 
 
+def _stretches(runs: Column) -> Column:
+    """Pieces of the stretches of LEAST_WORDS words; a stretch is all runs (sorted) that overlap or adjoin."""
+    def cut(r):
+        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: (k == 0) | (F.get(r, k)["first"] > F.get(r, k - 1)["last"] + 1))
+        return bound(starts, lambda at: F.transform(at, lambda low, i: F.slice(r, low + 1, F.coalesce(F.get(at, i + 1), F.size(r)) - low)))
+
+    def words(stretch):
+        # Place and words in one number, as distinct structs are found by comparing all with all.
+        sentences = F.array_distinct(F.flatten(F.transform(stretch, lambda r: r["sizes"])))
+        return F.aggregate(sentences, F.lit(0).cast("bigint"), lambda total, s: total + s.bitwiseAND(F.lit((1 << 32) - 1)))
+    long_enough = F.filter(bound(runs, cut), lambda stretch: words(stretch) >= LEAST_WORDS)
+    return F.flatten(F.transform(long_enough, lambda t: F.sequence(F.get(t, F.lit(0))["first"], F.get(t, F.size(t) - 1)["last"])))
+
+
 def repeated_pieces(keyed: DataFrame) -> DataFrame:
     """Pieces to remove: rank, print and `gone` (distinct piece places), one row per changed document.
 
@@ -56,16 +71,17 @@ def repeated_pieces(keyed: DataFrame) -> DataFrame:
                      .filter("holder <> other or twice").select("hash", "holder"), "repeated_runs")
     # The table of repeated runs is read from storage, so that the join may split the parts of a hot hash.
     later = spread.join(repeated, "hash").filter("rank > holder or again")
-    return later.groupBy("rank", "print").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last")))).alias("gone"))
+    runs = later.groupBy("rank", "print").agg(F.array_sort(F.collect_set(F.struct("first", "last", "sizes"))).alias("runs"))
+    return runs.select("rank", "print", _stretches(F.col("runs")).alias("gone")).filter(F.size("gone") > 0)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` as one struct column `row`, with n_sentences, n_removed (both long) and clean (the new text).
 
-    A run is RUN consecutive sentences with LEAST_WORDS words in all. Of equal runs (lower-cased, white
-    space made even) the first stays: the one in the document with the smallest key, and of those in one
-    document the first. Every sentence inside another occurrence goes, with the signs and white space
-    between; the rest of the text stays as it is.
+    A run is RUN consecutive sentences. Of equal runs (lower-cased, white space made even) the first stays: the
+    one in the document with the smallest key, and of those in one document the first. Other occurrences that
+    overlap or adjoin are one stretch. Every sentence inside a stretch of LEAST_WORDS words goes, with the signs
+    and white space between; the rest of the text stays as it is.
 
     Null and empty texts: no sentences, nothing removed, the text stays null or empty. Texts of fewer than RUN
     sentences stay. Documents with a null key come after all others, in the order of a hash of their text. Rows

@@ -266,6 +266,18 @@ def test_repeated_spans(spark, texts, nothing):
     assert span_dedup.deduplicated_documents(nothing).columns == nothing.columns
 
 
+def test_repeated_stretches_of_short_sentences(spark):
+    """Runs of under ten words go where they make a long stretch, and stay where they are all that is repeated."""
+    rng = random.Random(21)
+    junk = " ".join(f"{w}{i}!!" for i, w in enumerate(words(rng, 60)))
+    rows = [(1, "First one here. " + junk), (2, "Other one there. " + junk + " Own end."), (3, "Alpha. So it is. Yes. No. Beta."),
+            (4, "Gamma. So it is. Yes. No. Delta."), (5, "Zeta. One two. Three. Four five six. Seven. Eight. Nine ten. Eta."),
+            (6, "Iota. One two. Three. Four five six. Seven. Eight. Nine ten. Kappa.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(df).select("row.doc_id", "clean").collect()}
+    assert got == dict(rows) | {2: "Other one there. Own end.", 6: "Iota. Kappa."}
+
+
 # decontamination
 
 QUESTION = ("A farmer called Alice sells 12 eggs for 3 dollars each and then Bob buys 4 kg of flour in the small market "
