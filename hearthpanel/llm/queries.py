@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import (chosen_path, decontamination, licenses, quality_rules, sharding, span_dedup, sql, token_counts,
+from hearthpanel.llm import (chosen_path, decontamination, licenses, merkle, quality_rules, sharding, span_dedup, sql, token_counts,
                                toxicity, unigram, url_filter)
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -67,3 +67,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.judge(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest", sql.MERKLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.judge(table(spark, folder, "documents"))

@@ -122,3 +122,50 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUALITY_RULES = _quality_sql()
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a column of ASCII digits; `crc_table` must be in scope with its list `t`."""
+    bits = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint)"
+
+
+_CRC_TABLE = """select list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t"""
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """Tables {name}_n1.. of nodes and {name}_s1.. of every row's way up, from {name}_n0 (grp, pos, n, h) and {name}_s0 (id, grp, pos, cur, proof)."""
+    out = []
+    for k in range(1, levels + 1):
+        wide = f"n > {3 ** (k - 1)}"
+        out.append(f"""{name}_p{k} as materialized (select grp, pos // 3 as pos, n, coalesce(max(h) filter (pos % 3 = 0), '') as a,
+  coalesce(max(h) filter (pos % 3 = 1), '') as b, coalesce(max(h) filter (pos % 3 = 2), '') as c from {name}_n{k - 1} group by all),
+{name}_n{k} as materialized (select grp, pos, n, case when {wide} then sha256(a || b || c) else a end as h from {name}_p{k}),
+{name}_s{k} as materialized (select s.id, s.grp, s.pos // 3 as pos,
+  case when not {wide} then cur when s.pos % 3 = 0 then sha256(cur || b || c) when s.pos % 3 = 1 then sha256(a || cur || c) else sha256(a || b || cur) end as cur,
+  case when not {wide} then proof when s.pos % 3 = 0 then proof || b || c when s.pos % 3 = 1 then proof || a || c else proof || a || b end as proof
+  from {name}_s{k - 1} s join {name}_p{k} p on p.grp = s.grp and p.pos = s.pos // 3)""")
+    return ",\n".join(out)
+
+
+def _merkle_sql(levels: int = 20) -> str:
+    """Levels enough for 3 ** 20 rows."""
+    value = lambda c: f"case when {c} is null then '-' else octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar end"
+    leaf = lambda text: "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    return f"""
+with crc_table as ({_CRC_TABLE}),
+leaves as materialized (select row_number() over () as id, doc_id, case when source is null then '' else '=' || source end as grp, {leaf('text')} as h,
+  case when {_crc32('doc_id::varchar')} % 2 = 0 then {leaf("replace(text, chr(10), '')")} end as other from documents, crc_table),
+low_n0 as materialized (select id, doc_id, grp, h, coalesce(other, h) as cur, count(*) over (partition by grp) as n,
+  row_number() over (partition by grp order by doc_id nulls first, h) - 1 as pos from leaves),
+low_s0 as (select id, grp, pos, cur, '' as proof from low_n0),
+{_merkle_levels('low', levels)},
+top_n0 as materialized (select '' as grp, grp as name, h, count(*) over () as n, row_number() over (order by encode(grp)) - 1 as pos from low_n{levels}),
+top_s0 as (select s.id, '' as grp, t.pos, s.cur, s.proof from low_s{levels} s join top_n0 t on t.name = s.grp),
+{_merkle_levels('top', levels)}
+select d.doc_id, d.h as leaf, t.h as subroot, r.h as root, sha256(s.proof) as proof_sha256, s.cur as folded_root, s.cur = r.h as verified
+from low_n0 d join top_n0 t on t.name = d.grp join top_s{levels} s on s.id = d.id join top_n{levels} r on true"""
+
+
+MERKLE = _merkle_sql()
