@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import (chosen_path, decontamination, licenses, merkle, quality_rules, sharding, span_dedup, sql, token_counts,
+from hearthpanel.llm import (alignment, chosen_path, decontamination, licenses, merkle, quality_rules, sharding, span_dedup, sql, token_counts,
                                toxicity, unigram, url_filter)
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SHARDS = 24
 
 
@@ -72,3 +73,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_merkle_manifest", sql.MERKLE)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.judge(table(spark, folder, "documents"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.judge(table(spark, folder, "documents"), BYTE_VOCABULARY, MODEL)
