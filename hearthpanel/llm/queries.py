@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthpanel.llm import (alignment, chosen_path, decontamination, licenses, merkle, quality_rules, sharding, span_dedup, sql, token_counts,
+from hearthpanel.llm import (alignment, chosen_path, decontamination, licenses, merkle, partition_join, quality_rules, sharding, span_dedup, sql, token_counts,
                                toxicity, unigram, url_filter)
 from hearthpanel.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -78,3 +78,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_tokenizer_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.judge(table(spark, folder, "documents"), BYTE_VOCABULARY, MODEL)
+
+
+@query("op11_partition_join", sql.PARTITION_JOIN)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return partition_join.joined(table(spark, folder, "documents"))

@@ -6,20 +6,26 @@ from hearthpanel.llm import licenses, quality_rules, span_dedup
 
 UPPER, LOWER = licenses.UPPER, licenses.LOWER
 
-NEAR_DEDUP = rf"""
+
+def _jaccard_sql(width: int, percent: int) -> str:
+    """Links of shingle sets and what they reach."""
+    return rf"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 shingles as (
-  select distinct doc_id, case when len(w) < 5 then w else list_slice(w, i, i + 4) end as s
-  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)),
+  select distinct doc_id, case when len(w) < {width} then w else list_slice(w, i, i + {width - 1}) end as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - {width - 2}, 2))) as i from words where len(w) > 0)),
 sizes as (select doc_id, count(*) as n from shingles group by doc_id),
 common as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
-links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
 reach(doc_id, other) as (
   select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.other)
 select d.doc_id, coalesce(max(n), 0) as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
 from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_id = d.doc_id group by d.doc_id"""
 
+
+NEAR_DEDUP, PARTITION_JOIN = _jaccard_sql(5, 75), _jaccard_sql(4, 85)
+
 # RE2 has no possessive repeats; where a token, a gap and a row of signs cannot give anything back, greedy ones match alike.
 _PIECE = span_dedup.PIECE.replace("++", "+").replace("*+", "*")
 
