@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import order_bucket
-from hearthpanel.functions.skew import HOT_ROWS
+from hearthpanel.functions.skew import HOT_ROWS, join_by_weight
 
 SLICE_ROWS = 100_000
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
@@ -144,14 +144,16 @@ def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFr
         (F.try_divide(2 * weighted, n * s) - (n + 1) / n).alias(name))
 
 
-def rank_by_draw(df: DataFrame, by: list[str], draw: str, tie: str, name: str) -> DataFrame:
-    """1-based rank of each row in its group by a uniform draw, ties by `tie`.
+def rank_by_draw(df: DataFrame, by: list[str], draw: str, tie: str, name: str, slice_rows: int | None = None) -> DataFrame:
+    """1-based rank of each row in its group by a uniform draw, ties by `tie`; rows without a group are left out.
 
-    Groups are cut into slices of the draw, as many as keep a slice of the largest possible group at
-    SLICE_ROWS rows, so a group with a third of all rows is still ranked by many tasks. `df` is counted for it.
+    A group of more than SLICE_ROWS rows is cut into slices of the draw, by its own count, so that a group with a
+    third of all rows is ranked by many tasks and a small one by one.
     """
-    slices = max(1, -(-df.count() // SLICE_ROWS))
-    rows = df.withColumn("_slice", F.floor(F.col(draw) * slices).cast("int"))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_slices", F.ceil(F.col("_n") / (slice_rows or SLICE_ROWS)))
+    rows = join_by_weight(df, sizes, by, "_n", "inner")
+    rows = rows.withColumn("_slice", F.floor(F.col(draw) * F.col("_slices")).cast("int")).drop("_slices")
     slices = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     over = Window.partitionBy(*by).orderBy("_slice").rowsBetween(*RUNNING)
     slices = slices.select(*by, "_slice", (F.sum("_n").over(over) - F.col("_n")).alias("_off"))

@@ -93,12 +93,12 @@ def add_newborn_rows(df: DataFrame, seed: int = SEED) -> DataFrame:
     return df.unionByName(newborn_rows(df, seed))
 
 
-def form_couples(spark: SparkSession, df: DataFrame, share: float = 0.10, k: int = 5, rounds: int = 2,
-                 seed: int = SEED, features: list[str] = FEATURES) -> DataFrame:
+def form_couples(spark: SparkSession, df: DataFrame, share: float = 0.10, k: int = 5, seed: int = SEED,
+                 features: list[str] = FEATURES) -> DataFrame:
     """Single men and women find each other; the man takes over the woman's household and region."""
     singles = eligible_singles(df)
     pairs = match_pairs(spark, singles.filter("female = 0"), singles.filter("female = 1"), share, k,
-                        rounds, seed, features)
+                        seed, features)
     homes = pairs.join(df.select("year", F.col("pid").alias("woman"), "hid", "east", "hhweight"),
                        ["year", "woman"])
     news = (homes.select("year", F.col("man").alias("pid"), F.struct("hid", "east", "hhweight").alias("_home"))

@@ -1,15 +1,16 @@
 """Nearest partners and one-to-one pairing.
 
-The characteristics are small whole numbers, so many persons share one *cell* (the same values in
-the same year). Distances are taken between cells, of which there are only as many as the value
-ranges allow, and never between persons. Persons are touched by group-bys and equi joins alone.
+Persons with the same characteristics in the same year share one *cell*. Distances are taken between cells, found
+through grids of growing width, and never between persons. Persons are touched by group-bys and equi joins alone.
+Characteristics can be any numbers; a person who lacks one, or has one that is not finite, is compared with nobody.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import seeded_uniform
@@ -18,7 +19,6 @@ from hearthpanel.functions.skew import join_by_weight
 from hearthpanel.session import cut_lineage
 
 FEATURES = ["age", "education", "migback", "east", "n_children"]
-BAND = 5  # ages per band
 
 
 def eligible_singles(df: DataFrame) -> DataFrame:
@@ -31,98 +31,123 @@ def _names(side: str, features: list[str]) -> list[str]:
     return [f"{side}_{f}" for f in features]
 
 
-def _cells(df: DataFrame, side: str, features: list[str]) -> DataFrame:
-    keyed = df.select("year", *[F.col(f).alias(f"{side}_{f}") for f in features])
-    return (keyed.na.drop("any").groupBy("year", *_names(side, features))
-                 .agg(F.count(F.lit(1)).alias(f"{side}_n")))
+def _comparable(df: DataFrame, side: str, features: list[str], *more: Column) -> DataFrame:
+    """year, `more` and the characteristics of one side; what is not finite becomes null."""
+    kinds = dict(df.dtypes)
+    finite = lambda f: F.when(~F.isnan(f) & (F.abs(F.col(f)) < float("inf")), F.col(f)) if kinds[f] in ("double", "float") else F.col(f)
+    return df.select("year", *more, *[finite(f).alias(f"{side}_{f}") for f in features])
 
 
-def _nearest_in(pairs: DataFrame, features: list[str], k: int) -> DataFrame:
-    """Right cells that can hold one of the k nearest persons of a left cell."""
-    left = ["year", *_names("l", features)]
-    square = reduce(lambda a, b: a + b,
-                    [(F.col(f"l_{f}") - F.col(f"r_{f}")) * (F.col(f"l_{f}") - F.col(f"r_{f}")) for f in features])
-    nearer = Window.partitionBy(*left).orderBy("d2").rangeBetween(Window.unboundedPreceding, -1)
-    return (pairs.withColumn("d2", square.cast("bigint"))
-                 .withColumn("nearer", F.coalesce(F.sum("r_n").over(nearer), F.lit(0)))
-                 .filter(F.col("nearer") < k))
+def _cells(people: DataFrame, side: str, features: list[str]) -> DataFrame:
+    keys = ["year", *_names(side, features)]
+    return people.select(*keys).na.drop("any").groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{side}_n"))
 
 
-def nearest_cells(left: DataFrame, right: DataFrame, k: int, features: list[str] = FEATURES) -> DataFrame:
-    """For each left cell the right cells around it until `k` persons are covered.
+def _extent(left: DataFrame, right: DataFrame, features: list[str]) -> list[tuple[float, float]]:
+    """Lowest and highest value of each characteristic over both sides: two numbers each."""
+    both = left.select(*[F.col(f"l_{f}").alias(f) for f in features]).union(right.select(*_names("r", features)))
+    row = both.agg(*[F.struct(F.min(f).cast("double"), F.max(f).cast("double")) for f in features]).first()
+    return [tuple(pair) for pair in row]
 
-    Cells are first joined on year and neighbouring bands of the first feature. Whoever lies outside
-    these bands is at least BAND + 1 away, so a left cell with k persons closer than that is done.
-    The others are compared with all cells of their year, which makes the result exact.
+
+def _in_ring(waiting: DataFrame, right: DataFrame, features: list[str], extent: list[tuple[float, float]],
+             radius: float) -> DataFrame:
+    """All pairs of cells at most `radius` apart: grids twice as wide meet each cell in two buckets a side at most."""
+    width, reach = 2 * radius, radius * (1 + 1e-9)
+    buckets = [f"_b{i}" for i in range(len(features))]
+    seeking, offered = waiting, right
+    for name, f, (low, high) in zip(buckets, features, extent):
+        last = math.floor((high - low) / width)
+        bucket = lambda x: F.least(F.greatest(F.floor((x - low) / width), F.lit(0)), F.lit(last))
+        x = F.col(f"l_{f}").cast("double")
+        seeking = seeking.withColumn(name, F.explode(F.sequence(bucket(x - reach), bucket(x + reach))) if last else F.lit(0).cast("bigint"))
+        offered = offered.withColumn(name, bucket(F.col(f"r_{f}").cast("double")))
+    gap = lambda f: F.col(f"l_{f}").cast("double") - F.col(f"r_{f}").cast("double")
+    square = reduce(lambda a, b: a + b, [gap(f) * gap(f) for f in features])
+    return seeking.join(offered, ["year", *buckets]).drop(*buckets).withColumn("d2", square).filter(F.col("d2") <= reach * reach)
+
+
+def nearest_cells(spark: SparkSession, left: DataFrame, right: DataFrame, cover: Column, features: list[str] = FEATURES) -> DataFrame:
+    """For each left cell the right cells around it, nearest first, until `cover` persons are reached (ties included).
+
+    Rings of doubling radius are searched. A ring holds every right cell within its radius, so a left cell that has
+    its persons there is settled, exactly; only the others go on to the next ring, up to the radius that spans
+    all. Both tables of cells are written once, and a ring joins on the year and a bucket of each characteristic.
     """
-    lead, lkeys = features[0], ["year", *_names("l", features)]
-    bands = F.explode(F.array(*[F.floor(F.col(f"l_{lead}") / BAND) + step for step in (-1, 0, 1)]))
-    near = left.withColumn("_band", bands).join(
-        right.withColumn("_band", F.floor(F.col(f"r_{lead}") / BAND)), ["year", "_band"]).drop("_band")
-    close = _nearest_in(near, features, k)
-    safe = (BAND + 1) ** 2
-    settled = (close.filter(F.col("d2") < safe).groupBy(*lkeys).agg(F.sum("r_n").alias("_got"))
-                    .filter(F.col("_got") >= k).select(*lkeys))
-    done = close.join(settled, lkeys, "left_semi")
-    rest = left.join(settled, lkeys, "left_anti").join(right, "year")
-    return done.unionByName(_nearest_in(rest, features, k))
-
-
-def knn_candidates(left: DataFrame, right: DataFrame, k: int = 5, features: list[str] = FEATURES,
+    lkeys = ["year", *_names("l", features)]
+    left, right = cut_lineage(spark, left.withColumn("_cover", cover)), cut_lineage(spark, right)
+    if left.isEmpty() or right.isEmpty():
+        return left.join(right, "year").withColumn("d2", F.lit(0.0)).drop("_cover").limit(0)
+    extent = _extent(left, right, features)
+    widest = max(math.sqrt(sum((high - low) ** 2 for low, high in extent)), 1e-9)
+    per_year = right.groupBy("year").count().agg(F.max("count")).first()[0]
+    radius = widest * min(max((8 / per_year) ** (1 / len(features)), 1 / 1024), 1 / 4)
+    waiting, settled = left, []
+    while True:
+        ring = cut_lineage(spark, _in_ring(waiting, right, features, extent, min(radius, widest)))
+        if radius >= widest:
+            settled.append(ring)
+            break
+        full = ring.groupBy(*lkeys).agg(F.sum("r_n").alias("_got"), F.max("_cover").alias("_need")).filter("_got >= _need").select(*lkeys)
+        settled.append(ring.join(full, lkeys, "left_semi"))
+        waiting = cut_lineage(spark, waiting.join(full, lkeys, "left_anti"))
+        if waiting.isEmpty():
+            break
+        radius *= 2
+    # Persons up to this distance less those at it; equal distances are one step of the order.
+    before = F.sum("r_n").over(Window.partitionBy(*lkeys).orderBy("d2")) - F.sum("r_n").over(Window.partitionBy(*lkeys, "d2"))
+    found = reduce(DataFrame.unionByName, settled)
+    return found.withColumn("_before", before).filter(F.col("_before") < F.col("_cover")).drop("_before", "_cover")
+
+
+def knn_candidates(spark: SparkSession, left: DataFrame, right: DataFrame, k: int = 5, features: list[str] = FEATURES,
                    hot_rows: int | None = None) -> DataFrame:
     """The k nearest right persons of the same year for each left person, ties by lower id.
 
-    A right cell passes on at most its k lowest ids, which Spark cuts on the map side.
+    A right cell passes on at most its k lowest ids, which Spark cuts on the map side. A left person who is
+    compared with nobody (a characteristic is missing, or the year has no right person) has one row with nulls.
     """
     lnames, rnames = _names("l", features), _names("r", features)
-    lcells, rcells = _cells(left, "l", features), _cells(right, "r", features)
+    seekers = _comparable(left, "l", features, F.col("pid"))
+    people = _comparable(right, "r", features, F.col("pid").alias("candidate"))
     lowest = Window.partitionBy("year", *rnames).orderBy("candidate")
-    people = (right.select("year", F.col("pid").alias("candidate"),
-                           *[F.col(f).alias(f"r_{f}") for f in features]).na.drop("any")
-                   .withColumn("_row", F.row_number().over(lowest)).filter(F.col("_row") <= k).drop("_row"))
+    first = people.na.drop("any").withColumn("_row", F.row_number().over(lowest)).filter(F.col("_row") <= k).drop("_row")
     ordered = Window.partitionBy("year", *lnames).orderBy("d2", "candidate")
-    listed = (nearest_cells(lcells, rcells, k, features)
-              .join(people, ["year", *rnames])
+    listed = (nearest_cells(spark, _cells(seekers, "l", features), _cells(people, "r", features), F.lit(k), features)
+              .join(first, ["year", *rnames])
               .withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k)
               .groupBy("year", *lnames, "l_n")
-              .agg(F.collect_list(F.struct("rank", "candidate", F.sqrt(F.col("d2").cast("double")).alias("distance")))
-                    .alias("found")))
-    seekers = left.select("pid", "year", *[F.col(f).alias(f"l_{f}") for f in features])
-    answered = join_by_weight(seekers, listed, ["year", *lnames], "l_n", "inner", hot_rows)
-    return answered.select("pid", "year", F.inline("found"))
+              .agg(F.collect_list(F.struct("rank", "candidate", F.sqrt("d2").alias("distance"))).alias("found")))
+    answered = join_by_weight(seekers, listed, ["year", *lnames], "l_n", "left", hot_rows)
+    return answered.select("pid", "year", F.inline_outer("found"))
 
 
-def _round(spark: SparkSession, men: DataFrame, women: DataFrame, k: int, features: list[str], seed: int,
-           event: str, hot_rows: int | None) -> DataFrame:
-    """One round: every man picks one of his k nearest women; a cell of women takes the lowest draws.
+def _round(spark: SparkSession, men: DataFrame, women: DataFrame, k: int, features: list[str], seed: int, event: str) -> DataFrame:
+    """One round: every man asks for a place among the women around his cell; a cell of women takes the lowest draws.
 
-    A pick is a place among the k nearest, which falls into a cell of women. The i-th accepted man of
-    a cell gets its i-th woman, both in order of their draws.
+    The n men of a cell, in the order of their draws, are dealt to the places of the women by distance: the first k
+    men to the first k places, the next k men to the next, in random order, so that each has one of the k that those
+    before him leave. A place falls into a cell of women; its i-th accepted man gets its i-th woman by her draw.
     """
     lnames, rnames = _names("l", features), _names("r", features)
+    mkeys, wkeys = ["year", *lnames], ["year", *rnames]
     mcells, wcells = _cells(men, "l", features), _cells(women, "r", features)
-    in_order = Window.partitionBy("year", *lnames).orderBy("d2", *rnames)
-    upto = F.sum("r_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    lists = (nearest_cells(mcells, wcells, k, features)
-             .withColumn("_upto", upto)
-             .groupBy("year", *lnames, "l_n")
-             .agg(F.array_sort(F.collect_list(F.struct("_upto", *rnames))).alias("_cells"),
-                  F.least(F.sum("r_n"), F.lit(k)).alias("_places")))
-    lists = cut_lineage(spark, lists)  # one row per cell of men, read several times below
-    picking = men.select("year", F.col("pid").alias("man"), *[F.col(f).alias(f"l_{f}") for f in features],
-                         seeded_uniform(["pid", "year"], event + "-pick", seed).alias("_choice"),
-                         seeded_uniform(["pid", "year"], event + "-man", seed).alias("_draw"))
-    asked = join_by_weight(picking, lists, ["year", *lnames], "l_n", "inner", hot_rows)
-    place = F.floor(F.col("_choice") * F.col("_places"))
-    target = F.element_at(F.filter("_cells", lambda c: c["_upto"] > place), 1)
-    asked = cut_lineage(spark, asked.withColumn("_cell", target).select(
-        "year", "man", "_draw", *[F.col("_cell")[r].alias(r) for r in rnames]))
-    men_ranked = rank_by_draw(asked, ["year", *rnames], "_draw", "man", "_place").select("year", *rnames, "man", "_place")
-    offered = women.select("year", F.col("pid").alias("woman"), *[F.col(f).alias(f"r_{f}") for f in features],
-                           seeded_uniform(["pid", "year"], event + "-woman", seed).alias("_draw"))
-    women_ranked = rank_by_draw(offered, ["year", *rnames], "_draw", "woman", "_place").select(
-        "year", *rnames, "woman", "_place")
-    return men_ranked.join(women_ranked, ["year", *rnames, "_place"]).select("year", "man", "woman")
+    upto = F.sum("r_n").over(Window.partitionBy(*mkeys).orderBy("d2", *rnames).rowsBetween(Window.unboundedPreceding, 0))
+    asked_for = F.least(F.col("_upto"), F.col("l_n") + k)
+    lists = nearest_cells(spark, mcells, wcells, F.col("l_n") + k, features).withColumn("_upto", upto)
+    # A row per place that is asked for, at most k more than there are men.
+    lists = lists.filter(F.col("_upto") - F.col("r_n") < F.col("l_n") + k).withColumn("_end", asked_for)
+    places = cut_lineage(spark, lists.select(*mkeys, *rnames, F.explode(F.sequence(F.col("_upto") - F.col("r_n"), F.col("_end") - 1)).alias("_spot")))
+    sizes = places.groupBy(*mkeys, F.floor(F.col("_spot") / k).alias("_block")).agg(F.count(F.lit(1)).alias("_width"))
+    ranked = rank_by_draw(men, mkeys, "_draw", "man", "_rank").withColumn("_block", F.floor((F.col("_rank") - 1) / k))
+    mixed = F.row_number().over(Window.partitionBy(*mkeys, "_block").orderBy(seeded_uniform(["man", "year"], event + "-pick", seed), "man")) - 1
+    turn = F.floor(seeded_uniform([*mkeys, "_block"], event + "-turn", seed) * F.col("_width"))
+    spots = (ranked.withColumn("_mixed", mixed).join(sizes, [*mkeys, "_block"])
+             .withColumn("_spot", F.col("_block") * k + F.pmod(F.col("_mixed") + turn, F.col("_width"))))
+    asked = cut_lineage(spark, spots.select(*mkeys, "man", "_draw", "_spot").join(places, [*mkeys, "_spot"]).select("man", "_draw", *wkeys))
+    men_ranked = rank_by_draw(asked, wkeys, "_draw", "man", "_place").select(*wkeys, "man", "_place")
+    women_ranked = rank_by_draw(women, wkeys, "_draw", "woman", "_place").select(*wkeys, "woman", "_place")
+    return men_ranked.join(women_ranked, [*wkeys, "_place"]).select("year", "man", "woman")
 
 
 def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int) -> DataFrame:
@@ -131,44 +156,33 @@ def chosen_men(men: DataFrame, women: DataFrame, share: float, seed: int) -> Dat
                 .unionByName(women.select("year", F.lit(0).alias("m"), F.lit(1).alias("w")))
                 .groupBy("year").agg(F.sum("m").alias("_men"), F.sum("w").alias("_women"))
                 .withColumn("_wanted", F.bround(F.least("_men", "_women") * F.lit(share)).cast("bigint")))
-    drawn = men.withColumn("_u", seeded_uniform(["pid", "year"], "chosen", seed))
-    ranked = rank_by_draw(drawn, ["year"], "_u", "pid", "_rank")
+    drawn = men.withColumn("_u", seeded_uniform(["man", "year"], "chosen", seed))
+    ranked = rank_by_draw(drawn, ["year"], "_u", "man", "_rank")
     with_size = ranked.join(sizes.select("year", "_wanted"), "year")
     return with_size.filter(F.col("_rank") <= F.col("_wanted")).drop("_u", "_rank", "_wanted")
 
 
 def match_pairs(spark: SparkSession, men: DataFrame, women: DataFrame, share: float = 0.10, k: int = 5,
-                rounds: int = 2, seed: int = 2020, features: list[str] = FEATURES,
-                hot_rows: int | None = None) -> DataFrame:
-    """One-to-one pairs (year, man, woman) for `share` of the smaller side.
-
-    After `rounds` of picking among the k nearest, men who lost every round are paired with the women
-    still free in order of their characteristics. There are never fewer women than chosen men, so
-    every chosen man is paired.
+                seed: int = 2020, features: list[str] = FEATURES) -> DataFrame:
+    """One-to-one pairs (year, man, woman) for `share` of the smaller side of each year.
+
+    Men have an order by draw. In every round each waiting man asks for one of the k nearest free women that the
+    earlier men of his cell leave; whoever loses his place to a lower draw asks again among the women still
+    free, until nobody waits. A place is lost only where a whole cell of women is taken, so that at most k - 1
+    women who stay free are nearer to a man than his partner. There are never fewer women than chosen men, so every
+    chosen man is paired. Persons who lack a characteristic are not chosen and stay as they are.
     """
-    need = ["pid", "year", *features]
-    men = cut_lineage(spark, men.select(*need).na.drop("any"))
-    women = cut_lineage(spark, women.select(*need).na.drop("any"))
-    waiting, free, made = cut_lineage(spark, chosen_men(men, women, share, seed)), women, None
-    for number in range(1, rounds + 1):
-        pairs = _round(spark, waiting, free, k, features, seed, f"round{number}", hot_rows)
-        made = cut_lineage(spark, pairs if made is None else made.unionByName(pairs))
-        waiting = _without(waiting, made, "man")
-        free = _without(free, made, "woman")
-    late = _by_order(waiting, "man", features).join(_by_order(free, "woman", features), ["year", "_place"])
-    return made.unionByName(late.select("year", "man", "woman"))
-
-
-def _without(people: DataFrame, pairs: DataFrame, role: str) -> DataFrame:
-    return people.join(pairs.select("year", F.col(role).alias("pid")), ["year", "pid"], "left_anti")
-
-
-def _by_order(people: DataFrame, role: str, features: list[str]) -> DataFrame:
-    """Rank within a year by characteristics and id: cells get offsets, ranks are local to a cell."""
-    counts = people.groupBy("year", *features).agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.partitionBy("year").orderBy(*features).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = counts.withColumn("_off", F.sum("_n").over(over) - F.col("_n"))
-    shade = people.withColumn("_u", seeded_uniform(["pid", "year"], "late-" + role, 0))
-    ranked = rank_by_draw(shade, ["year", *features], "_u", "pid", "_in_cell")
-    placed = join_by_weight(ranked, offsets, ["year", *features], "_n", "inner")
-    return placed.select("year", F.col("pid").alias(role), (F.col("_in_cell") + F.col("_off")).alias("_place"))
+    draw = lambda role: seeded_uniform(["pid", "year"], role, seed).alias("_draw")
+    known = lambda df: df.na.drop("any", subset=["pid", "year", *features])
+    finite = lambda df, side, role: _comparable(df, side, features, F.col("pid").alias(role), draw(role)).na.drop("any")
+    free = cut_lineage(spark, finite(known(women), "r", "woman"))
+    able = finite(known(men), "l", "man")
+    waiting = cut_lineage(spark, chosen_men(able, free, share, seed))
+    made, number = None, 0
+    while not waiting.isEmpty():
+        number += 1
+        pairs = cut_lineage(spark, _round(spark, waiting, free, k, features, seed, f"round{number}"))
+        made = pairs if made is None else made.unionByName(pairs)
+        waiting = cut_lineage(spark, waiting.join(pairs, ["year", "man"], "left_anti"))
+        free = cut_lineage(spark, free.join(pairs, ["year", "woman"], "left_anti"))
+    return waiting.select("year", "man", F.col("man").alias("woman")) if made is None else made

@@ -177,58 +177,60 @@ pairs as (select m.pid, m.year, w.pid as candidate,
                  + (m.migback - w.migback) * (m.migback - w.migback) + (m.east - w.east) * (m.east - w.east)
                  + (m.n_children - w.n_children) * (m.n_children - w.n_children) as d2
           from men m join women w on w.year = m.year)
-select pid, year, cast(row_number() over (partition by pid, year order by d2, candidate) as int) as rank, candidate,
-       sqrt(cast(d2 as double)) as distance
-from pairs qualify row_number() over (partition by pid, year order by d2, candidate) <= 5""", "distance")
+select m.pid, m.year, cast(case when candidate is not null then row_number() over (partition by m.pid, m.year order by d2, candidate) end as int) as rank,
+       candidate, sqrt(cast(d2 as double)) as distance
+from men m left join pairs p on p.pid = m.pid and p.year = m.year
+qualify row_number() over (partition by m.pid, m.year order by d2, candidate) <= 5""", "distance")
 def _(spark, folder):
     singles = eligible_singles(full(spark, folder))
-    return knn_candidates(singles.filter("female = 0"), singles.filter("female = 1"))
+    return knn_candidates(spark, singles.filter("female = 0"), singles.filter("female = 1"))
 
 
 FEATURE_LIST = ", ".join(FEATURES)
 
 
-def _draw(event: str, seed: int = 2020) -> str:
-    return (f"(('0x' || substr(md5(concat_ws('|', pid, year, '{event}', '{seed}')), 1, 8))::ubigint"
+def _draw(event: str, seed: int = 2020, keys: str = "pid, year") -> str:
+    return (f"(('0x' || substr(md5(concat_ws('|', {keys}, '{event}', '{seed}')), 1, 8))::ubigint"
             " / 4294967296.0::double)")
 
 
 def _round_sql(n: int, k: int = 5) -> str:
-    """One round of picks between m{n-1} and w{n-1}, person by person; p{n} are its pairs."""
+    """Round n of asks between the waiting m{n-1} and the free w{n-1}, person by person; p{n} are its pairs."""
     m, w, r = f"m{n - 1}", f"w{n - 1}", f"round{n}"
     d2 = " + ".join(f"(m.{f} - w.{f}) * (m.{f} - w.{f})" for f in FEATURES)
-    cell = ", ".join(f"w.{f} as r_{f}" for f in FEATURES)
     rcell = ", ".join(f"r_{f}" for f in FEATURES)
+    cell = f"year, {FEATURE_LIST}"
+    same = " and ".join(f"l.{f} = a.{f}" for f in FEATURES)
     mine = " and ".join(f"o.{f} = a.r_{f}" for f in FEATURES)
     return f"""
-cells{n} as (select m.pid, m.year, {d2} as d2, {cell}, count(*) as n
-             from {m} m join {w} w on w.year = m.year group by all),
-near{n} as (select *, coalesce(sum(n) over (partition by pid, year order by d2
-                                            range between unbounded preceding and 1 preceding), 0) as nearer from cells{n}),
-list{n} as (select *, sum(n) over (partition by pid, year order by d2, {rcell} rows unbounded preceding) as upto,
-                   least(sum(n) over (partition by pid, year), {k}) as places from near{n} where nearer < {k}),
-pick{n} as (select * from list{n} where upto > floor({_draw(r + '-pick')} * places)
-            qualify row_number() over (partition by pid, year order by upto) = 1),
-asked{n} as (select year, pid as man, {rcell}, row_number() over (partition by year, {rcell} order by {_draw(r + '-man')}, pid)
-             as place from pick{n}),
-offered{n} as (select year, pid as woman, {FEATURE_LIST}, row_number() over (partition by year, {FEATURE_LIST}
-               order by {_draw(r + '-woman')}, pid) as place from {w}),
-p{n} as (select a.year, a.man, o.woman from asked{n} a join offered{n} o on o.year = a.year and o.place = a.place and {mine}),
-m{n} as (select * from {m} m where not exists (select 1 from p{n} p where p.year = m.year and p.man = m.pid)),
-w{n} as (select * from {w} w where not exists (select 1 from p{n} p where p.year = w.year and p.woman = w.pid))"""
-
-
+mc{n} as (select {cell}, count(*) as n from {m} group by all), wc{n} as (select {cell}, count(*) as n from {w} group by all),
+dist{n} as (select m.*, {", ".join(f"w.{f} as r_{f}" for f in FEATURES)}, w.n as r_n, {d2} as d2 from mc{n} m join wc{n} w on w.year = m.year),
+list{n} as (select *, sum(r_n) over (partition by {cell} order by d2, {rcell} rows unbounded preceding) as upto from dist{n}),
+place{n} as (select *, least(max(upto) over (partition by {cell}), n + {k}) as places from list{n}),
+rank{n} as (select *, row_number() over (partition by {cell} order by {_draw("man")}, pid) - 1 as rank from {m}),
+block{n} as (select r.*, rank // {k} as block, least({k}, places - {k} * (rank // {k})) as width
+             from rank{n} r join (select distinct {cell}, places from place{n}) a using ({cell})),
+spot{n} as (select *, block * {k} + (row_number() over (partition by {cell}, block order by {_draw(r + "-pick")}, pid) - 1
+              + cast(floor({_draw(r + "-turn", keys=f"{cell}, block")} * width) as bigint)) % width as spot from block{n}),
+asked{n} as (select a.year, a.pid as man, {rcell}, row_number() over (partition by a.year, {rcell} order by {_draw("man", keys="a.pid, a.year")}, a.pid) as place
+             from spot{n} a join place{n} l on l.year = a.year and {same} and spot < upto and spot >= upto - r_n),
+offered{n} as (select year, pid as woman, {FEATURE_LIST}, row_number() over (partition by {cell} order by {_draw("woman")}, pid) as place from {w}),
+p{n} as materialized (select a.year, a.man, o.woman from asked{n} a join offered{n} o on o.year = a.year and o.place = a.place and {mine}),
+m{n} as materialized (select * from {m} m where not exists (select 1 from p{n} p where p.year = m.year and p.man = m.pid)),
+w{n} as materialized (select * from {w} w where not exists (select 1 from p{n} p where p.year = w.year and p.woman = w.pid))"""
+
+
+# Rounds that find nobody waiting change nothing; the last column fails where somebody still waits.
+ROUNDS = 10
 fragment("couples", f"""
-with men as (select * from singles where female = 0), w0 as (select * from singles where female = 1),
+with men as (select * from singles where female = 0), w0 as materialized (select * from singles where female = 1),
 sizes as (select year, cast(round_even(0.1::double * least(count(*) filter (female = 0), count(*) filter (female = 1)), 0) as bigint)
           as wanted from singles group by year),
-m0 as (select m.* from men m join sizes s on s.year = m.year
-       qualify row_number() over (partition by m.year order by {_draw('chosen').replace('pid,', 'm.pid,').replace('year,', 'm.year,')}, m.pid) <= s.wanted),
-{_round_sql(1)}, {_round_sql(2)},
-late_men as (select year, pid as man, row_number() over (partition by year order by {FEATURE_LIST}, {_draw('late-man', 0)}, pid) as place from m2),
-late_women as (select year, pid as woman, row_number() over (partition by year order by {FEATURE_LIST}, {_draw('late-woman', 0)}, pid) as place from w2)
-select * from p1 union all select * from p2
-union all select m.year, m.man, w.woman from late_men m join late_women w on w.year = m.year and w.place = m.place""")
+m0 as materialized (select m.* from men m join sizes s on s.year = m.year
+       qualify row_number() over (partition by m.year order by {_draw('chosen', keys='m.pid, m.year')}, m.pid) <= s.wanted),
+{",".join(_round_sql(n) for n in range(1, ROUNDS + 1))}
+{" union all ".join(f"select * from p{n}" for n in range(1, ROUNDS + 1))}
+union all select year, pid, error('somebody waits') from m{ROUNDS}""")
 
 
 @query("match_pairs", "select year, man, woman from couples")

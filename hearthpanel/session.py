@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import cache
 from uuid import uuid4
@@ -31,10 +32,15 @@ def _test_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
-    Only where the setting is absent (tests on one machine) a local folder is made.
+    Where the setting is absent, a session that runs in one process (tests, the bench) gets a local folder; on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _test_folder()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return _test_folder()
 
 
 def keep_checkpoints(spark: SparkSession) -> None:
@@ -44,9 +50,10 @@ def keep_checkpoints(spark: SparkSession) -> None:
 
 
 def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder so that later rounds do not recompute earlier ones."""
-    keep_checkpoints(spark)
-    return df.checkpoint()
+    """`df` written once to the shared folder and read back, so that later rounds do not recompute earlier ones."""
+    path = f"{shared_folder(spark)}/cuts/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
