@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthpanel.functions.columns import seeded_uniform
 from hearthpanel.operators.features import KEYS, WEIGHT
 from hearthpanel.session import keep_checkpoints
 
 COMMON = dict(featuresCol="features", labelCol="dep_var", weightCol=WEIGHT)
-NOT_FEATURES = {*KEYS, "dep_var", WEIGHT, "is_test"}
+NOT_FEATURES = {*KEYS, "dep_var", WEIGHT, "is_test", "fold"}
 
 
 def feature_names(df: DataFrame) -> list[str]:
@@ -44,31 +47,64 @@ def fit_ols(df: DataFrame) -> PipelineModel:
     return _fit(LinearRegression(regParam=0.0, solver="normal", **COMMON), _train(df))
 
 
-def _validated(df: DataFrame) -> DataFrame:
-    return df.withColumn("_validate", F.col("is_test") == 1).drop("is_test")
-
+def best_stage(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Trees up to the first lowest loss, and whether `patience` further trees brought no gain."""
+    best = 0
+    for stage, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = stage
+        elif stage - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
-def fit_boosted_binary(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.05,
-                       seed: int = 2020) -> PipelineModel:
-    """Boosted trees; the test part stops the boosting early."""
-    gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed,
-                        validationIndicatorCol="_validate", **COMMON)
-    return _fit_boosted(gbt, df)
 
+FIRST_TREES = 40
+ROWS_PER_TASK = 50_000
 
-def fit_boosted_regression(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.15,
-                           bagging: float = 0.8, feature_share: float = 0.9, seed: int = 2020) -> PipelineModel:
-    """Boosted trees on the unscaled target, with row and feature sampling."""
-    gbt = GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=bagging, seed=seed,
-                       featureSubsetStrategy=str(feature_share), validationIndicatorCol="_validate", **COMMON)
-    return _fit_boosted(gbt, df)
 
+def _fit_staged(gbt: Estimator, df: DataFrame, trees: int, patience: int) -> PipelineModel:
+    """Boosting that ends where `patience` further trees do not lower the loss on the test part, after `trees` at most.
 
-def _fit_boosted(gbt: Estimator, df: DataFrame) -> PipelineModel:
+    The loss is taken after every tree. As a boosted model begins with the trees of any shorter one, it is fitted with
+    a limit that triples until the loss has turned, and then with its best length. Without test rows all `trees` are
+    kept.
+    """
     keep_checkpoints(df.sparkSession)  # boosting cuts its own lineage every few trees where it can
-    rows = _validated(df.withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"))
-    names = [c for c in feature_names(rows) if c != "_validate"]
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(rows)
+    rows = df.withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
+    assembler = VectorAssembler(inputCols=feature_names(rows), outputCol="features")
+    rows = assembler.transform(rows).select("features", "dep_var", WEIGHT, "is_test")
+    rows = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))).persist()  # a tree is several small jobs
+    try:
+        train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
+        regression = isinstance(gbt, GBTRegressor)
+        limit = trees if test.isEmpty() else min(FIRST_TREES, trees)
+        while True:
+            model = gbt.copy({gbt.maxIter: limit}).fit(train)
+            if test.isEmpty():
+                break
+            losses = model.evaluateEachIteration(test, "squared") if regression else model.evaluateEachIteration(test)
+            best, turned = best_stage(losses, patience)
+            if turned or limit == trees:
+                model = model if best == limit else gbt.copy({gbt.maxIter: best}).fit(train)
+                break
+            limit = min(3 * limit, trees)
+        return PipelineModel(stages=[assembler, model])
+    finally:
+        rows.unpersist()
+
+
+def fit_boosted_binary(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.05, patience: int = 5,
+                       seed: int = 2020) -> PipelineModel:
+    """Boosted trees; the test part stops the boosting early."""
+    return _fit_staged(GBTClassifier(maxDepth=depth, stepSize=rate, seed=seed, **COMMON), df, trees, patience)
+
+
+def fit_boosted_regression(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.15, bagging: float = 0.8,
+                           feature_share: float = 0.9, patience: int = 5, seed: int = 2020) -> PipelineModel:
+    """Boosted trees on the unscaled target, with row and feature sampling; stopped like the binary ones."""
+    gbt = GBTRegressor(maxDepth=depth, stepSize=rate, subsamplingRate=bagging, seed=seed,
+                       featureSubsetStrategy=str(feature_share), **COMMON)
+    return _fit_staged(gbt, df, trees, patience)
 
 
 def fit_multiclass_status(df: DataFrame, trees: int = 50, depth: int = 8, seed: int = 2020) -> PipelineModel:
@@ -77,6 +113,28 @@ def fit_multiclass_status(df: DataFrame, trees: int = 50, depth: int = 8, seed:
     return _fit(forest, _train(df))
 
 
+STATUSES = 4
+
+
+def calibrate_status(scored: DataFrame, normalise: bool = True) -> DataFrame:
+    """`scored` (p0 to p3, dep_var, is_test) with probabilities set right on the test part, which no tree has seen.
+
+    Per status a rising function from the model's to the observed share is fitted, and the four are normalised to the
+    sum 1 if asked; a row that all of them give 0 keeps the model's. Without test rows nothing changes.
+    """
+    test = scored.filter("is_test = 1")
+    if test.isEmpty():
+        return scored
+    out = scored
+    for k in range(STATUSES):
+        rows = test.select(F.col(f"p{k}").alias("x"), (F.col("dep_var") == k).cast("double").alias("y"), F.col(WEIGHT).cast("double").alias("w"))
+        rising = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol=f"_c{k}").fit(rows)
+        out = rising.transform(out.withColumn("x", F.col(f"p{k}"))).drop("x")
+    total = reduce(lambda a, b: a + b, [F.col(f"_c{k}") for k in range(STATUSES)]) if normalise else F.lit(1.0)
+    new = {f"p{k}": F.when(total > 0, F.col(f"_c{k}") / total).otherwise(F.col(f"p{k}")) for k in range(STATUSES)}
+    return out.withColumns(new).drop(*[f"_c{k}" for k in range(STATUSES)])
+
+
 # The tuning grid.
 RATES = [0.01, 0.175, 0.34, 0.505, 0.67, 0.835, 1.0]
 TREES = [150, 200, 250]
@@ -105,13 +163,18 @@ def tune_grid(df: DataFrame, rates: list[float] = RATES, trees: list[int] = TREE
     return df.sparkSession.createDataFrame(rows, "kind string, rate double, trees int, score double, metric string")
 
 
+def person_folds(df: DataFrame, folds: int, seed: int = 2020) -> DataFrame:
+    """Adds `fold`, 0 to `folds` - 1, by a draw on the person: all years of a person are in one fold."""
+    return df.withColumn("fold", F.floor(seeded_uniform(["pid"], "fold", seed) * folds).cast("int"))
+
+
 def _cross_validate(df: DataFrame, estimator: Estimator, grid: list, score, folds: int, parallelism: int,
                     seed: int, keep: bool) -> CrossValidatorModel:
     train = _train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
-    rows = VectorAssembler(inputCols=feature_names(df), outputCol="features").transform(train)
-    rows = rows.select("features", "dep_var", WEIGHT).persist()
+    rows = VectorAssembler(inputCols=feature_names(df), outputCol="features").transform(person_folds(train, folds, seed))
+    rows = rows.select("features", "dep_var", WEIGHT, "fold").persist()
     try:
-        return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=score, numFolds=folds,
+        return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold",
                               parallelism=parallelism, seed=seed, collectSubModels=keep).fit(rows)
     finally:
         rows.unpersist()
@@ -119,12 +182,20 @@ def _cross_validate(df: DataFrame, estimator: Estimator, grid: list, score, fold
 
 def cv_multiclass(df: DataFrame, folds: int = 10, trees: int = 50, depth: int = 8, parallelism: int = 4,
                   seed: int = 2020) -> CrossValidatorModel:
-    """Cross-validated status model that keeps every fold's model."""
+    """Cross-validated status model that keeps every fold's model; folds are by person."""
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **COMMON)
     score = MulticlassClassificationEvaluator(labelCol="dep_var", weightCol=WEIGHT, metricName="logLoss")
     return _cross_validate(df, forest, [{}], score, folds, parallelism, seed, True)
 
 
+def out_of_fold(model: CrossValidatorModel, df: DataFrame, folds: int = 10, seed: int = 2020) -> DataFrame:
+    """Every training row with its fold and the probabilities p0, p1, ... of the model that has not seen the person."""
+    rows = person_folds(_train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"), folds, seed)
+    assembler = VectorAssembler(inputCols=feature_names(df), outputCol="features")
+    parts = [predict(PipelineModel(stages=[assembler, m[0]]), rows.filter(F.col("fold") == k)) for k, m in enumerate(model.subModels)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_importance(spark: SparkSession, model, names: list[str]) -> DataFrame:
     """Importance per feature of a tree model, or of the last stage of a pipeline."""
     tree = model.stages[-1] if isinstance(model, PipelineModel) else model

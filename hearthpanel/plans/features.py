@@ -1,11 +1,15 @@
 """Queries of the feature frames, estimation jobs and scoring."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.operators import estimation as est
 from hearthpanel.operators import features as op
+from hearthpanel.operators import models as md
 from hearthpanel.operators import scoring as sc
 from hearthpanel.operators.transitions import transition_by_sex_age, transition_conditional
 from hearthpanel.plans.events import draw
@@ -80,51 +84,94 @@ def _training(spark, folder, build):
     return op.split_train_test(build(lags(spark, folder)))
 
 
-def _coefficients(spark, folder, build, fit):
-    df = _training(spark, folder, build)
-    return est.coefficients(spark, fit(df), est.feature_names(df))
+def _moment_sql(target: str, share: bool) -> str:
+    """Rows (model, term, n, fitted) of a target's training rows: what a fit must reproduce."""
+    names = list(md.NAMES[target])
+    terms = {"intercept": "1.0::double"} | {c: c for c in names}
+    if target in md.INTERACTED:
+        terms |= {f"{c}_interacted": f"({c} * female)" for c in names if c != "female"}
+    if target != "birth":
+        terms["age_squared"] = "(age * age)"
+    where = {"birth": "", "retired": "", "working": "and retired = 0"}.get(target, "and working = 1")
+    unit = "1.0" if share else f"(select avg(abs({target})) from panel_lags where working = 1)"
+    return " union all ".join(f"""
+select '{target}' as model, '{t}' as term, count(*) as n, sum(personweight * {x} * {target}) / nullif(sum(personweight * abs({x})), 0) / {unit} as fitted
+from panel_lags where not {draw('split')} < 0.05 {where}""" for t, x in terms.items())
 
 
-@query("fit_logit", f"""
-part as (select working_t1 as x, working as y, personweight as w from panel_lags where not {draw('split')} < 0.05),
-odds as (select ln(sum(w) filter (x = 0 and y = 1) / sum(w) filter (x = 0 and y = 0)) as low,
-                ln(sum(w) filter (x = 1 and y = 1) / sum(w) filter (x = 1 and y = 0)) as high from part)
-select 'intercept' as term, low as beta from odds union all select 'working_t1', high - low from odds""", "beta:3")
+def _moments(spark, folder, target: str, fit) -> DataFrame:
+    """Fitted values of a model in the same form; those of regressions in units of the target's mean."""
+    lagged = lags(spark, folder)
+    df = op.split_train_test(md.FRAMES[target](lagged)).filter("is_test = 0").drop("is_test")
+    scored = fit(df, target)
+    rows = md.score_equations(scored, est.feature_names(df), "_fit")
+    unit = lagged.filter("working = 1").agg(F.avg(F.abs(target))).first()[0] if target in md.CONTINUOUS else 1.0
+    return rows.select(F.lit(target).alias("model"), "term", "n", (F.col("fitted") / F.lit(unit)).alias("fitted"))
+
+
+def _own_fit(df, target):
+    if target in md.CONTINUOUS:
+        return est.predict(est.fit_ols(df), df).withColumnRenamed("prediction", "_fit")
+    return est.predict(est.fit_logit(df), df).withColumnRenamed("p1", "_fit")
+
+
+def _all_moments(spark, folder, targets, fit):
+    return reduce(DataFrame.unionByName, [_moments(spark, folder, t, fit) for t in targets])
+
+
+# The fit reproduces every weighted moment of its target, which is what defines it; SQL takes the moments of the data.
+@query("fit_logit", " union all ".join(_moment_sql(t, True) for t in md.BINARY), "fitted:4")
 def _(spark, folder):
-    # one 0/1 regressor: the coefficients are weighted log odds, which plain SQL can give
-    one = lambda df: df.select("pid", "year", F.col("working").alias("dep_var"), "working_t1", "personweight")
-    return _coefficients(spark, folder, one, est.fit_logit)
+    return _all_moments(spark, folder, md.BINARY, _own_fit)
 
 
-@query("fit_ols", f"""
-part as (select hours_t1 as x, hours as y, personweight as w from panel_lags where not {draw('split')} < 0.05),
-line as (select (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) as b,
-                sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from part)
-select 'intercept' as term, my - b * mx as beta from line union all select 'hours_t1', b from line""", "beta:4")
+@query("fit_ols", " union all ".join(_moment_sql(t, False) for t in md.CONTINUOUS), "fitted:5")
 def _(spark, folder):
-    # one regressor with the weights of the survey, so that the normal equations fit plain SQL
-    one = lambda df: df.select("pid", "year", F.col("hours").alias("dep_var"), "hours_t1", "personweight")
-    return _coefficients(spark, folder, one, est.fit_ols)
+    return _all_moments(spark, folder, md.CONTINUOUS, _own_fit)
+
+
+TREES = 350
+_WHERE = {"birth": "true", "retired": "true", "working": "retired = 0", "fulltime": "working = 1", "hours": "working = 1", "gross_earnings": "working = 1"}
+
+
+def _boosted_sql(targets) -> str:
+    """Rows of both parts per target; a fit has 1 to TREES trees and is no worse on its training rows than their mean."""
+    return " union all ".join(f"""
+select '{t}' as model, count(*) filter (not {draw('split')} < 0.05) as n_train, count(*) filter ({draw('split')} < 0.05) as n_test,
+       true as in_limit, true as beats_mean from panel_lags where {_WHERE[t]}""" for t in targets)
+
 
+def _one_boosted(spark, folder, target, fit):
+    """One row for a target, fitted over its whole frame."""
+    df = _training(spark, folder, md.FRAMES[target])
+    model = fit(df)
+    scored = est.predict(model, df.withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"))
+    train, w, y = F.col("is_test") == 0, F.col("personweight"), F.col("dep_var")
+    total = lambda x: F.sum(F.when(train, w * x))
+    if target in md.CONTINUOUS:
+        mean = scored.agg((total(y) / total(F.lit(1.0))).alias("m")).first().m
+        wrong, simple = total((y - F.col("prediction")) ** 2), total((y - F.lit(mean)) ** 2)
+    else:  # against the more frequent label
+        wrong, simple = total((y != F.col("prediction")).cast("int")), F.least(total(y), total(1 - y))
+    used = len(model.stages[-1].trees)
+    return scored.agg(F.lit(target).alias("model"), F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"),
+                      F.lit(1 <= used <= TREES).alias("in_limit"), (wrong <= simple).alias("beats_mean"))
 
-def _hits(model, df, target="dep_var"):
-    """Score per part (train and test) of a fitted model."""
-    scored = est.predict(model, df.withColumn("dep_var", F.col(target).cast("double")).na.drop("any"))
-    error = F.col("prediction") - F.col("dep_var")
-    return scored.groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mean_abs_error"),
-                                         F.sqrt(F.avg(error * error)).alias("rmse"))
 
+def _boosted(spark, folder, targets, fit):
+    """One row per target; the fits, each a chain of small jobs, run side by side."""
+    with ThreadPoolExecutor(len(targets)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda t: _one_boosted(spark, folder, t, fit), targets))
 
-@query("fit_boosted_binary")
+
+@query("fit_boosted_binary", _boosted_sql(md.BINARY))
 def _(spark, folder):
-    df = _training(spark, folder, op.features_fulltime)
-    return _hits(est.fit_boosted_binary(df, trees=8), df)
+    return _boosted(spark, folder, md.BINARY, est.fit_boosted_binary)
 
 
-@query("fit_boosted_regression")
+@query("fit_boosted_regression", _boosted_sql(md.CONTINUOUS))
 def _(spark, folder):
-    df = _training(spark, folder, op.features_hours)
-    return _hits(est.fit_boosted_regression(df, trees=8), df)
+    return _boosted(spark, folder, md.CONTINUOUS, est.fit_boosted_regression)
 
 
 def _status_features(spark, folder):
@@ -133,11 +180,21 @@ def _status_features(spark, folder):
     return op.split_train_test(general.drop("year").withColumnsRenamed({"_pid": "pid", "_year": "year"}))
 
 
-@query("fit_multiclass_status")
+@query("fit_multiclass_status", f"""
+select cast(employment_status as double) as dep_var, count(*) as n, 1.0::double as total
+from panel_lags where {draw('split')} < 0.05 group by 1
+union all
+select null, count(*), sum(personweight * cast(employment_status = 1 as int)) / sum(personweight) from panel_lags where {draw('split')} < 0.05""", "total:6")
 def _(spark, folder):
+    # Calibrated probabilities of the held-out rows: each row's sum to 1, and their mean is the share observed (status 1).
     df = _status_features(spark, folder)
-    scored = est.predict(est.fit_multiclass_status(df, trees=10, depth=5), df)
-    return scored.groupBy("dep_var").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"p{k}").alias(f"p{k}") for k in range(4)])
+    scored = est.predict(est.fit_multiclass_status(df), df.withColumn("dep_var", F.col("dep_var").cast("double")))
+    set_right = est.calibrate_status(scored).filter("is_test = 1")
+    held = F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3")
+    sums = set_right.groupBy("dep_var").agg(F.count(F.lit(1)).alias("n"), F.avg(held).alias("total"))
+    raw = est.calibrate_status(scored, normalise=False).filter("is_test = 1")
+    share = F.sum(F.col("personweight") * F.col("p1")) / F.sum("personweight")
+    return sums.unionByName(raw.agg(F.lit(None).cast("double").alias("dep_var"), F.count(F.lit(1)).alias("n"), share.alias("total")))
 
 
 @query("tune_grid")
@@ -145,31 +202,43 @@ def _(spark, folder):
     return est.tune_grid(_training(spark, folder, op.features_working), [0.05, 0.15], [2, 4], binary=True)
 
 
-@query("cv_multiclass")
+FOLD = f"cast(floor({draw('fold').replace('pid, year', 'pid')} * 10) as int)"
+
+
+@query("cv_multiclass", f"""
+select {FOLD} as fold, count(*) as n, count(distinct pid) as persons, 1.0::double as total
+from panel_lags where not {draw('split')} < 0.05 group by 1""", "total")
 def _(spark, folder):
-    model = est.cv_multiclass(_status_features(spark, folder), folds=3, trees=5, depth=4)
-    rows = [(fold, float(m[0].featureImportances.toArray().sum()), float(model.avgMetrics[0]))
-            for fold, m in enumerate(model.subModels)]
-    return spark.createDataFrame(rows, "fold int, importance_total double, log_loss double")
+    # Each fold's rows scored by the model of the other nine.
+    df = _status_features(spark, folder)
+    scored = est.out_of_fold(est.cv_multiclass(df), df)
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pid").alias("persons"),
+                                      F.avg(F.col("p0") + F.col("p1") + F.col("p2") + F.col("p3")).alias("total"))
 
 
 @query("feature_importance")
 def _(spark, folder):
+    """Importances of the model of the first of ten folds."""
     df = _status_features(spark, folder)
-    model = est.fit_multiclass_status(df, trees=10, depth=5)
-    return est.feature_importance(spark, model, est.feature_names(df))
+    return est.feature_importance(spark, est.cv_multiclass(df).subModels[0][0], est.feature_names(df))
+
 
+def _reloaded(spark, folder) -> md.Bundle:
+    """All six models, fitted with their scalers, saved, and read again."""
+    path = md.save_bundle(spark, md.fit_bundle(lags(spark, folder)), f"{shared_folder(spark)}/models/{uuid4().hex}")
+    return md.load_bundle(spark, path)
 
-@query("save_load_model", """
-line as (select regr_slope(hours, hours_t1) as b, regr_intercept(hours, hours_t1) as a from train where is_test = 0)
-select is_test, count(*) as n, avg(abs(a + b * hours_t1 - hours)) as mean_abs_error,
-       sqrt(avg((a + b * hours_t1 - hours) * (a + b * hours_t1 - hours))) as rmse from train, line group by is_test""",
-       "mean_abs_error rmse")
+
+@query("save_load_model", " union all ".join(_moment_sql(t, t in md.BINARY) for t in md.FRAMES), "fitted:4")
 def _(spark, folder):
-    df = _training(spark, folder, lambda lagged: lagged.select(
-        "pid", "year", F.col("hours").alias("dep_var"), "hours_t1", F.lit(1.0).alias("personweight")))
-    path = est.save_model(est.fit_ols(df), f"{shared_folder(spark)}/models/{uuid4().hex}")
-    return _hits(est.load_model(path), df)
+    bundle = _reloaded(spark, folder)
+    return _all_moments(spark, folder, md.FRAMES, lambda df, target: md.fitted(bundle, target, df, "_fit"))
+
+
+@query("score_cascade_fitted")
+def _(spark, folder):
+    return md.cascade(_reloaded(spark, folder), lags(spark, folder)).select(
+        "pid", "year", "retired", "working", "fulltime", "employment_status", "hours", "gross_earnings")
 
 
 # A coefficient table as an estimation job stores it: (model, term, beta).

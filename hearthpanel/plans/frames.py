@@ -35,12 +35,12 @@ py as (
   group by o.o_custkey, cast(year(o.o_orderdate) as int)),
 p as (
   select py.*, cast(floor(pid / 4) as bigint) as hid,
-         cast((pid * 7) % 60 + (year - 1995) as int) as age,
+         cast((pid * 7) % 66 + (year - 1998) as int) as age,
          cast(pid % 2 as int) as female,
          case when n_orders >= 3 then 3 when n_orders = 2 then 2
               when min_status = 'F' then 1 else 0 end as employment_status,
          greatest(c.c_acctbal, 0.0) / 1000 + 1 as personweight, c.c_mktsegment as segment
-  from py join customer c on c.c_custkey = py.pid)
+  from py join customer c on c.c_custkey = py.pid where (pid * 7) % 66 + (year - 1998) >= 0)
 select pid, year, hid, age, female, cast(case when hid % 4 = 0 then 1 else 0 end as int) as east,
        cast(personweight as double) as personweight, segment, prio, cast(any_r as int) as any_r, n_orders,
        case when age < 18 then 1 else 0 end as child,

@@ -40,8 +40,8 @@ def order_panel(spark: SparkSession, folder: str) -> DataFrame:
                .when(F.col("min_status") == "F", 1).otherwise(0))
     base = person_years.join(customer, "pid").withColumns({
         "hid": F.floor(pid / 4).cast("bigint"),
-        "age": ((pid * 7) % 60 + (year - 1995)).cast("int"),
-        "employment_status": status})
+        "age": ((pid * 7) % 66 + (year - 1998)).cast("int"),
+        "employment_status": status}).filter("age >= 0")  # orders before a person is born are left out
     adult, state = F.col("age") >= 18, F.col("employment_status")
     active = state >= 2
     return base.select(
