@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import (derived_household_id, derived_person_id, flag,
                                            seeded_uniform)
-from hearthpanel.operators.joins import lookup_age_rate
+from hearthpanel.operators.joins import possible_mother, rate_by_age
 from hearthpanel.operators.matching import FEATURES, eligible_singles, match_pairs
 
 SEED = 2020
@@ -66,15 +66,14 @@ def leave_home(df: DataFrame) -> DataFrame:
 def flag_births(df: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
     """All rows, with birth = 1 for women of 15 to 49 who are no children and whose draw is below their rate."""
     u = seeded_uniform(["pid", "year"], "birth", seed)
-    born = lookup_age_rate(df.select("pid", "year", "female", "child", "age"), rates).filter(u < F.col("rate") / 1000)
-    return (df.drop("birth").join(born.select("pid", "year", F.lit(1).alias("_born")), ["pid", "year"], "left")
-              .withColumn("birth", flag(F.col("_born") == 1)).drop("_born"))
+    with_rate = df.drop("birth").join(rate_by_age(rates, "_rate"), "age", "left")
+    born = with_rate.withColumn("birth", flag(possible_mother() & (u < F.col("_rate") / 1000)))
+    return born.select(*[c for c in df.columns if c != "birth"], "birth")
 
 
 def flag_births_scored(df: DataFrame, probability: Column) -> DataFrame:
     """The model version: birth = 1 for possible mothers whose score exceeds one half."""
-    mother = (F.col("female") == 1) & (F.col("child") == 0) & F.col("age").between(15, 49)
-    return df.withColumn("birth", flag(mother & (probability > 0.5)))
+    return df.withColumn("birth", flag(possible_mother() & (probability > 0.5)))
 
 
 def newborn_rows(df: DataFrame, seed: int = SEED) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import flag
@@ -94,15 +94,21 @@ def flag_births_by_link(df: DataFrame, children: DataFrame) -> DataFrame:
               .withColumn("birth", flag(F.col("_born") == 1)).drop("_born"))
 
 
-def lookup_age_rate(df: DataFrame, rates: DataFrame, ages: tuple[int, int] = (15, 49)) -> DataFrame:
-    """Women of the given ages who are no children, with their rate per 1000.
-
-    An age with several different rates is an error; null where `rates` lacks the age.
-    """
+def rate_by_age(rates: DataFrame, name: str = "rate") -> DataFrame:
+    """One row per age; an age with several different rates is an error."""
     one = F.when(F.min("rate") == F.max("rate"), F.max("rate")).when(F.max("rate").isNotNull(), F.raise_error(
         F.concat(F.lit("several rates for age "), F.col("age").cast("string"))))
-    eligible = df.filter((F.col("female") == 1) & (F.col("child") == 0) & F.col("age").between(*ages))
-    return eligible.join(rates.groupBy("age").agg(one.alias("rate")), "age", "left")
+    return rates.groupBy("age").agg(one.alias(name))
+
+
+def possible_mother(ages: tuple[int, int] = (15, 49)) -> Column:
+    """Women of the given ages who are no children."""
+    return (F.col("female") == 1) & (F.col("child") == 0) & F.col("age").between(*ages)
+
+
+def lookup_age_rate(df: DataFrame, rates: DataFrame, ages: tuple[int, int] = (15, 49)) -> DataFrame:
+    """Women of the given ages who are no children, with their rate per 1000; null where `rates` lacks the age."""
+    return df.filter(possible_mother(ages)).join(rate_by_age(rates), "age", "left")
 
 
 def lookup_transition(df: DataFrame, conditional: DataFrame) -> DataFrame:

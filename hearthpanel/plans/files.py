@@ -1,7 +1,9 @@
 """Queries of the readers and writers: files are written from the tables and read back."""
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.plans.frames import panel, rates
@@ -17,22 +19,23 @@ def _place(spark) -> str:
     return f"{shared_folder(spark)}/files/{uuid4().hex}"
 
 
-SURVEY = {"pgen": ["pid", "hid", "syear", "pglabgro"], "hbrutto": ["hid", "syear", "bula"]}
+# The columns that the order tables can give of each survey table, and the key that is summed up.
+SURVEY = {"pgen": ["pid", "hid", "syear", "pglabgro", "pgemplst"], "ppathl": ["pid", "hid", "syear", "sex", "migback", "phrf"],
+          "pkal": ["pid", "syear", "kal1e01"], "hgen": ["hid", "syear", "hgrent"], "hpathl": ["hid", "syear", "hhrf"],
+          "hbrutto": ["hid", "syear", "bula"]}
 
 
-@query("read_survey_tables", """
-select 'pgen' as name, count(*) as n, cast(sum(pid) as bigint) as checksum from pgen
-union all select 'hbrutto', count(*), cast(sum(hid) as bigint) from hbrutto""")
+@query("read_survey_tables", " union all ".join(
+    f"select '{name}' as name, count(*) as n, cast(sum({kept[0]}) as bigint) as checksum, cast(sum(syear) as bigint) as years, {len(kept)} as n_columns from {name}"
+    for name, kept in SURVEY.items()))
 def _(spark, folder):
     place = _place(spark)
-    pgen, _, _ = person_tables(spark, folder)
-    _, _, hbrutto = household_tables(spark, folder)
-    pgen.write.parquet(f"{place}/pgen")
-    hbrutto.write.parquet(f"{place}/hbrutto")
+    for name, df in zip(SURVEY, (*person_tables(spark, folder), *household_tables(spark, folder))):
+        df.withColumn("unused", F.lit(1)).write.parquet(f"{place}/{name}")
     tables = op.read_survey_tables(spark, place, SURVEY)
-    sums = [tables[t].agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(k).alias("checksum"))
-            for t, k in (("pgen", "pid"), ("hbrutto", "hid"))]
-    return sums[0].unionByName(sums[1])
+    return reduce(DataFrame.unionByName, [tables[name].agg(
+        F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(kept[0]).alias("checksum"), F.sum("syear").cast("bigint").alias("years"),
+        F.lit(len(tables[name].columns)).alias("n_columns")) for name, kept in SURVEY.items()])
 
 
 @query("read_panel", "select * from mixed where segment is not null and number is not null")
@@ -45,11 +48,12 @@ def _(spark, folder):
 
 @query("read_rate_csv", "select age, rate from rates", "rate:3")
 def _(spark, folder):
-    """An export with a preamble, a header, one column per cohort, decimal commas and note rows."""
+    """An export with seven lines before the header, one column per cohort, decimal commas and note rows."""
     path = f"{_place(spark)}/fertility"
     data = rates(spark, folder).select(F.concat_ws(
         ";", F.concat(F.col("age"), F.lit(" Jahre")), F.lit("1,5"), F.regexp_replace(F.col("rate").cast("string"), r"\.", ",")).alias("value"))
-    frame = spark.createDataFrame([("Table;;",), ("Rates by cohort",), (";1967;1968",), ("____",), ("Notes: none",)], "value string")
+    frame = spark.createDataFrame([(line,) for line in (
+        "Table;;", "Rates by cohort", "", "All regions", "Age of the mother", "Cohort", "", ";1967;1968", "____", "Notes: none")], "value string")
     frame.unionByName(data).write.text(path)
     return op.read_rate_csv(spark, path, "1968")
 

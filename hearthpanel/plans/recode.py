@@ -180,13 +180,14 @@ def _(spark, folder):
     return op.drop_incomplete(mixed(spark, folder))
 
 
-@query("null_profile", """
-select 'pid' as "column", 'bigint' as type, 0.0::double as null_share, count(*) as n_rows, 4 as n_columns from mixed
-union all select 'segment', 'string', avg(cast(segment is null as int)), count(*), 4 from mixed
-union all select 'earned', 'string', avg(cast(earned is null as int)), count(*), 4 from mixed
-union all select 'number', 'double', avg(cast(number is null as int)), count(*), 4 from mixed""", "null_share")
+MIXED = {"pid": "bigint", "year": "int", "employment_status": "int", "lfs": "int", "hours": "double", "segment": "string", "earned": "string", "number": "double"}
+
+
+@query("null_profile", " union all ".join(f"""
+select '{c}' as "column", '{t}' as type, avg(cast({c} is null as int)) as null_share, count(*) as n_rows, {len(MIXED)} as n_columns from mixed"""
+                                          for c, t in MIXED.items()), "null_share")
 def _(spark, folder):
-    return op.null_profile(mixed(spark, folder).select("pid", "segment", "earned", "number"))
+    return op.null_profile(mixed(spark, folder))
 
 
 @query("clip_values", """

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from hearthpanel.operators import reports as op
 from hearthpanel.operators.events import complete_panel
 from hearthpanel.operators.joins import anti_dropouts
-from hearthpanel.plans.frames import FIXED, VARIABLES, ana, full, panel
+from hearthpanel.plans.frames import FIXED, METHODS, MONEY, VARIABLES, ana, full, panel
 from hearthpanel.plans.registry import fragment, query
 
 METHODS = op.METHODS
@@ -232,18 +232,15 @@ def _(spark, folder):
     return op.employment_rate_by_sex(ana(spark, folder))
 
 
-MEDIAN_VARS = ["employment_status", "working", "n_people", "hh_income", "hours", "gross_earnings"]
+MEDIAN_COLUMNS = ["pid", "year", *(f"{v}_{m}" for m in METHODS for v in (*(f"daily_{x}" for x in MONEY), *FIXED, *VARIABLES) if (v, m) != ("age", "real")),
+                  "period_ahead"]
 
 
 @query("median_by_age", "sizes as (select age_real as age, count(*) as n from panel_ana group by age_real)\n" + " union all ".join(
-    f"""select age_real as age, '{v}_{m}' as variable, cast(quantile_cont({v}_{m}, 0.5) as double) as median,
-        (select n from sizes where sizes.age = age_real) as n from panel_ana group by age_real"""
-    for v in MEDIAN_VARS for m in METHODS) + """
-    union all select age_real, 'pid', cast(quantile_cont(pid, 0.5) as double), (select n from sizes where sizes.age = age_real)
-    from panel_ana group by age_real""", "median:4")
-def _(spark, folder):
-    df = ana(spark, folder).select("pid", "age_real", *[f"{v}_{m}" for v in MEDIAN_VARS for m in METHODS])
-    return op.median_by_age(df)
+    f"""select age_real as age, '{c}' as variable, cast(quantile_cont({c}, 0.5) as double) as median,
+        (select n from sizes where sizes.age = age_real) as n from panel_ana group by age_real""" for c in MEDIAN_COLUMNS), "median:4")
+def _(spark, folder):
+    return op.median_by_age(ana(spark, folder).select("age_real", *MEDIAN_COLUMNS))
 
 
 @query("working_share_by_length", """
