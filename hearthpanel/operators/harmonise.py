@@ -6,10 +6,12 @@ imputation for persons who drop out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthpanel.operators import events, household, joins, longitudinal, recode, scoring
+from hearthpanel.operators import events, household, joins, longitudinal, models, recode, scoring
 
 DROPPED = ["tenure", "heizkosten", "bruttokaltmiete"]
 
@@ -63,21 +65,36 @@ def finish_panel(new: DataFrame, old: DataFrame) -> DataFrame:
     return recode.drop_incomplete(recode.flags_from_status(flagged))
 
 
-def project_year(spark: SparkSession, df: DataFrame, models: dict[str, dict[str, float]], birth: Column,
-                 seed: int = events.SEED) -> DataFrame:
-    """One year on for the given persons: age, move out, family events, then the work cascade."""
+def _one_year(spark: SparkSession, df: DataFrame, births: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame], DataFrame],
+              seed: int) -> DataFrame:
     df = events.leave_home(longitudinal.roll_state(df))
     df = events.mark_separations(events.remove_age_out(df), seed).drop("separated")
     df = events.mark_marriages(df, seed).drop("wed")
     df = events.form_couples(spark, df, seed=seed)
-    df = events.add_newborn_rows(events.flag_births_scored(df, birth), seed)
-    return scoring.score_cascade(df, models)
+    return work(events.add_newborn_rows(births(df), seed))
+
+
+def project_year(spark: SparkSession, df: DataFrame, coefficients: dict[str, dict[str, float]], birth: Column,
+                 seed: int = events.SEED) -> DataFrame:
+    """One year on for the given persons: age, move out, family events, then the work cascade of a coefficient table."""
+    return _one_year(spark, df, lambda d: events.flag_births_scored(d, birth), lambda d: scoring.score_cascade(d, coefficients), seed)
 
 
-def impute_dropouts(spark: SparkSession, panel: DataFrame, models: dict[str, dict[str, float]], birth: Column,
+def project_year_fitted(spark: SparkSession, df: DataFrame, bundle: models.Bundle, seed: int = events.SEED) -> DataFrame:
+    """The same with the fitted models: births by theirs, then the fitted cascade."""
+    births = lambda d: events.flag_births_scored(models.fitted(bundle, "birth", d, "_birth"), F.col("_birth")).drop("_birth")
+    return _one_year(spark, df, births, lambda d: models.cascade(bundle, d), seed)
+
+
+def impute_dropouts(spark: SparkSession, panel: DataFrame, coefficients: dict[str, dict[str, float]], birth: Column,
                     seed: int = events.SEED) -> DataFrame:
     """The panel plus, for everyone absent in the next year, a projected row of that year.
 
     All years are handled at once; observed rows win where a person is back.
     """
-    return events.complete_panel(panel, project_year(spark, joins.anti_dropouts(panel), models, birth, seed))
+    return events.complete_panel(panel, project_year(spark, joins.anti_dropouts(panel), coefficients, birth, seed))
+
+
+def impute_dropouts_fitted(spark: SparkSession, panel: DataFrame, bundle: models.Bundle, seed: int = events.SEED) -> DataFrame:
+    """`impute_dropouts` with the fitted models."""
+    return events.complete_panel(panel, project_year_fitted(spark, joins.anti_dropouts(panel), bundle, seed))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.operators import estimation as est
 from hearthpanel.operators import features as op
+from hearthpanel.operators import harmonise
 from hearthpanel.operators import models as md
 from hearthpanel.operators import scoring as sc
 from hearthpanel.operators.transitions import transition_by_sex_age, transition_conditional
@@ -241,6 +242,22 @@ def _(spark, folder):
         "pid", "year", "retired", "working", "fulltime", "employment_status", "hours", "gross_earnings")
 
 
+@query("impute_dropouts", """
+gone as (select * from panel_lags p where year < (select max(year) from panel_lags)
+         and not exists (select 1 from panel_lags n where n.pid = p.pid and n.year = p.year + 1)),
+rows as (select pid, year, age, 0 as predicted from panel_lags
+         union all select pid, cast(year + 1 as int), cast(age + 1 as int), 1 from gone where not age + 1 >= age_max)
+select year, predicted, count(*) as n, cast(sum(pid) as bigint) as pids, cast(sum(age) as bigint) as ages, cast(0 as bigint) as odd
+from rows group by all""")
+def _(spark, folder):
+    # Fit, save, load, project, complete; newborns, which no table knows, are left out of the sums.
+    done = harmonise.impute_dropouts_fitted(spark, lags(spark, folder), _reloaded(spark, folder))
+    state = F.when(F.col("working") == 1, F.when(F.col("fulltime") == 1, 3).otherwise(2)).otherwise(F.when(F.col("retired") == 1, 1).otherwise(0))
+    odd = (F.col("predicted") == 1) & ((F.col("employment_status") != state) | (F.col("hours") < 0) | (F.col("hours") > 80) | (F.col("gross_earnings") < 0))
+    return done.filter(F.col("pid") < 3_000_000_000_000).groupBy(F.col("year").cast("int").alias("year"), "predicted").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"), F.sum("age").cast("bigint").alias("ages"), F.count_if(odd).alias("odd"))
+
+
 # A coefficient table as an estimation job stores it: (model, term, beta).
 COEFFICIENTS = {
     "retired": {"intercept": -3.0, "age": 0.04, "retired_t1": 1.5},

@@ -297,7 +297,7 @@ def _(spark, folder):
 @query("prediction_error", """
 select pid, year, hours_real - hours_standard as error_standard, abs(hours_real - hours_standard) as abs_error_standard,
        hours_real - hours_ext as error_ext, abs(hours_real - hours_ext) as abs_error_ext from panel_ana""",
-       "error_standard abs_error_standard error_ext abs_error_ext")
+       "error_standard:8 abs_error_standard:8 error_ext:8 abs_error_ext:8")
 def _(spark, folder):
     return op.prediction_error(ana(spark, folder), "hours", PREDICTED).select(
         "pid", "year", *[f"{p}error_{m}" for m in PREDICTED for p in ("", "abs_")])

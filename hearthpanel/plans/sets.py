@@ -25,3 +25,8 @@ def _(spark, folder):
 @query("sort_panel", "select pid, year, age from panel order by pid, year")
 def _(spark, folder):
     return op.sort_panel(panel(spark, folder).select("pid", "year", "age"))
+
+
+@query("sort_panel_order", "select count(*) as n, cast(0 as bigint) as inversions from panel")
+def _(spark, folder):
+    return op.order_check(op.sort_panel(panel(spark, folder).select("pid", "year", "age")))

@@ -34,13 +34,14 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def write_panel(panel: DataFrame, folder: str, ages: tuple[int, int] = (16, 65)) -> tuple[str, str]:
     """Store the complete rows, and a second copy for the working ages, partitioned by year.
 
-    The rows of a year are spread over several files so that no task writes a whole year.
+    Files have about the session's advisory partition size: small years are one file each, a large one is split into
+    as many as it fills.
     """
     complete = panel.na.drop("any")
     everyone, working_age = f"{folder}/merged", f"{folder}/workingage"
-    complete.write.mode("overwrite").partitionBy("year").parquet(everyone)
-    (panel.sparkSession.read.parquet(everyone).filter(F.col("age").between(*ages))
-          .write.mode("overwrite").partitionBy("year").parquet(working_age))
+    by_size = lambda df: df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year")
+    by_size(complete).parquet(everyone)
+    by_size(panel.sparkSession.read.parquet(everyone).filter(F.col("age").between(*ages))).parquet(working_age)
     return everyone, working_age
 
 
