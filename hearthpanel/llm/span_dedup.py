@@ -1,8 +1,7 @@
 """Substring dedup on runs of sentences.
 
 Every run of a few consecutive sentences is hashed and compared with all runs of all documents; sentences
-inside a run that occurred before, in an earlier document or earlier in the same one, are removed. Only where
-neighbouring repeated runs have few words, all taken together, they stay.
+inside a run that occurred before, in an earlier document or earlier in the same one, are removed.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from hearthpanel.llm.quality_rules import bound
 from hearthpanel.llm.store import saved
 
 RUN = 3
-LEAST_WORDS = 10
 # A sentence ends behind `.`, `!` or `?`, at a line break, and after twelve words at the latest. Each
 # character of a text belongs to one piece, a sentence with the white space behind it or such a rest.
 PIECE = r"(?:[^\s.!?]++[^\S\n]*+){1,12}[.!?]*+\s*+|[.!?\s]++"
@@ -32,56 +30,71 @@ def _sentences(pieces: Column) -> Column:
     return F.filter(even, lambda s: s["wording"].rlike(r"[^.!? ]"))
 
 
-def _occurrences(sentences: Column) -> Column:
-    """Hash, first and last piece of each run, words by sentence, and whether the text has the run before (`again`)."""
+def _occurrences(sentences: Column, sized: bool) -> Column:
+    """Hash and first and last piece (one number, `span`) of each run, and whether the text has the run before (`again`).
+
+    If asked, also `sizes`: place and words of each sentence.
+    """
     def runs(s):
         return F.when(F.size(s) >= RUN, F.transform(F.sequence(F.lit(0), F.size(s) - RUN), lambda i: F.struct(
             F.xxhash64(*[F.get(s, i + k)["wording"] for k in range(RUN)]).alias("hash"),
-            F.get(s, i)["at"].alias("first"), F.get(s, i + RUN - 1)["at"].alias("last"),
-            F.array(*[F.shiftleft(F.get(s, i + k)["at"].cast("bigint"), 32) + F.size(F.split(F.get(s, i + k)["wording"], " "))
-                      for k in range(RUN)]).alias("sizes"))))
+            (F.shiftleft(F.get(s, i)["at"].cast("bigint"), 32) + F.get(s, i + RUN - 1)["at"]).alias("span"),
+            *([F.array(*[F.shiftleft(F.get(s, i + k)["at"].cast("bigint"), 32) + F.size(F.split(F.get(s, i + k)["wording"], " "))
+                         for k in range(RUN)]).alias("sizes")] if sized else []))))
+    kept = ["hash", "span", *(["sizes"] if sized else [])]
     return bound(F.array_sort(bound(sentences, runs)), lambda s: F.transform(s, lambda r, k: F.struct(
-        r["hash"].alias("hash"), r["first"].alias("first"), r["last"].alias("last"), r["sizes"].alias("sizes"),
-        F.coalesce(F.get(s, k - 1)["hash"] == r["hash"], F.lit(False)).alias("again"))))
+        *[r[c].alias(c) for c in kept], F.coalesce(F.get(s, k - 1)["hash"] == r["hash"], F.lit(False)).alias("again"))))
+
+
+def _first(run: Column) -> Column:
+    return F.shiftright(run["span"], 32).cast("int")
+
+
+def _last(run: Column) -> Column:
+    return run["span"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
 
+def _stretches(runs: Column, least_words: int) -> Column:
+    """Pieces of the stretches of `least_words` words; a stretch is all runs (sorted) that overlap or adjoin."""
+    pieces = lambda first, last: F.sequence(_first(first), _last(last))
+    if not least_words:
+        return F.array_distinct(F.flatten(F.transform(runs, lambda r: pieces(r, r))))
 
-def _stretches(runs: Column) -> Column:
-    """Pieces of the stretches of LEAST_WORDS words; a stretch is all runs (sorted) that overlap or adjoin."""
     def cut(r):
-        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: (k == 0) | (F.get(r, k)["first"] > F.get(r, k - 1)["last"] + 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: (k == 0) | (_first(F.get(r, k)) > _last(F.get(r, k - 1)) + 1))
         return bound(starts, lambda at: F.transform(at, lambda low, i: F.slice(r, low + 1, F.coalesce(F.get(at, i + 1), F.size(r)) - low)))
 
     def words(stretch):
         # Place and words in one number, as distinct structs are found by comparing all with all.
         sentences = F.array_distinct(F.flatten(F.transform(stretch, lambda r: r["sizes"])))
         return F.aggregate(sentences, F.lit(0).cast("bigint"), lambda total, s: total + s.bitwiseAND(F.lit((1 << 32) - 1)))
-    long_enough = F.filter(bound(runs, cut), lambda stretch: words(stretch) >= LEAST_WORDS)
-    return F.flatten(F.transform(long_enough, lambda t: F.sequence(F.get(t, F.lit(0))["first"], F.get(t, F.size(t) - 1)["last"])))
+    long_enough = F.filter(bound(runs, cut), lambda stretch: words(stretch) >= least_words)
+    return F.flatten(F.transform(long_enough, lambda t: pieces(F.get(t, F.lit(0)), F.get(t, F.size(t) - 1))))
 
 
-def repeated_pieces(keyed: DataFrame) -> DataFrame:
+def repeated_pieces(keyed: DataFrame, least_words: int = 0) -> DataFrame:
     """Pieces to remove: rank, print and `gone` (distinct piece places), one row per changed document.
 
     `keyed` has rank (order of the documents), print (hash of the text) and body.
     """
-    spread = keyed.select("rank", "print", F.explode(_occurrences(_sentences(_pieces(F.col("body"))))).alias("o")).select(
+    spread = keyed.select("rank", "print", F.explode(_occurrences(_sentences(_pieces(F.col("body"))), least_words > 0)).alias("o")).select(
         "rank", "print", "o.*")
     # Sums per hash are taken before the shuffle, so a passage that a third of all documents share is cheap.
     repeated = saved(spread.groupBy("hash").agg(F.min("rank").alias("holder"), F.max("rank").alias("other"), F.max("again").alias("twice"))
                      .filter("holder <> other or twice").select("hash", "holder"), "repeated_runs")
     # The table of repeated runs is read from storage, so that the join may split the parts of a hot hash.
     later = spread.join(repeated, "hash").filter("rank > holder or again")
-    runs = later.groupBy("rank", "print").agg(F.array_sort(F.collect_set(F.struct("first", "last", "sizes"))).alias("runs"))
-    return runs.select("rank", "print", _stretches(F.col("runs")).alias("gone")).filter(F.size("gone") > 0)
+    runs = later.groupBy("rank", "print").agg(F.array_sort(F.collect_set(F.struct("span", *(["sizes"] if least_words else [])))).alias("runs"))
+    return runs.select("rank", "print", _stretches(F.col("runs"), least_words).alias("gone")).filter(F.size("gone") > 0)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = 0) -> DataFrame:
     """`docs` as one struct column `row`, with n_sentences, n_removed (both long) and clean (the new text).
 
     A run is RUN consecutive sentences. Of equal runs (lower-cased, white space made even) the first stays: the
-    one in the document with the smallest key, and of those in one document the first. Other occurrences that
-    overlap or adjoin are one stretch. Every sentence inside a stretch of LEAST_WORDS words goes, with the signs
-    and white space between; the rest of the text stays as it is.
+    one in the document with the smallest key, and of those in one document the first. Every sentence inside another
+    occurrence goes, with the signs and white space between; the rest of the text stays as it is. With `least_words`
+    occurrences that overlap or adjoin are one stretch, and stretches of fewer words stay.
 
     Null and empty texts: no sentences, nothing removed, the text stays null or empty. Texts of fewer than RUN
     sentences stay. Documents with a null key come after all others, in the order of a hash of their text. Rows
@@ -93,7 +106,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rank = F.coalesce(F.col(key).cast("bigint"), print_.bitwiseAND(F.lit(AFTER_IDS - 1)) + F.lit(AFTER_IDS))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"),
                         rank.alias("rank"), print_.alias("print"))
-    gone = saved(repeated_pieces(keyed.drop("row")), "removed_pieces")
+    gone = saved(repeated_pieces(keyed.drop("row"), least_words), "removed_pieces")
     both = keyed.join(gone, ["rank", "print"], "left")
     left = F.when(F.col("gone").isNull(), F.col("body")).otherwise(bound(_pieces(F.col("body")), lambda p: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), "")))

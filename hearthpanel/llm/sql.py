@@ -34,10 +34,9 @@ with pieces as (select doc_id, text, regexp_extract_all(text, '{_PIECE}') as p f
 each_piece as (select doc_id, unnest(p) as piece, unnest(range(0, len(p))) as pos from pieces),
 sentences as (select doc_id, pos, lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) as wording from each_piece),
 worded as (select *, row_number() over (partition by doc_id order by pos) as k from sentences where regexp_matches(wording, '[^.!? ]')),
-runs as (select a.doc_id, a.pos as low, c.pos as high, [a.wording, b.wording, c.wording] as run,
-                len(string_split(a.wording, ' ')) + len(string_split(b.wording, ' ')) + len(string_split(c.wording, ' ')) as n
+runs as (select a.doc_id, a.pos as low, c.pos as high, [a.wording, b.wording, c.wording] as run
          from worded a join worded b on b.doc_id = a.doc_id and b.k = a.k + 1 join worded c on c.doc_id = a.doc_id and c.k = a.k + 2),
-later as (select doc_id, low, high from runs where n >= {span_dedup.LEAST_WORDS}
+later as (select doc_id, low, high from runs
           qualify row_number() over (partition by run order by doc_id, low) > 1),
 gone as (select distinct doc_id, unnest(range(low, high + 1)) as pos from later),
 kept as (select e.doc_id, string_agg(e.piece, '' order by e.pos) as text from each_piece e

@@ -239,10 +239,9 @@ def _without_repeats(rows):
         gone, own = set(), set()
         for k in range(len(sentences) - span_dedup.RUN + 1):
             run = tuple(s for _, s in sentences[k:k + span_dedup.RUN])
-            if sum(len(s.split(" ")) for s in run) >= span_dedup.LEAST_WORDS:
-                if run in seen or run in own:
-                    gone.update(range(sentences[k][0], sentences[k + span_dedup.RUN - 1][0] + 1))
-                own.add(run)
+            if run in seen or run in own:
+                gone.update(range(sentences[k][0], sentences[k + span_dedup.RUN - 1][0] + 1))
+            own.add(run)
         seen |= own
         out[key] = "".join(p for i, p in enumerate(parts) if i not in gone)
     return out
@@ -267,15 +266,17 @@ def test_repeated_spans(spark, texts, nothing):
 
 
 def test_repeated_stretches_of_short_sentences(spark):
-    """Runs of under ten words go where they make a long stretch, and stay where they are all that is repeated."""
+    """With a floor, runs of under ten words go where they make a long stretch, and stay where they are all that is repeated."""
     rng = random.Random(21)
     junk = " ".join(f"{w}{i}!!" for i, w in enumerate(words(rng, 60)))
     rows = [(1, "First one here. " + junk), (2, "Other one there. " + junk + " Own end."), (3, "Alpha. So it is. Yes. No. Beta."),
             (4, "Gamma. So it is. Yes. No. Delta."), (5, "Zeta. One two. Three. Four five six. Seven. Eight. Nine ten. Eta."),
             (6, "Iota. One two. Three. Four five six. Seven. Eight. Nine ten. Kappa.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(df).select("row.doc_id", "clean").collect()}
+    got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(df, least_words=10).select("row.doc_id", "clean").collect()}
     assert got == dict(rows) | {2: "Other one there. Own end.", 6: "Iota. Kappa."}
+    got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(df).select("row.doc_id", "clean").collect()}
+    assert got == dict(rows) | {2: "Other one there. Own end.", 4: "Gamma. Delta.", 6: "Iota. Kappa."} and got == _without_repeats(rows)
 
 
 # decontamination
@@ -315,12 +316,14 @@ def test_benchmark_leaks(spark, texts, nothing):
 
 # near-dedup
 
+def _shingles(text):
+    w = WORD.findall((text or "").translate(AZ))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
 def _components(rows):
     """Smallest id per row by comparing all pairs of sets."""
-    def shingles(text):
-        w = WORD.findall((text or "").translate(AZ))
-        return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-    sets = [shingles(t) for _, t in rows]
+    sets = [_shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -366,7 +369,7 @@ def test_crowds_lose_no_link(spark):
     summed = chosen_path._summarised(df, "doc_id", "text")
     sets = chosen_path.saved(summed.dropDuplicates(["vertex"]), "sets")
     sets = sets.withColumn("root", F.col("vertex"))
-    pairs = chosen_path.candidates(sets, small=8, plain_levels=1)
+    pairs = chosen_path.candidates(sets, small=8)
     links = chosen_path.confirmed(df, summed, chosen_path.saved(pairs, "p"), "doc_id", "text")
     roots = {r.vertex: r.root for r in components.components(links).collect()}
     vertex = {r.id: r.vertex for r in summed.collect()}
@@ -396,13 +399,31 @@ def test_tight_pairs_in_a_crowd_below_the_threshold(spark):
     assert sum(not r.kept for r in chosen_path.judge(df).collect()) == 60
 
 
-def test_common_counts_and_forest():
+@pytest.mark.parametrize("slices", [20_000, 37])
+def test_crowd_pairs_hold_every_link_and_little_else(spark, monkeypatch, slices):
+    """A crowd in one node: no link is lost, and sets that are merely alike make no rows."""
+    monkeypatch.setattr(chosen_path, "SLICE_SETS", slices)
     rng = random.Random(4)
-    sets = [np.array(sorted(rng.sample(range(6000), rng.randrange(1, 3000)))) for _ in range(40)]
-    common = chosen_path.common_counts(sets[:15], sets[15:])
-    assert common.tolist() == [[len(set(a) & set(b)) for b in sets[15:]] for a in sets[:15]]
-    assert len(chosen_path._forest(np.ones((30, 30), dtype=bool))) < 60 and chosen_path._forest(np.zeros((3, 4), dtype=bool)) == []
-    assert chosen_path._forest(np.array([[False, True], [True, False]])) == [(0, 1), (1, 0)]
+    core = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        copy = list(core)
+        for _ in range(rng.randint(2, 9)):
+            copy[rng.randrange(120)] = f"e{rng.randrange(1000)}"
+        rows.append((i, " ".join(copy)))
+    summed = chosen_path._summarised(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sets = chosen_path.saved(summed.dropDuplicates(["vertex"]), "sets")
+    ids = {r.vertex: r.id for r in summed.collect()}
+    many = sets.select(F.lit(7).cast("long").alias("node"), "vertex", F.pmod("vertex", F.lit(40)).alias("root"), "n")
+    root = {ids[r.vertex]: r.root for r in many.collect()}
+    found = {tuple(sorted((ids[r.a], ids[r.b]))) for r in chosen_path.crowd_pairs(many, sets).collect()}
+    full = [_shingles(t) for _, t in rows]
+    apart = [(i, j) for j in range(300) for i in range(j) if root[i] != root[j]]
+    union = lambda i, j: len(full[i] | full[j])
+    links = {(i, j) for i, j in apart if 100 * len(full[i] & full[j]) >= 75 * union(i, j)}
+    assert links and links <= found
+    assert all(100 * len(full[i] & full[j]) >= 65 * union(i, j) for i, j in found)
+    assert chosen_path.crowd_pairs(many.withColumn("root", F.lit(1).cast("long")), sets).isEmpty()
 
 
 def test_components(spark):
