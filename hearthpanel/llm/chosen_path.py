@@ -2,14 +2,15 @@
 
 Trees branch the documents recursively: a node picks some positions of the minwise signature, and its documents
 go on to one child per picked position, by the token that is smallest there. Similar documents agree on most
-tokens and so share many paths. All nodes are compared exhaustively, small ones by sketches and large ones in blocks
-of full sets; independent trees repeat the search until a pair at the threshold is missed with negligible
+tokens and so share many paths. All nodes are compared exhaustively, small ones by sketches and large ones by parity
+bits, which bound the difference of two sets; independent trees repeat the search until a pair at the threshold is missed with negligible
 probability. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,20 +20,20 @@ from pyspark.sql import types as T
 
 from hearthpanel.llm.components import components
 from hearthpanel.llm.store import saved
-from hearthpanel.llm.texts import mixed, shingle_set, word_hashes
+from hearthpanel.llm.texts import PARITY_WORDS, mixed, parities, shingle_set, word_hashes
 
 POSITIONS, SKETCH = 64, 512
 """Positions whose tokens paths can go by, and positions that the sketch has a bit of (the former among them)."""
 TREES, ROOT_BRANCHES = 4, 4
 """A pair of similarity s agrees on none of the 16 root tokens with probability (1 - s)^16: 2e-10 at 0.75."""
 BRANCHES = 2
-PLAIN_LEVELS = 1
+SHRINK = 0.6
+"""A node branches on if no child has more than this share of its sets. With two branches a pair of similarity 0.75 is lost
+in a node with a chance below 0.12 however deep the tree, and so in all 16 first nodes with one of about 1e-8."""
 SMALL = 200
 """Nodes of at most so many sets are compared by sketches."""
-BLOCK_SETS, BLOCK_SHINGLES = 1000, 500_000
-"""About so many sets, and shingles in all, of a larger node are in one block; each two blocks are compared in one task."""
-COLUMNS = 2048
-"""Shingles whose occurrences in a block are counted at once."""
+SLICE_SETS = 20_000
+"""A larger node's sets are dealt to slices of about so many; each slice meets all sets of its node in a task of its own."""
 SHINGLE = 5
 BROADCAST_ROWS = 500_000
 """Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
@@ -41,12 +42,13 @@ LEAST_AGREEMENT = 404
 """Of 512 positions, those that agree in one bit of the token: 448 are expected at similarity 0.75, 256 at 0. Fewer than
 404 come by chance with a probability of 1e-7 at the threshold; such pairs are not confirmed."""
 SKETCHES = [f"s{k}" for k in range(1, SKETCH // 64 + 1)]
+PARITIES = [f"p{k}" for k in range(PARITY_WORDS)]
 
 _RANDOM = np.random.default_rng(20240229)
 _FLIP = _RANDOM.integers(0, 1 << 32, SKETCH, dtype=np.uint32)[:, None]
 _TIMES = (_RANDOM.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1))[:, None]
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("vertex", "n", *SKETCHES)]
+_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ("vertex", "n", *SKETCHES, *PARITIES)]
                         + [T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
 
@@ -63,12 +65,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _summary(text: str | None) -> tuple:
     shingles = shingle_set(word_hashes(text), SHINGLE)
     if len(shingles) == 0:
-        return None, 0, *[0] * len(SKETCHES), None
+        return None, 0, *[0] * len(SKETCHES + PARITIES), None
     tokens = signature(shingles)
     # Equal sets get equal numbers, and different ones differ but for a chance of 2^-64.
     vertex = mixed(np.array([mixed(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], dtype=np.uint64))
     bits = [int((_BITS * (tokens[k:k + 64] & np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) for k in range(0, SKETCH, 64)]
-    return int(vertex.view(np.int64)[0]), len(shingles), *bits, tokens[:POSITIONS].astype(np.uint32).view(np.int32)
+    return int(vertex.view(np.int64)[0]), len(shingles), *bits, *parities(shingles).tolist(), tokens[:POSITIONS].astype(np.uint32).view(np.int32)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -80,8 +82,8 @@ def _set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(_SCHEMA)
 def _summaries(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", *SKETCHES, "tokens"])
-        yield out.astype({"vertex": "Int64", "n": "int64"} | {c: "int64" for c in SKETCHES})
+        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", *SKETCHES, *PARITIES, "tokens"])
+        yield out.astype({"vertex": "Int64", "n": "int64"} | {c: "int64" for c in SKETCHES + PARITIES})
 
 
 def _child(node: Column, position: Column) -> Column:
@@ -131,132 +133,71 @@ def star_pairs(sets: DataFrame) -> DataFrame:
     return saved(met.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct(), "star_pairs")
 
 
-def _nodes(sets: DataFrame, small: int, plain_levels: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) within small nodes, and the saved members of the nodes that are still large after `plain_levels`."""
+def _nodes(sets: DataFrame, small: int, shrink: float) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a < b) within small nodes, and the members of large nodes that branching does not divide.
+
+    A large node branches as long as each of its children has at most the share `shrink` of its sets.
+    """
     lean = ["node", "vertex", "root", "n", *SKETCHES]
     rows = _first_nodes(sets, *lean[1:])
-    found, level = [], 0
+    found, crowds = [], []
     while True:
         sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node_sizes")
         members = saved(rows.join(sizes, "node"), "members")
         few = members.filter(F.col("size") <= small).select(*lean)
         found.append(saved(_pairs_of(few, few, True), "pairs"))
-        many = members.filter(F.col("size") > small).select(*lean)
-        if level >= plain_levels or many.isEmpty():
+        many = members.filter(F.col("size") > small)
+        if many.isEmpty():
             break
         picks = F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")) for k in range(BRANCHES)])
-        rows = many.join(sets.select("vertex", "tokens"), "vertex").select(F.explode(F.array_distinct(picks)).alias("node"), *lean[1:])
-        level += 1
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct(), many
+        children = saved(many.join(sets.select("vertex", "tokens"), "vertex").select(
+            F.col("node").alias("parent"), "size", F.explode(F.array_distinct(picks)).alias("node"), *lean[1:]), "children")
+        parts = children.groupBy("parent", "size", "node").agg(F.count(F.lit(1)).alias("part"))
+        divided = saved(parts.groupBy("parent", "size").agg(F.max("part").alias("most")).filter(F.col("most") <= F.col("size") * shrink).select("parent"), "divided")
+        crowds.append(many.select(*lean).join(divided.withColumnRenamed("parent", "node"), "node", "left_anti"))
+        rows = children.join(divided, "parent", "left_semi").select(*lean)
+    return reduce(DataFrame.union, found).distinct(), reduce(DataFrame.union, crowds) if crowds else None
 
 
-def candidates(sets: DataFrame, small: int = SMALL, plain_levels: int = PLAIN_LEVELS) -> DataFrame:
+def candidates(sets: DataFrame, small: int = SMALL, shrink: float = SHRINK) -> DataFrame:
     """Candidate pairs (a < b), by sketches, of a saved table of distinct sets (vertex, root, n, sketches, tokens).
 
     Sets with the same `root` are known to be in one component; their pairs are left out. Nodes of any size are
     compared exhaustively. A crowd gives as many candidates as it has pairs; `links` compares it without making them.
     """
-    pairs, many = _nodes(sets, small, plain_levels)
-    return pairs.union(_pairs_of(many, many, True)).distinct()
+    pairs, crowds = _nodes(sets, small, shrink)
+    return pairs if crowds is None else pairs.union(_pairs_of(crowds, crowds, True)).distinct()
 
 
-def _blocks(many: DataFrame) -> DataFrame:
-    """Members of large nodes, a row for each two blocks they are compared in: node, main, i, j, block, vertex, root.
+def crowd_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components within large nodes that sizes and parity bits allow to be linked.
 
-    The sets of a node's most frequent root are cut into blocks of their own, which are compared with those of
-    the others only; a crowd that is one component makes no rows.
-    """
-    roots = many.groupBy("node", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
-    top = roots.groupBy("node").agg(F.max(F.struct("sets", "root", "shingles")).alias("top"), F.sum("sets").alias("sets"),
-                                    F.sum("shingles").alias("shingles")).filter(F.col("sets") > F.col("top.sets"))
-    parts = lambda count, size: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
-    split = saved(top.select("node", F.col("top.root").alias("most"), parts(F.col("top.sets"), F.col("top.shingles")).alias("mains"),
-                             parts(F.col("sets") - F.col("top.sets"), F.col("shingles") - F.col("top.shingles")).alias("others")), "node_blocks")
-    of_main = F.col("root") == F.col("most")
-    block = F.pmod(F.xxhash64("vertex", "node"), F.when(of_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
-    placed = many.join(split, "node").select("node", "vertex", "root", of_main.alias("is_main"), block.alias("block"), "mains", "others")
-    upto = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
-    pair = lambda main, i, j: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"))
-    met = F.when(F.col("is_main"), F.transform(upto("others"), lambda j: pair(True, F.col("block"), j))).otherwise(F.concat(
-        F.transform(upto("mains"), lambda i: pair(True, i, F.col("block"))),
-        F.transform(upto("others"), lambda k: pair(False, F.least("block", k), F.greatest("block", k)))))
-    return placed.select("node", "vertex", "root", "is_main", "block", F.explode(met).alias("m")).select(
-        "node", "m.*", (F.col("is_main") | (~F.col("m.main") & (F.col("block") == F.col("m.i")))).alias("first"),
-        ((~F.col("is_main")) & (F.col("block") == F.col("m.j"))).alias("second"), "vertex", "root")
-
-
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Size of the intersection of each set on the left with each on the right, exactly."""
-    sizes = [len(s) for s in (*left, *right)]
-    place = np.repeat(np.arange(len(sizes)), sizes)
-    _, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
-    shared = times > 1
-    inside = shared[column]
-    place, column = place[inside], (np.cumsum(shared) - 1)[column[inside]]
-    order = np.argsort(column, kind="stable")
-    place, column = place[order], column[order]
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, int(shared.sum()), COLUMNS):
-        low, high = np.searchsorted(column, [start, start + COLUMNS])
-        has = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
-        has[place[low:high], column[low:high] - start] = 1
-        out += has[:len(left)] @ has[len(left):].T
-    return out.astype(np.int64)
-
-
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links (row, column) that connect whatever all links connect, fewer than there are rows and columns."""
-    rows, columns = np.ones(linked.shape[0], dtype=bool), np.ones(linked.shape[1], dtype=bool)
-    out = []
-    for start in np.flatnonzero(linked.any(axis=1)):
-        stack = [start] if rows[start] else []
-        rows[start] = False
-        while stack:
-            i = stack.pop()
-            for j in np.flatnonzero(linked[i] & columns):
-                columns[j] = False
-                more = np.flatnonzero(linked[:, j] & rows)
-                rows[more] = False
-                out += [(i, j), *((k, j) for k in more)]
-                stack.extend(more)
-    return out
-
-
-def _block_links(group: pd.DataFrame) -> pd.DataFrame:
-    left, right = group[group["first"]], group[group["second"]]
-    found = []
-    if len(left) and len(right):
-        x, y = list(left["shingles"]), list(right["shingles"])
-        common = common_counts(x, y)
-        union = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - common
-        a, b = left["vertex"].to_numpy(), right["vertex"].to_numpy()
-        apart = left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :]
-        found = [(min(a[i], b[j]), max(a[i], b[j])) for i, j in _forest((DENOMINATOR * common >= NUMERATOR * union) & apart)]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def crowd_links(many: DataFrame, docs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Links (a < b) within large nodes: all members are compared on full sets, a task per two blocks.
-
-    Of the links between two blocks as many stay as connect what they connect. A link between sets that are
-    linked in no other way always stays.
+    Every pair is looked at, inside the join; only those that may be linked come out. The bits bound the difference
+    of two full sets from below, so none that is linked is lost, and crowds that are merely alike make no rows. Sets
+    of a node's most frequent component are compared with the others only, and nodes of one component not at all.
     """
-    blocks = saved(_blocks(many), "blocks")
-    if blocks.isEmpty():
-        return blocks.select(F.col("vertex").alias("a"), F.col("vertex").alias("b"))
-    sets = full_sets(docs, rows, blocks.select("vertex").distinct(), key, text)
-    found = blocks.join(sets, "vertex").groupBy("node", "main", "i", "j").applyInPandas(_block_links, "a long, b long")
-    return saved(found.distinct(), "crowd_links")
+    roots = many.groupBy("node", "root").agg(F.count(F.lit(1)).alias("sets"))
+    nodes = roots.groupBy("node").agg(F.max(F.struct("sets", "root")).alias("top"), F.sum("sets").alias("sets"))
+    nodes = nodes.filter(F.col("sets") > F.col("top.sets")).select("node", F.col("top.root").alias("main"), F.ceil(F.col("sets") / SLICE_SETS).cast("int").alias("slices"))
+    mixed_nodes = saved(many.select("node", "vertex", "root", "n").join(nodes, "node").join(sets.select("vertex", *PARITIES), "vertex"), "mixed_nodes")
+    others = F.col("root") != F.col("main")
+    dealt = mixed_nodes.filter(others).withColumn("slice", F.pmod(F.xxhash64("vertex"), F.col("slices")).cast("int")).alias("a")
+    all_sets = mixed_nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("b")
+    unequal = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in PARITIES])
+    n, k = F.col("a.n"), F.col("b.n")
+    may = ((DENOMINATOR * F.least(n, k) >= NUMERATOR * F.greatest(n, k))
+           & (unequal * (DENOMINATOR + NUMERATOR) <= (n + k) * (DENOMINATOR - NUMERATOR)))
+    met = dealt.join(all_sets, (F.col("a.node") == F.col("b.node")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.root") != F.col("b.root")) & may)
+    low, high = F.least("a.vertex", "b.vertex"), F.greatest("a.vertex", "b.vertex")
+    return saved(met.select(low.alias("a"), high.alias("b")).distinct(), "crowd_pairs")
 
 
 def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, key: str, text: str, small: int = SMALL,
-          plain_levels: int = PLAIN_LEVELS) -> DataFrame:
+          shrink: float = SHRINK) -> DataFrame:
     """Links (a < b) that join the sets with different `root`; `rows` as summarised, `sets` as in `candidates`."""
-    pairs, many = _nodes(sets, small, plain_levels)
-    return confirmed(docs, rows, saved(pairs, "candidates"), key, text).union(crowd_links(many, docs, rows, key, text))
+    pairs, crowds = _nodes(sets, small, shrink)
+    met = pairs if crowds is None else pairs.union(crowd_pairs(crowds, sets)).distinct()
+    return confirmed(docs, rows, saved(met, "candidates"), key, text)
 
 
 def _summarised(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -303,7 +244,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     their rows, all marked alike. Other columns are ignored. No rows give no rows.
     """
     rows = _summarised(docs, key, text)
-    sets = saved(rows.filter("n > 0").dropDuplicates(["vertex"]).select("vertex", "n", *SKETCHES, "tokens"), "sets")
+    sets = saved(rows.filter("n > 0").dropDuplicates(["vertex"]).select("vertex", "n", *SKETCHES, *PARITIES, "tokens"), "sets")
     stars = confirmed(docs, rows, star_pairs(sets), key, text)
     known = components(stars).withColumnRenamed("vertex", "v")
     rooted_sets = saved(sets.join(known, F.col("vertex") == F.col("v"), "left").withColumn(
@@ -329,13 +270,21 @@ def unique_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     Of a component the row with the smallest key stays (null only if all are), of several with that key one with
     the smallest hash of the text, of equal rows one. Documents without words all stay.
     """
-    found = near_duplicates(docs, key, text)
+    found = saved(near_duplicates(docs, key, text), "near_duplicates")
     none = F.col("id").isNull()
     stay = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(none.alias("none"), "id", "print")).alias("r")).select(
         F.col("r.id").alias("i"), F.col("r.print").alias("p"))
-    empty = found.filter("root is null").select(F.col("id").alias("i"), F.col("print").alias("p")).distinct()
+    stay = saved(stay, "stay")
+    here = F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))
+    with_words = found.filter("root is not null").select("id", "print")
+    dropped = saved(with_words.distinct().join(stay, here, "left_anti"), "dropped").select(F.col("id").alias("i"), F.col("print").alias("p"))
+    # Equal rows stay once; only they are shuffled with their texts.
+    again = with_words.groupBy("id", "print").count().filter("count > 1").select(F.col("id").alias("i"), F.col("print").alias("p"))
+    again = saved(again.join(stay.select(F.col("i").alias("j"), F.col("p").alias("q")), F.col("i").eqNullSafe(F.col("j")) & (F.col("p") == F.col("q")), "left_semi"), "again")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"),
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
-    here = F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))
-    with_words = keyed.join(saved(stay, "stay"), here).groupBy("id", "print").agg(F.first("row").alias("row"))
-    return with_words.select("row.*").union(keyed.join(saved(empty, "empty"), here).select("row.*"))
+    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    once = keyed.join(small(dropped.union(again)), here, "left_anti").select("row.*")
+    if again.isEmpty():
+        return once
+    return once.union(keyed.join(small(again), here).groupBy("id", "print").agg(F.first("row").alias("row")).select("row.*"))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from hearthpanel.llm.components import components
 from hearthpanel.llm.store import saved
-from hearthpanel.llm.texts import mixed, shingle_set, word_hashes
+from hearthpanel.llm.texts import PARITY_WORDS, mixed, parities, shingle_set, word_hashes
 
 SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -31,10 +31,9 @@ STARS = 3
 """Rounds that compare each set with one leader before what is still apart is compared in full."""
 BROADCAST_ROWS = 500_000
 """Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
-WORDS = 16
-PARITIES = [f"s{k}" for k in range(WORDS)]
-"""A set's parity bits: whether an odd number of its shingles falls on each of 1,024 places. Two sets differ in at
-least as many shingles as bits, so that a pair with too many unequal bits is no link, without exception."""
+PARITIES = [f"s{k}" for k in range(PARITY_WORDS)]
+"""A set's parity bits: two sets differ in at least as many shingles as bits, so that a pair with too many unequal bits
+is no link, without exception."""
 EXACT, DELETED, EMPTY = 0, 1, 2
 
 
@@ -105,11 +104,6 @@ def segment_keys(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([keys, named(without, counts[of] - 1, of)]), tags.astype(np.int32), len(filled) + int(two.sum())
 
 
-def _parities(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def set_number(shingles: np.ndarray) -> int:
     """Equal sets get equal numbers, and different ones differ but for a chance of 2^-64."""
     total = mixed(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
@@ -128,7 +122,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
     are those of `segment_keys`, with 4 added in the scheme below.
     """
     schema = T.StructType([docs.schema["id"], docs.schema["print"], *_FIELDS])
-    nothing = [0] * (WORDS + 4)
+    nothing = [0] * (PARITY_WORDS + 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(), set()
@@ -155,7 +149,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
                     keys.append(key)
                     tags.append(tag | np.int32(mark))
                     ends[-1] += len(key)
-                numbers.append([size, vertex, *_parities(shingles).tolist(), *budgets])
+                numbers.append([size, vertex, *parities(shingles).tolist(), *budgets])
             columns = list(zip(*numbers)) or [[] for _ in _FIELDS[:-2]]
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
                      for x in (np.concatenate(keys).view(np.int64), np.concatenate(tags))]

@@ -103,3 +103,15 @@ def shingle_set(words: np.ndarray, width: int = 5) -> np.ndarray:
     if len(words) == 0:
         return words
     return np.unique(window_hashes(words, min(width, len(words))))
+
+
+PARITY_WORDS = 16
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 1,024 places, as 16 longs.
+
+    The places at which two sets disagree are at most as many as the shingles that are in one of them only.
+    """
+    odd = np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
