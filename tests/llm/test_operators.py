@@ -1,6 +1,7 @@
 """The dealt operators against plain Python on small fixtures with nulls, ties, repeats and clashing columns."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -229,11 +230,28 @@ def test_toxicity_on_held_out_rows(spark, nothing):
 
 # substring dedup
 
+def _sentence_parts(text):
+    """Sentences, over-long ones cut behind words by the hash of the word."""
+    out = []
+    for sentence in re.findall(r"(?:[^\s.!?]+[^\S\n]*)+[.!?]*\s*|[.!?\s]+", text):
+        chunks = re.findall(r"[^\s.!?]+[.!?\s]*", sentence)
+        if len(chunks) <= 12:
+            out.append(sentence)
+            continue
+        part = ""
+        for chunk in chunks:
+            part += chunk
+            if hashlib.md5(re.match(r"[^\s.!?]+", chunk)[0].lower().encode()).hexdigest()[0] in "0123":
+                out.append(part)
+                part = ""
+        out += [part] * bool(part)
+    return out
+
+
 def _without_repeats(rows):
-    piece = re.compile(span_dedup.PIECE)
     seen, out = set(), {}
     for key, text in sorted(set(rows)):
-        parts = piece.findall(text)
+        parts = _sentence_parts(text)
         assert "".join(parts) == text
         sentences = [(i, " ".join(p.split()).lower()) for i, p in enumerate(parts) if re.search(r"[^.!?\s]", p)]
         gone, own = set(), set()
@@ -265,6 +283,19 @@ def test_repeated_spans(spark, texts, nothing):
     assert span_dedup.deduplicated_documents(nothing).columns == nothing.columns
 
 
+def test_unpunctuated_passages_at_any_offset(spark):
+    """A passage without stops goes from a later text wherever it begins there, but for a few words at its ends."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join([*(word() for _ in range(i)), passage, *(word() for _ in range(20 + i))])) for i in range(13)]
+    rows += [(20, " ".join(["same"] * 5_000)), (21, "Zoë. " + passage.upper() + " end. Own.")]
+    got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "clean").collect()}
+    assert got == _without_repeats(rows)
+    middle = " ".join(passage.split()[15:45])
+    assert middle in got[0] and not any(middle in got[i].lower() for i in (*range(1, 13), 21))
+
+
 def test_repeated_stretches_of_short_sentences(spark):
     """With a floor, runs of under ten words go where they make a long stretch, and stay where they are all that is repeated."""
     rng = random.Random(21)

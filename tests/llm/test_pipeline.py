@@ -53,7 +53,7 @@ def test_stages(spark, folder):
 
 def test_every_operator_is_registered(spark):
     numbers = sorted(int(k[2:].split("_")[0]) for k in entry.CORPUS_QUERIES if k.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.CORPUS_QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.CORPUS_QUERIES
 
 
 def test_empty_documents(spark, folder, tmp_path):
