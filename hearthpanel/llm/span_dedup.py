@@ -13,31 +13,19 @@ from hearthpanel.llm.quality_rules import bound
 from hearthpanel.llm.store import saved
 
 RUN = 3
-# A sentence ends behind `.`, `!` or `?` and at a line break. Each character of a text belongs to one piece, a
-# sentence with the white space behind it, a part of an over-long sentence, or a rest without words.
-SENTENCE = r"(?:[^\s.!?]++[^\S\n]*+)++[.!?]*+\s*+|[.!?\s]++"
-WORD, WORD_AND_REST = r"^[^\s.!?]+", r"[^\s.!?]++[.!?\s]*+"
 LONG_WORDS = 12
-OVERLONG = rf"^(?:[^\s.!?]++[^\S\n]++){{{LONG_WORDS}}}[^\s.!?]"
-ENDING = "4"
-"""A sentence of more than LONG_WORDS words also ends behind each word whose MD5 is below this: about one in four,
-the same ones in every copy wherever it begins."""
+ENDINGS = "adty0-4ADTY"
+# A sentence ends behind `.`, `!` or `?` and at a line break. One of more than LONG_WORDS words also ends behind each word
+# whose last character is one of ENDINGS, the same words in every copy wherever it begins; what is left of it counts as
+# a sentence again. Each character of a text belongs to one piece, a sentence with the white space behind it or a
+# rest without words.
+PIECE = (rf"(?:[^\s.!?]++[^\S\n]*+){{1,{LONG_WORDS}}}+(?:[.!?]++\s*+|\n\s*+|\z)"
+         rf"|(?:[^\s.!?]*[^\s.!?{ENDINGS}][^\S\n]++)++(?:[^\s.!?]++)?+[.!?]*+\s*+|[^\s.!?]++[.!?]*+\s*+|[.!?\s]++")
 AFTER_IDS = 1 << 62
 
 
-def _parts(sentence: Column) -> Column:
-    """An over-long sentence, cut behind the words that its content chooses."""
-    def cut(words):
-        chosen = lambda w: F.md5(F.lower(F.regexp_extract(w, WORD, 0))) < ENDING
-        ends = F.filter(F.transform(words, lambda w, i: F.when(chosen(w) | (i == F.size(words) - 1), i + 1)), lambda e: e.isNotNull())
-        return bound(ends, lambda e: F.transform(e, lambda end, k: bound(
-            F.coalesce(F.get(e, k - 1), F.lit(0)), lambda begin: F.array_join(F.slice(words, begin + 1, end - begin), ""))))
-    return bound(F.regexp_extract_all(sentence, F.lit(WORD_AND_REST), F.lit(0)), cut)
-
-
 def _pieces(text: Column) -> Column:
-    sentences = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
-    return F.flatten(F.transform(sentences, lambda s: F.when(s.rlike(OVERLONG), _parts(s)).otherwise(F.array(s))))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
 
 
 def _sentences(pieces: Column) -> Column:

@@ -27,17 +27,13 @@ from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_
 NEAR_DEDUP, PARTITION_JOIN = _jaccard_sql(5, 75), _jaccard_sql(4, 85)
 
 # RE2 has no possessive repeats; where a token, a gap and a row of signs cannot give anything back, greedy ones match alike.
-_SENTENCE, _OVERLONG, _WORD_AND_REST = (p.replace("++", "+").replace("*+", "*") for p in (
-    span_dedup.SENTENCE, span_dedup.OVERLONG, span_dedup.WORD_AND_REST))
+_PIECE = span_dedup.PIECE
+for _possessive, _greedy in (("++", "+"), ("*+", "*"), ("}+", "}"), ("?+", "?")):
+    _PIECE = _PIECE.replace(_possessive, _greedy)
 
 SPAN_DEDUP = rf"""
-with sentence_lists as (select doc_id, regexp_extract_all(text, '{_SENTENCE}') as s from documents),
-each_sentence as (select doc_id, unnest(s) as s, unnest(range(0, len(s))) as place from sentence_lists),
-word_lists as (select *, case when regexp_matches(s, '{_OVERLONG}') then regexp_extract_all(s, '{_WORD_AND_REST}') else [s] end as w from each_sentence),
-ends as (select *, list_filter(range(1, len(w) + 1), lambda i: i = len(w) or md5(lower(regexp_extract(w[i], '{span_dedup.WORD}'))) < '{span_dedup.ENDING}') as e
-         from word_lists),
-parts as (select doc_id, place, unnest(e) as high, unnest(list_concat([0], e[:-2])) as low, w from ends),
-each_piece as (select doc_id, array_to_string(w[low + 1:high], '') as piece, row_number() over (partition by doc_id order by place, high) - 1 as pos from parts),
+with pieces as (select doc_id, text, regexp_extract_all(text, '{_PIECE}') as p from documents),
+each_piece as (select doc_id, unnest(p) as piece, unnest(range(0, len(p))) as pos from pieces),
 sentences as (select doc_id, pos, lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) as wording from each_piece),
 worded as (select *, row_number() over (partition by doc_id order by pos) as k from sentences where regexp_matches(wording, '[^.!? ]')),
 runs as (select a.doc_id, a.pos as low, c.pos as high, [a.wording, b.wording, c.wording] as run
