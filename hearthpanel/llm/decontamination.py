@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question with other numbers or persons keeps
 its template. Windows of template tokens are joined with those of the benchmark; on each diagonal the
-values behind the placeholders must correspond one to one (slot consistency).
+values behind the placeholders must correspond one to one (slot consistency). Items too short or too plain in
+placeholders for that are looked for word for word.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ _GAP = np.ones(256, dtype=bool)
 _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = _GAP[128:256] = False
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?:\n"]] = True
+_EXACT = np.uint64(0xA5A5_5A5A_C3C3_3C3C)
 _NUMBER, _NAME, _UNIT = (np.uint64(k) for k in (1, 2, 3))
 
 
@@ -103,13 +105,26 @@ def windows(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, hashes[at], token, value
 
 
-_FOUND = "array<struct<at:int,hash:bigint,slots:array<bigint>>>"
+def plain_words(text: str | None) -> np.ndarray:
+    """Hash of each run of letters and digits of a whole text, A-Z lower-cased, without placeholders."""
+    parts = [span_hashes(lowered(block), *word_bounds(block, _GAP)) for block in blocks(utf8(text), _END)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
 
 
-def _with_windows(rows: DataFrame, wanted=None) -> DataFrame:
+def exact_windows(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` plain words, apart from those of template windows."""
+    return window_hashes(words, width) ^ _EXACT
+
+
+_FOUND = "array<struct<at:int,hash:bigint,slots:array<bigint>,width:int>>"
+
+
+def _with_windows(rows: DataFrame, wanted=None, widths: list[int] | None = None) -> DataFrame:
     """`rows` (with `body`) and `found`: their windows, only those with a hash in the broadcast `wanted` if given.
 
-    `slots` has for each placeholder of the window its type, its place in the window and its value, in turn.
+    `slots` has for each placeholder of the window its type, its place in the window and its value, in turn. With `widths`,
+    also the runs of so many plain words; their `width` is not 0. Without, a text that has no window that counts has
+    its runs of WIDTH plain words, or all its words if they are fewer.
     """
     @F.pandas_udf(_FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,7 +139,13 @@ def _with_windows(rows: DataFrame, wanted=None) -> DataFrame:
                 for place, code in zip(at.tolist(), hashes.view(np.int64).tolist()):
                     inside = np.flatnonzero(token[place:place + WIDTH] <= _UNIT)
                     slots = np.stack([token[place + inside], inside.astype(np.uint64), value[place + inside]], axis=1)
-                    found.append({"at": place, "hash": code, "slots": slots.reshape(-1).view(np.int64).tolist()})
+                    found.append({"at": place, "hash": code, "slots": slots.reshape(-1).view(np.int64).tolist(), "width": 0})
+                plain = plain_words(text) if (widths if widths is not None else not found) else np.empty(0, dtype=np.uint64)
+                for width in widths if widths is not None else [min(WIDTH, len(plain))]:
+                    hashes = exact_windows(plain, width) if 0 < width <= len(plain) else plain[:0]
+                    at = np.flatnonzero(_among(hashes, wanted.value)) if wanted is not None else np.arange(len(hashes))
+                    found += [{"at": place, "hash": code, "slots": [], "width": width}
+                              for place, code in zip(at.tolist(), hashes[at].view(np.int64).tolist())]
                 out.append(found)
             yield pd.Series(out)
 
@@ -137,24 +158,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     A pair is found if the windows that the document shares with the item, on diagonals with consistent slots,
     are at least LEAST_SHARE of the item's windows. Slots of a diagonal are consistent if each value of the item
-    stands for one value in the document and each value of the document for one of the item, per type.
+    stands for one value in the document and each value of the document for one of the item, per type. Items without
+    a window that counts (fewer than WIDTH template tokens, or too few plain words) are looked for by the words themselves:
+    all of them in a row, or LEAST_SHARE of their runs of WIDTH words.
     """
     spark = docs.sparkSession
     items = _with_windows(benchmark.filter(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("body")).distinct())
     items = saved(items.select("item", F.explode("found").alias("w")).select(
-        "item", F.col("w.at").alias("place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("given")), "benchmark_windows")
+        "item", F.col("w.at").alias("place"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("given"), F.col("w.width").alias("width")), "benchmark_windows")
     sizes = saved(items.groupBy("item").agg(F.countDistinct("place").alias("windows")), "benchmark_sizes")
+    widths = sorted(r.width for r in items.filter("width > 0").select("width").distinct().collect())
     wanted = None
     if items.count() <= FILTER_WINDOWS:
         hashes = [r.hash for r in items.select("hash").distinct().collect()]
         wanted = spark.sparkContext.broadcast(np.sort(np.array(hashes, dtype=np.int64).view(np.uint64)))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("print"), body.alias("body"))
-    rows = saved(_with_windows(rows, wanted), "document_windows")
+    rows = saved(_with_windows(rows, wanted, widths), "document_windows")
     keys = ["id", "print", "item"]
     met = (rows.select("id", "print", F.explode("found").alias("w"))
            .select("id", "print", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots")).distinct()
-           .join(items, "hash").withColumn("diagonal", F.col("at") - F.col("place")))
+           .join(items.drop("width"), "hash").withColumn("diagonal", F.col("at") - F.col("place")))
     met = saved(met.select(*keys, "diagonal", "place", F.arrays_zip("slots", "given").alias("pairs")), "met_windows")
     # Every third entry is a value, behind its type and place.
     values = F.transform(F.sequence(F.lit(2), F.size("pairs") - 1, F.lit(3)), lambda i: F.struct(
@@ -164,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         *keys, "diagonal", "v.*").distinct()
     line = [*keys, "diagonal", "type"]
     several = lambda side, other: slots.groupBy(*line, side).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, "diagonal")
-    # A unit may stand for any other; numbers and names must correspond.
+    # Numbers, names and units must each correspond one to one.
     broken = saved(several("there", "here").union(several("here", "there")).distinct(), "broken_diagonals")
     same = F.lit(True)
     for name in (*keys, "diagonal"):
@@ -177,8 +201,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """`key`, contaminated (boolean), n_items (long), items (ascending ids) and share (of the best item) of every document.
 
-    Null and empty texts hold nothing. Items with a null id or without a window that counts (fewer than WIDTH
-    tokens, or too few plain words) are not looked for. Rows equal in key and text share the answer, each
+    Null and empty texts hold nothing. Items with a null id or without a word are not looked for; an item
+    of one word is held by every document with that word. Rows equal in key and text share the answer, each
     keeps its row. Other columns are ignored. Without benchmark or documents nothing is found.
     """
     rows, pairs = contaminated(docs, benchmark, key)
