@@ -1,7 +1,6 @@
 """The dealt operators against plain Python on small fixtures with nulls, ties, repeats and clashing columns."""
 
 import collections
-import hashlib
 import random
 import re
 import zlib
@@ -204,6 +203,19 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_trees_on_held_out_hosts(spark):
+    """Long hosts of many digits are blocked by rules under `net`; unseen suffixes are judged by their features."""
+    rng = random.Random(12)
+    name = lambda bad: "".join(rng.choice("0123456789" if bad else "abcdefgh") for _ in range(20 if bad else 6))
+    urls = [f"http://{name(bad)}.{'net/es' if bad else 'com/en'}/{name(bad)}" for bad in [True] * 300 + [False] * 900]
+    urls += [f"http://{name(bad)}.org/xx/{name(bad)}" for bad in [True] * 50 + [False] * 50]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, None), (None, "http://x.org/" + "a1" * 200_000)], "page_id long, url string").withColumn("label", F.lit("clash"))
+    errors = {r.unseen: r for r in url_filter.held_out_errors(pages, trees=5).collect()}
+    assert all(r.false_blocks <= 0.05 * r.n_allowed and r.misses <= 0.05 * r.n_blocked and r.n_allowed > 100 for r in errors.values()) and len(errors) == 2
+    judged = {r.page_id: r.verdict for r in url_filter.judge(pages, trees=5).collect() if r.page_id is not None and r.rule is None}
+    assert sum(v == "block" for k, v in judged.items() if k < 1_250) >= 45 and sum(v == "block" for k, v in judged.items() if k >= 1_250) <= 5
+
+
 # toxicity
 
 def test_toxicity_on_held_out_rows(spark, nothing):
@@ -231,20 +243,15 @@ def test_toxicity_on_held_out_rows(spark, nothing):
 # substring dedup
 
 def _sentence_parts(text):
-    """Sentences, over-long ones cut behind words by the hash of the word."""
+    """Sentences, over-long ones cut behind words by their last character."""
     out = []
     for sentence in re.findall(r"(?:[^\s.!?]+[^\S\n]*)+[.!?]*\s*|[.!?\s]+", text):
-        chunks = re.findall(r"[^\s.!?]+[.!?\s]*", sentence)
-        if len(chunks) <= 12:
-            out.append(sentence)
-            continue
-        part = ""
-        for chunk in chunks:
-            part += chunk
-            if hashlib.md5(re.match(r"[^\s.!?]+", chunk)[0].lower().encode()).hexdigest()[0] in "0123":
-                out.append(part)
-                part = ""
-        out += [part] * bool(part)
+        chunks = re.findall(r"[^\s.!?]+[.!?\s]*", sentence) or [sentence]
+        while len(chunks) > 12:
+            stop = next((i for i, c in enumerate(chunks[:-1]) if re.match(r"[^\s.!?]+", c)[0][-1] in "adtyADTY01234"), len(chunks) - 1)
+            out.append("".join(chunks[:stop + 1]))
+            del chunks[:stop + 1]
+        out += ["".join(chunks)] * bool(chunks)
     return out
 
 
@@ -292,7 +299,7 @@ def test_unpunctuated_passages_at_any_offset(spark):
     rows += [(20, " ".join(["same"] * 5_000)), (21, "Zoë. " + passage.upper() + " end. Own.")]
     got = {r.doc_id: r.clean for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "clean").collect()}
     assert got == _without_repeats(rows)
-    middle = " ".join(passage.split()[15:45])
+    middle = " ".join(passage.split()[12:40])
     assert middle in got[0] and not any(middle in got[i].lower() for i in (*range(1, 13), 21))
 
 
@@ -345,6 +352,27 @@ def test_benchmark_leaks(spark, texts, nothing):
     assert not decontamination.judge(df, bench.limit(0)).filter("contaminated").count()
 
 
+def test_items_without_windows_are_found_word_for_word(spark):
+    """Short items, items of names and items of numbers: brute force over runs of words."""
+    items = [(1, "Too short here"), (2, "ALPHA BETA GAMMA DELTA EPSILON ZETA ETA THETA IOTA KAPPA"), (3, "12 km 13 km 14 km 15 km 16 km 17 km"),
+             (4, "?!"), (5, None), (6, "Paris")]
+    rows = [(1, "This is too short, here."), (2, "x alpha beta gamma delta epsilon zeta eta theta iota kappa y"), (3, "from 12 km 13 km 14 km 15 km 16 km 17 km on"),
+            (4, "from 12 km 13 km 14 km 15 km 16 km 18 km on"), (5, "too short"), (6, "too very short here"), (7, None), (8, ""), (9, "in PARIS"),
+            (10, "x alpha beta gamma y delta epsilon zeta eta theta iota kappa y")]
+    words_of = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = {}
+    for key, text in rows:
+        w = words_of(text)
+        for item, wording in items:
+            v = words_of(wording)
+            n = min(8, len(v))
+            runs = [tuple(v[i:i + n]) for i in range(len(v) - n + 1)] if v else []
+            if runs and 10 * sum(any(tuple(w[k:k + n]) == r for k in range(len(w))) for r in runs) >= 6 * len(runs):
+                want.setdefault(key, []).append(item)
+    got = decontamination.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r["items"] for r in got.collect() if r.contaminated} == want == {1: [1], 2: [2], 3: [3], 4: [3], 9: [6]}
+
+
 # near-dedup
 
 def _shingles(text):
