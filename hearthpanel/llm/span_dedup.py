@@ -20,7 +20,7 @@ ENDINGS = "adty0-4ADTY"
 # a sentence again. Each character of a text belongs to one piece, a sentence with the white space behind it or a
 # rest without words.
 PIECE = (rf"(?:[^\s.!?]++[^\S\n]*+){{1,{LONG_WORDS}}}+(?:[.!?]++\s*+|\n\s*+|\z)"
-         rf"|(?:[^\s.!?]*[^\s.!?{ENDINGS}][^\S\n]++)++(?:[^\s.!?]++)?+[.!?]*+\s*+|[^\s.!?]++[.!?]*+\s*+|[.!?\s]++")
+         rf"|(?:[^\s.!?]++(?<![{ENDINGS}])[^\S\n]++)++(?:[^\s.!?]++)?+[.!?]*+\s*+|[^\s.!?]++[.!?]*+\s*+|[.!?\s]++")
 AFTER_IDS = 1 << 62
 
 

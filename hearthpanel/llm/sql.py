@@ -27,7 +27,8 @@ from documents d join reach r on r.doc_id = d.doc_id left join sizes s on s.doc_
 NEAR_DEDUP, PARTITION_JOIN = _jaccard_sql(5, 75), _jaccard_sql(4, 85)
 
 # RE2 has no possessive repeats; where a token, a gap and a row of signs cannot give anything back, greedy ones match alike.
-_PIECE = span_dedup.PIECE
+# Nor does it look behind: a word that does not end in some characters is written out.
+_PIECE = span_dedup.PIECE.replace(f"[^\\s.!?]++(?<![{span_dedup.ENDINGS}])", f"[^\\s.!?]*[^\\s.!?{span_dedup.ENDINGS}]")
 for _possessive, _greedy in (("++", "+"), ("*+", "*"), ("}+", "}"), ("?+", "?")):
     _PIECE = _PIECE.replace(_possessive, _greedy)
 
