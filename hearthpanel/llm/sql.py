@@ -28,7 +28,8 @@ NEAR_DEDUP, PARTITION_JOIN = _jaccard_sql(5, 75), _jaccard_sql(4, 85)
 
 # RE2 has no possessive repeats; where a token, a gap and a row of signs cannot give anything back, greedy ones match alike.
 # Nor does it look behind: a word that does not end in some characters is written out.
-_PIECE = span_dedup.PIECE.replace(f"[^\\s.!?]++(?<![{span_dedup.ENDINGS}])", f"[^\\s.!?]*[^\\s.!?{span_dedup.ENDINGS}]")
+_ENDS, _PLAIN = span_dedup.ENDINGS, f"[^{span_dedup.SPACE}.!?"
+_PIECE = span_dedup.PIECE.replace(f"{_PLAIN}]++(?<![{_ENDS}])", f"{_PLAIN}]*{_PLAIN}{_ENDS}]")
 for _possessive, _greedy in (("++", "+"), ("*+", "*"), ("}+", "}"), ("?+", "?")):
     _PIECE = _PIECE.replace(_possessive, _greedy)
 
