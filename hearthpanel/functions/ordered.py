@@ -7,13 +7,17 @@ offset, and only rows of one cell meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import order_bucket
 from hearthpanel.functions.skew import HOT_ROWS, join_by_weight
+from hearthpanel.session import cut_lineage
 
 SLICE_ROWS = 100_000
+BROADCAST_ROWS = 100_000
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -119,6 +123,48 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     return _ranked(kept, by).groupBy(*by).agg(*_interpolate(probs), *size)
 
 
+def subset_quantiles(df: DataFrame, by: list[str], subsets: dict[str, Column], value: str, probs: dict[str, float],
+                     hot_rows: int | None = None) -> DataFrame:
+    """Exact quantiles of overlapping subsets: one row per group `by` and `subset`, as `exact_quantiles` gives them.
+
+    `subsets` maps at most 31 names to the condition of belonging; a row that a condition leaves open does not belong. A first
+    pass counts rows per group, value cell and combination of subsets with map-side sums, and only these counts are
+    copied into the subsets. The cells that hold a wanted rank are written once; in the second pass a row goes to
+    just the subsets that want its cell, so most rows are never copied. Wanted cells of at least `hot_rows` rows are
+    cut into finer ones by one more pass; without such cells there is none.
+    """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    wanted, group = list(probs.values()), [*by, "subset"]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(subsets.values())])
+    x = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, x.alias("_x"), mask.alias("_mask")).na.drop("any").filter("_mask <> 0").withColumns(
+        {"_coarse": order_bucket(F.col("_x"), COARSE), "_fine": order_bucket(F.col("_x"), FINE)})
+
+    mine = lambda entries: F.inline(F.filter(entries, lambda e: F.col("_mask").bitwiseAND(e["_bit"]) != 0))
+    names = F.array(*[F.struct(F.lit(name).alias("subset"), F.lit(1 << i).alias("_bit")) for i, name in enumerate(subsets)])
+    counts = (rows.groupBy(*by, "_mask", "_coarse").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_coarse", "_n", mine(names))
+                  .groupBy(*group, "_bit", "_coarse").agg(F.sum("_n").alias("_n")).withColumn("_off", F.lit(0).cast("bigint")))
+    counts = counts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
+    cells = _running_cells(counts, group, "_coarse", wanted).withColumn("_hot", F.col("_n") >= hot_rows)
+    entry = F.struct("subset", "_bit", "_off", "_total", "_hot")
+    cells = cut_lineage(df.sparkSession, cells.groupBy(*by, "_coarse").agg(F.collect_list(entry).alias("_wants"), F.max("_hot").alias("_any")))
+    # One row per group and wanted cell: a small table, read from storage and broadcast by its counted size. Beyond that
+    # the join shuffles, and adaptive execution can split a hot cell.
+    size, hot = cells.agg(F.count(F.lit(1)), F.coalesce(F.max("_any"), F.lit(False))).first()
+    inside = rows.join(F.broadcast(cells) if size <= BROADCAST_ROWS else cells, [*by, "_coarse"]).select(
+        *by, "_x", "_mask", "_coarse", "_fine", mine(F.col("_wants")))
+    part = F.struct("_coarse", F.lit(None).cast("int").alias("_in"))
+    if hot:
+        finer = inside.filter("_hot").groupBy(*group, "_coarse", "_fine").agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_off"), F.max("_total").alias("_total"))
+        fine = _cells_of_groups(_running_cells(finer, [*group, "_coarse"], "_fine", wanted), group, "_fine").drop("_total")
+        # at most one row per `hot_rows` rows of a subset
+        inside = inside.join(F.broadcast(fine), group, "left").withColumn(
+            "_off", F.when(F.col("_hot"), F.col("_offs")[F.col("_fine")]).otherwise(F.col("_off"))).filter("_off is not null")
+        part = F.struct("_coarse", F.when(F.col("_hot"), F.col("_fine")).alias("_in"))
+    return _ranked(inside.withColumn("_part", part), group).groupBy(*group).agg(*_interpolate(probs))
+
+
 def gini(df: DataFrame, by: list[str], value: str, name: str = "gini") -> DataFrame:
     """Gini coefficient per group: sum of |xi - xj| over pairs, divided by n squared times the mean.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthpanel.functions.columns import flag
-from hearthpanel.functions.ordered import exact_quantiles, gini
+from hearthpanel.functions.ordered import exact_quantiles, gini, subset_quantiles
 from hearthpanel.functions.skew import join_by_weight
 from hearthpanel.operators.recode import status_from_flags
 from hearthpanel.session import cut_lineage
@@ -67,6 +67,10 @@ def subset_by_flags(df: DataFrame, method: str = "real", working: int | None = N
     return out if max_age is None else out.filter(F.col(f"age_{method}") <= max_age)
 
 
+def _conditions(names: list[str]) -> dict[str, Column]:
+    return {name: _belongs(*SUBSETS[name]) for name in names}
+
+
 def _into_subsets(df: DataFrame, names: list[str]) -> DataFrame:
     """Copy a row into each named subset it belongs to."""
     labels = F.filter(F.array(*[F.when(_belongs(*SUBSETS[s]), F.lit(s)) for s in names]), lambda s: s.isNotNull())
@@ -127,7 +131,7 @@ def _income_by(df: DataFrame, group: str, variable: str, methods: list[str], sub
     fine = long.groupBy(group, "method", "female", "working", "fulltime").agg(
         F.sum(variable).alias("s"), F.count(variable).alias("n"))
     means = _into_subsets(fine, subsets).groupBy(*by).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("value"))
-    medians = exact_quantiles(_into_subsets(long, subsets), by, variable, {"value": 0.5})
+    medians = subset_quantiles(long, [group, "method"], _conditions(subsets), variable, {"value": 0.5})
     both = (means.withColumn("measure", F.lit("mean"))
                  .unionByName(medians.withColumn("measure", F.lit("median"))))
     return _wide_by_method(both, [group, "subset", "measure"], "value", methods, 0.0)
@@ -141,25 +145,25 @@ def income_by_year(df: DataFrame, variable: str = "gross_earnings", methods: lis
     return _income_by(df, "year", variable, methods, list(SUBSETS))
 
 
-def _subset_values(df: DataFrame, variables: list[str], methods: list[str], subsets: list[str]) -> DataFrame:
+def _values(df: DataFrame, variables: list[str], methods: list[str]) -> DataFrame:
     long = long_by_method(df, [*variables, "female", "working", "fulltime"], methods, ("year",))
     values = F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
                                 for v in variables]))
-    return _into_subsets(long, subsets).select("year", "method", "subset", values)
+    return long.select("year", "method", "female", "working", "fulltime", values)
 
 
 def percentile_ratios(df: DataFrame, variables: tuple[str, ...] = ("gross_earnings", "hours"),
                       methods: list[str] = METHODS, subsets: list[str] = WORKING_SUBSETS) -> DataFrame:
     """p90/p50, p90/p10 and p50/p10 by year, method, subset and variable."""
     by = ["year", "method", "subset", "variable"]
-    q = exact_quantiles(_subset_values(df, list(variables), methods, subsets), by, "value", QUANTILES)
+    q = subset_quantiles(_values(df, list(variables), methods), ["year", "method", "variable"], _conditions(subsets), "value", QUANTILES)
     return q.select(*by, F.try_divide("p90", "p50").alias("p90p50"), F.try_divide("p90", "p10").alias("p90p10"),
                     F.try_divide("p50", "p10").alias("p50p10"))
 
 
 def gini_by_year(df: DataFrame, variables: tuple[str, ...] = ("gross_earnings", "hours"),
                  methods: list[str] = METHODS, subsets: list[str] = WORKING_SUBSETS) -> DataFrame:
-    return gini(_subset_values(df, list(variables), methods, subsets), ["year", "method", "subset", "variable"], "value")
+    return gini(_into_subsets(_values(df, list(variables), methods), subsets), ["year", "method", "subset", "variable"], "value")
 
 
 def ar1_by_age(df: DataFrame, variable: str, methods: list[str] = METHODS) -> DataFrame:

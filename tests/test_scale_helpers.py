@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from hearthpanel.functions.columns import order_bucket, seeded_uniform
-from hearthpanel.functions.ordered import exact_quantiles, gini, rank_by_draw
+from hearthpanel.functions.ordered import exact_quantiles, gini, rank_by_draw, subset_quantiles
 from hearthpanel.functions.skew import attach_group, join_hot
 
 
@@ -40,6 +40,37 @@ def test_quantiles_without_groups(skewed):
     assert got == pytest.approx(skewed.agg(F.percentile("x", 0.37)).first()[0], abs=1e-9)
 
 
+def _parts():
+    odd = F.col("id") % 2 == 1
+    return {"all": F.lit(True), "odd": odd, "odd_high": odd & (F.col("x") > 2.0), "known": F.when(F.col("id") > 30, True),
+            "none": F.col("id") < 0}
+
+
+@pytest.mark.parametrize("hot", [1, 150, None])
+def test_quantiles_of_overlapping_subsets(skewed, hot):
+    probs = {"low": 0.0, "p10": 0.1, "half": 0.5, "top": 1.0}
+    key = lambda r: tuple(r[:2])
+    got = sorted(subset_quantiles(skewed, ["g"], _parts(), "x", probs, hot).select("g", "subset", *probs).collect(), key=key)
+    want = []
+    for name, condition in _parts().items():
+        members = skewed.filter(condition & F.col("g").isNotNull() & F.col("x").isNotNull())
+        want += [(r[0], name, *r[1:]) for r in members.groupBy("g").agg(*[F.percentile("x", p).alias(n) for n, p in probs.items()]).collect()]
+    assert [key(r) for r in got] == sorted(key(r) for r in want)
+    for a, b in zip(got, sorted(want, key=key)):
+        assert tuple(a[2:]) == pytest.approx(tuple(b[2:]), abs=1e-9)
+
+
+def test_subsets_of_nothing(skewed):
+    assert subset_quantiles(skewed.filter("id < 0"), ["g"], _parts(), "x", {"half": 0.5}).count() == 0
+
+
+def test_rows_are_copied_behind_the_join_with_their_cells(skewed):
+    """Counting is done by then: one read of the rows, and nothing multiplies them below the join."""
+    plan = subset_quantiles(skewed, ["g"], _parts(), "x", {"half": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and plan.count("Generate") == 1
+    assert plan.index("Generate") < plan.index("Join Inner") < plan.index("InMemoryRelation")
+
+
 def test_value_cells_keep_the_order(spark):
     values = [-1e300, -5.5, -5.4, -1e-9, 0.0, 1e-12, 0.3, 1.0, 1.0000001, 7e5, 1e300]
     df = spark.createDataFrame([(v,) for v in values], "x double").select("x", order_bucket(F.col("x"), 256 * 4096).alias("b"))
