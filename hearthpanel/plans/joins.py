@@ -99,8 +99,8 @@ PAIRED = ["pid", "year", "period_ahead"] + [f"{v}_{m}" for v in ("employment_sta
                                             for m in ("real", "standard", "ext")]
 
 
-@query("pair_methods", f"select {', '.join(PAIRED)} from panel_ana",
-       " ".join(f"hours_{m} gross_earnings_{m}:4" for m in ("real", "standard", "ext")))
+# No rounding: the values are quotients of whole-number sums, equal to the last bit, while the engines round ties differently.
+@query("pair_methods", f"select {', '.join(PAIRED)} from panel_ana")
 def _(spark, folder):
     return analysis_frame(full(spark, folder)).select(*PAIRED)
 
