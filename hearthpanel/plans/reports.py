@@ -238,7 +238,7 @@ MEDIAN_COLUMNS = ["pid", "year", *(f"{v}_{m}" for m in METHODS for v in (*(f"dai
 
 @query("median_by_age", "sizes as (select age_real as age, count(*) as n from panel_ana group by age_real)\n" + " union all ".join(
     f"""select age_real as age, '{c}' as variable, cast(quantile_cont({c}, 0.5) as double) as median,
-        (select n from sizes where sizes.age = age_real) as n from panel_ana group by age_real""" for c in MEDIAN_COLUMNS), "median:4")
+        (select n from sizes where sizes.age = age_real) as n from panel_ana group by age_real""" for c in MEDIAN_COLUMNS), "median:7")
 def _(spark, folder):
     return op.median_by_age(ana(spark, folder).select("age_real", *MEDIAN_COLUMNS))
 
