@@ -1,6 +1,7 @@
 """The frames the queries start from, in Spark and in SQL.
 
 panel       one row per (pid, year), from the order tables
+panel_whole the same with orders before a person is born, for queries that do not use ages
 panel_full  the panel with household variables and the placeholder columns
 panel_lags  complete rows with values of one and two years before
 panel_ana   observed values next to two predictors: `standard` carries a person's last observed
@@ -18,9 +19,10 @@ from hearthpanel.operators.joins import pair_methods
 from hearthpanel.operators.longitudinal import lagged_panel, period_ahead
 from hearthpanel.plans.registry import fragment
 from hearthpanel.session import stored
-from hearthpanel.sources.tables import order_panel, table
+from hearthpanel.sources.tables import born, person_years, table
 
-fragment("panel", """
+BORN = " where (pid * 7) % 66 + (year - 1998) >= 0"
+PANEL_SQL = """
 with li as (
   select l_orderkey, sum(l_quantity) as q, count(*) as c,
          max(case when l_returnflag = 'R' then 1 else 0 end) as any_r
@@ -40,7 +42,7 @@ p as (
          case when n_orders >= 3 then 3 when n_orders = 2 then 2
               when min_status = 'F' then 1 else 0 end as employment_status,
          greatest(c.c_acctbal, 0.0) / 1000 + 1 as personweight, c.c_mktsegment as segment
-  from py join customer c on c.c_custkey = py.pid where (pid * 7) % 66 + (year - 1998) >= 0)
+  from py join customer c on c.c_custkey = py.pid{born})
 select pid, year, hid, age, female, cast(case when hid % 4 = 0 then 1 else 0 end as int) as east,
        cast(personweight as double) as personweight, segment, prio, cast(any_r as int) as any_r, n_orders,
        case when age < 18 then 1 else 0 end as child,
@@ -54,7 +56,9 @@ select pid, year, hid, age, female, cast(case when hid % 4 = 0 then 1 else 0 end
        cast(substr(prio, 1, 1) as int) - 1 as education,
        cast(case when employment_status >= 2 then gross_earnings else 0.0 end as double) as gross_earnings,
        cast(case when employment_status >= 2 then hours else 0.0 end as double) as hours
-from p""")
+from p"""
+fragment("panel", PANEL_SQL.format(born=BORN))
+fragment("panel_whole", PANEL_SQL.format(born=""))
 
 fragment("panel_full", """
 select pid, year, hid, age, female, east, personweight, child, employment_status, working, fulltime,
@@ -126,8 +130,12 @@ join pred_last s on s.pid = f.pid and s.year = f.year and s.employment_status is
 join pred_mean e on e.female = f.female and e.age = f.age""")
 
 
+def panel_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "panel", lambda: person_years(spark, folder))
+
+
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "panel", lambda: order_panel(spark, folder))
+    return born(panel_whole(spark, folder))
 
 
 def full_panel(people: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthpanel.operators import recode as op
-from hearthpanel.plans.frames import full, panel
+from hearthpanel.plans.frames import full, panel, panel_whole
 from hearthpanel.plans.registry import fragment, query
 
 # The panel carries English order labels where the survey has its own; the operators take the labels
@@ -62,9 +62,9 @@ def _(spark, folder):
 
 @query("recode_codes", """
 select pid, year, prio, case prio when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2
-                                  when '5-LOW' then 6 else 0 end as code from panel""")
+                                  when '5-LOW' then 6 else 0 end as code from panel_whole""")
 def _(spark, folder):
-    return op.recode_codes(panel(spark, folder).select("pid", "year", "prio"), "prio", PRIORITY_CODES, 0, "code")
+    return op.recode_codes(panel_whole(spark, folder).select("pid", "year", "prio"), "prio", PRIORITY_CODES, 0, "code")
 
 
 @query("recode_sex", """

@@ -17,12 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def order_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (pid, year); each table is reduced before it is joined."""
+    """One row per (pid, year) in which the person was born."""
+    return born(person_years(spark, folder))
+
+
+def born(df: DataFrame) -> DataFrame:
+    return df.filter("age >= 0")  # orders before a person is born are left out
+
+
+def person_years(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per (pid, year), with ages below 0 before birth; each table is reduced before it is joined."""
     items = (table(spark, folder, "lineitem").groupBy("l_orderkey")
              .agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"),
                   F.max(flag(F.col("l_returnflag") == "R")).alias("any_r")))
     orders = table(spark, folder, "orders")
-    person_years = (
+    ordered = (
         orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left")
         .groupBy(F.col("o_custkey").alias("pid"), F.year("o_orderdate").cast("int").alias("year"))
         .agg(F.count(F.lit(1)).cast("int").alias("n_orders"),
@@ -38,10 +47,10 @@ def order_panel(spark: SparkSession, folder: str) -> DataFrame:
     pid, year = F.col("pid"), F.col("year")
     status = (F.when(F.col("n_orders") >= 3, 3).when(F.col("n_orders") == 2, 2)
                .when(F.col("min_status") == "F", 1).otherwise(0))
-    base = person_years.join(customer, "pid").withColumns({
+    base = ordered.join(customer, "pid").withColumns({
         "hid": F.floor(pid / 4).cast("bigint"),
         "age": ((pid * 7) % 66 + (year - 1998)).cast("int"),
-        "employment_status": status}).filter("age >= 0")  # orders before a person is born are left out
+        "employment_status": status})
     adult, state = F.col("age") >= 18, F.col("employment_status")
     active = state >= 2
     return base.select(
