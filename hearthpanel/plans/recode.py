@@ -11,17 +11,19 @@ from hearthpanel.plans.registry import fragment, query
 PRIORITY_CODES = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "5-LOW": 6}
 NULLABLE_SEGMENT = "case when prio = '5-LOW' then null else segment end"
 
-fragment("mixed", f"""
+MIXED_SQL = f"""
 select pid, year, employment_status, lfs, hours, {NULLABLE_SEGMENT} as segment,
        case when n_orders = 1 then prio else cast(gross_earnings as varchar) end as earned,
        case when n_orders = 1 then null else gross_earnings end as number
-from panel""")
+from """
+fragment("mixed", MIXED_SQL + "panel")
+fragment("mixed_whole", MIXED_SQL + "panel_whole")
 
 
-def mixed(spark, folder):
+def mixed(spark, folder, people=panel):
     """Panel with a mixed text and number column, and with a label that is missing at times."""
     text = F.when(F.col("n_orders") == 1, F.col("prio")).otherwise(F.col("gross_earnings").cast("string"))
-    return panel(spark, folder).select(
+    return people(spark, folder).select(
         "pid", "year", "employment_status", "lfs", "hours",
         F.when(F.col("prio") != "5-LOW", F.col("segment")).alias("segment"), text.alias("earned"),
         F.when(F.col("n_orders") != 1, F.col("gross_earnings")).alias("number"))
@@ -143,9 +145,9 @@ def _(spark, folder):
 
 @query("fill_zero_when_inactive", """
 select pid, year, case when number is null and employment_status in (0, 1) and lfs = 0 then 0.0 else number end::double
-       as number from mixed""")
+       as number from mixed_whole""")
 def _(spark, folder):
-    return op.fill_zero_when_inactive(mixed(spark, folder), "number").select("pid", "year", "number")
+    return op.fill_zero_when_inactive(mixed(spark, folder, panel_whole), "number").select("pid", "year", "number")
 
 
 @query("fill_default_label", """
