@@ -166,9 +166,9 @@ def _(spark, folder):
 @query("flags_from_status", """
 select pid, year, case when employment_status >= 2 then 1 else 0 end as working,
        case when employment_status = 1 then 1 else 0 end as retired,
-       case when employment_status = 3 then 1 else 0 end as fulltime from panel""")
+       case when employment_status = 3 then 1 else 0 end as fulltime from panel_whole""")
 def _(spark, folder):
-    return op.flags_from_status(panel(spark, folder).drop("working", "retired", "fulltime")).select(
+    return op.flags_from_status(panel_whole(spark, folder).drop("working", "retired", "fulltime")).select(
         "pid", "year", "working", "retired", "fulltime")
 
 
