@@ -5,23 +5,24 @@ from pyspark.sql import functions as F
 from hearthpanel.operators import joins as op
 from hearthpanel.operators import transitions as tr
 from hearthpanel.operators.matching import FEATURES, eligible_singles, knn_candidates, match_pairs
-from hearthpanel.plans.frames import analysis_frame, full, lags, panel, rates
+from hearthpanel.plans.frames import analysis_frame, full, lags, panel, panel_whole, rates
 from hearthpanel.plans.registry import fragment, query
 from hearthpanel.sources.tables import table
 
-fragment("pgen", """
-select pid, hid, year as syear, employment_status as pgemplst, gross_earnings as pglabgro from panel""")
-fragment("ppathl", """
+for _people, _of in (("panel", ""), ("panel_whole", "_whole")):
+    fragment(f"pgen{_of}", f"""
+select pid, hid, year as syear, employment_status as pgemplst, gross_earnings as pglabgro from {_people}""")
+    fragment(f"ppathl{_of}", f"""
 select p.pid, p.hid + 1000 as hid, p.year as syear, p.female as sex, c.c_nationkey as migback, p.personweight as phrf
-from panel p join customer c on c.c_custkey = p.pid""")
-fragment("pkal", "select pid, year as syear, any_r as kal1e01 from panel where any_r = 1")
+from {_people} p join customer c on c.c_custkey = p.pid""")
+    fragment(f"pkal{_of}", f"select pid, year as syear, any_r as kal1e01 from {_people} where any_r = 1")
 fragment("hgen", "select distinct hid, year as syear, cast(hid % 10 as int) as hgrent from panel")
 fragment("hpathl", "select hid, year as syear, sum(personweight) as hhrf from panel group by hid, year")
 fragment("hbrutto", "select distinct hid, year as syear, cast(hid % 16 as int) as bula from panel where prio <> '5-LOW'")
 
 
-def person_tables(spark, folder):
-    df = panel(spark, folder)
+def person_tables(spark, folder, people=panel):
+    df = people(spark, folder)
     customer = table(spark, folder, "customer").select(F.col("c_custkey").alias("pid"), F.col("c_nationkey").alias("migback"))
     pgen = df.select("pid", "hid", F.col("year").alias("syear"), F.col("employment_status").alias("pgemplst"),
                      F.col("gross_earnings").alias("pglabgro"))
@@ -44,10 +45,10 @@ def household_tables(spark, folder):
 
 @query("join_person_left", """
 select g.*, p.sex, p.migback, p.phrf, k.kal1e01
-from pgen g left join ppathl p on p.pid = g.pid and p.syear = g.syear
-            left join pkal k on k.pid = g.pid and k.syear = g.syear""", "pglabgro:2 phrf")
+from pgen_whole g left join ppathl_whole p on p.pid = g.pid and p.syear = g.syear
+            left join pkal_whole k on k.pid = g.pid and k.syear = g.syear""", "pglabgro:2 phrf")
 def _(spark, folder):
-    return op.join_person_left(*person_tables(spark, folder))
+    return op.join_person_left(*person_tables(spark, folder, panel_whole))
 
 
 @query("join_household_left", """
