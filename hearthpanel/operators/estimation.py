@@ -8,9 +8,9 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
                                    RegressionEvaluator)
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,20 +60,74 @@ def best_stage(losses: list[float], patience: int) -> tuple[int, bool]:
 
 FIRST_TREES = 40
 ROWS_PER_TASK = 50_000
-
-
-def _fit_staged(gbt: Estimator, df: DataFrame, trees: int, patience: int) -> PipelineModel:
+MOST_ROWS_PER_TASK = 500_000
+BINS = 32  # a Spark tree looks at so many bins of a column
+
+
+def _tasks(spark: SparkSession, n: int) -> int:
+    """Tasks for `n` rows: of a fixed size until every core has three, then larger ones up to a limit."""
+    few, many = -(-n // MOST_ROWS_PER_TASK), -(-n // ROWS_PER_TASK)
+    return max(1, few, min(many, 3 * spark.sparkContext.defaultParallelism))
+
+
+def _binned(rows: DataFrame, columns: list[str]) -> Bucketizer | None:
+    """Bins of the given columns, as `<name>_bin`: a bin per value where these are few, else by quantiles of all rows."""
+    if not columns:
+        return None
+    sizes = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if sizes[c] <= BINS]
+    values = rows.agg(*[F.collect_set(c).alias(c) for c in few]).first() if few else {}
+    many = [c for c in columns if c not in few]
+    cuts = dict(zip(many, rows.approxQuantile(many, [k / BINS for k in range(1, BINS)], 0.001))) if many else {}
+    cuts |= {c: sorted(values[c])[1:] for c in few}
+    edges = [[-float("inf"), *sorted(set(cuts[c])), float("inf")] for c in columns]
+    edges = [e if len(e) > 2 else [e[0], 0.0, e[-1]] for e in edges]
+    return Bucketizer(splitsArray=edges, inputCols=columns, outputCols=[f"{c}_bin" for c in columns])
+
+
+def first_trees(model, n: int):
+    """The boosted model of the first `n` trees of `model`: what a fit of `n` trees would give, without another fit."""
+    java, jvm = model._java_obj, SparkSession.active().sparkContext._jvm.org.apache.spark.ml
+    own = jvm.regression if isinstance(model, GBTRegressionModel) else jvm.classification
+    gateway = SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(jvm.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k, (tree, weight) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[k], weights[k] = tree, weight
+    if isinstance(model, GBTRegressionModel):
+        short = own.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    else:
+        short = own.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), java.numClasses())
+    return model._copyValues(type(model)(short))
+
+
+def _fit_staged(gbt: Estimator, df: DataFrame, trees: int, patience: int, merge: bool = False, growth: int = 3) -> PipelineModel:
     """Boosting that ends where `patience` further trees do not lower the loss on the test part, after `trees` at most.
 
     The loss is taken after every tree. As a boosted model begins with the trees of any shorter one, it is fitted with
-    a limit that triples until the loss has turned, and then with its best length. Without test rows all `trees` are
-    kept.
+    a limit that grows by `growth` until the loss has turned, and then cut to its best length. Without test rows all
+    `trees` are kept.
+
+    With `merge` the columns of type double are binned, as a tree would bin them itself, and rows with the same bins
+    and label become one that carries the sum of their weights. Without row sampling a tree sees only weighted sums
+    over its bins, so it is the same tree, at the price of the distinct rows.
     """
-    keep_checkpoints(df.sparkSession)  # boosting cuts its own lineage every few trees where it can
+    spark = df.sparkSession
+    keep_checkpoints(spark)  # boosting cuts its own lineage every few trees where it can
     rows = df.withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
-    assembler = VectorAssembler(inputCols=feature_names(rows), outputCol="features")
-    rows = assembler.transform(rows).select("features", "dep_var", WEIGHT, "is_test")
-    rows = rows.coalesce(max(1, -(-rows.count() // ROWS_PER_TASK))).persist()  # a tree is several small jobs
+    names = feature_names(rows)
+    stages = []
+    if merge:
+        bins = _binned(rows.filter("is_test = 0"), [c for c, t in rows.dtypes if c in names and t == "double"])
+        if bins is not None:
+            rows, stages = bins.transform(rows).drop(*bins.getInputCols()), [bins]
+            for c in bins.getOutputCols():
+                rows = rows.withMetadata(c, {})  # numbers in order, not categories
+            names = [f"{c}_bin" if c in bins.getInputCols() else c for c in names]
+        rows = rows.groupBy(*names, "dep_var", "is_test").agg(F.sum(WEIGHT).alias(WEIGHT))
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    written = assembler.transform(rows).select("features", "dep_var", WEIGHT, "is_test").persist()
+    rows = written.coalesce(_tasks(spark, written.count())).persist()  # a tree is several small jobs
     try:
         train, test = rows.filter("is_test = 0"), rows.filter("is_test = 1")
         regression = isinstance(gbt, GBTRegressor)
@@ -85,18 +139,19 @@ def _fit_staged(gbt: Estimator, df: DataFrame, trees: int, patience: int) -> Pip
             losses = model.evaluateEachIteration(test, "squared") if regression else model.evaluateEachIteration(test)
             best, turned = best_stage(losses, patience)
             if turned or limit == trees:
-                model = model if best == limit else gbt.copy({gbt.maxIter: best}).fit(train)
+                model = model if best == limit else first_trees(model, best)
                 break
-            limit = min(3 * limit, trees)
-        return PipelineModel(stages=[assembler, model])
+            limit = min(growth * limit, trees)
+        return PipelineModel(stages=[*stages, assembler, model])
     finally:
         rows.unpersist()
+        written.unpersist()
 
 
 def fit_boosted_binary(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.05, patience: int = 5,
                        seed: int = 2020) -> PipelineModel:
     """Boosted trees; the test part stops the boosting early."""
-    return _fit_staged(GBTClassifier(maxDepth=depth, stepSize=rate, seed=seed, **COMMON), df, trees, patience)
+    return _fit_staged(GBTClassifier(maxDepth=depth, stepSize=rate, seed=seed, **COMMON), df, trees, patience, merge=True, growth=9)
 
 
 def fit_boosted_regression(df: DataFrame, trees: int = 350, depth: int = 5, rate: float = 0.15, bagging: float = 0.8,

@@ -84,6 +84,21 @@ def test_a_shorter_boosted_model_is_the_beginning_of_a_longer_one(spark):
     assert [t.toDebugString.split("\n", 1)[1] for t in whole.stages[-1].trees[:5]] == [t.toDebugString.split("\n", 1)[1] for t in part.stages[-1].trees]
 
 
+def test_merged_rows_give_the_trees_of_single_rows_and_the_first_trees_are_a_shorter_fit(spark):
+    rng = random.Random(4)
+    rows = [(i, 2000, float(rng.random() < 0.2 + 0.15 * (i % 5)), i % 5, float(i % 3), 1.0 + i % 2, 0) for i in range(900)]
+    df = spark.createDataFrame(rows, "pid long, year int, dep_var double, a int, b double, personweight double, is_test int")
+    scored = lambda m: sorted((r.pid, round(r.p1, 9)) for r in estimation.predict(m, df).collect())
+    whole, part = (estimation.fit_boosted_binary(df, trees=n, depth=3) for n in (9, 4))
+    single = estimation._fit_staged(estimation.GBTClassifier(maxDepth=3, stepSize=0.05, seed=2020, **estimation.COMMON), df, 4, 5)
+    assert scored(part) == scored(single)
+    cut = estimation.first_trees(whole.stages[-1], 4)
+    assert cut.getNumTrees == 4 and list(cut.treeWeights) == list(part.stages[-1].treeWeights)
+    assert scored(type(whole)(stages=[*whole.stages[:-1], cut])) == scored(part)
+    numbers = estimation.fit_boosted_regression(df, trees=3, depth=2)
+    assert estimation.first_trees(numbers.stages[-1], 2).getNumTrees == 2
+
+
 def test_no_person_is_in_two_folds(lagged):
     folds = estimation.person_folds(lagged, 10)
     assert folds.groupBy("pid").agg(F.countDistinct("fold").alias("n")).filter("n > 1").isEmpty()
