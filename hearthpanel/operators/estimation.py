@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, RandomForestClassifier)
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator,
-                                   RegressionEvaluator)
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
@@ -212,7 +212,7 @@ def tune_grid(df: DataFrame, rates: list[float] = RATES, trees: list[int] = TREE
                                      ("forest", forest, forest.numTrees, None)):
         grid = ParamGridBuilder().addGrid(count, trees)
         grid = (grid if rate is None else grid.addGrid(rate, rates)).build()
-        fitted = _cross_validate(df, model, grid, score, folds, parallelism, seed, False)
+        fitted = _cross_validate(df, model, grid, score, folds, parallelism, seed)
         rows += [(kind, None if rate is None else float(p[rate]), int(p[count]), float(m), score.getMetricName())
                  for p, m in zip(grid, fitted.avgMetrics)]
     return df.sparkSession.createDataFrame(rows, "kind string, rate double, trees int, score double, metric string")
@@ -224,31 +224,44 @@ def person_folds(df: DataFrame, folds: int, seed: int = 2020) -> DataFrame:
 
 
 def _cross_validate(df: DataFrame, estimator: Estimator, grid: list, score, folds: int, parallelism: int,
-                    seed: int, keep: bool) -> CrossValidatorModel:
+                    seed: int) -> CrossValidatorModel:
     train = _train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
     rows = VectorAssembler(inputCols=feature_names(df), outputCol="features").transform(person_folds(train, folds, seed))
     rows = rows.select("features", "dep_var", WEIGHT, "fold").persist()
     try:
         return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold",
-                              parallelism=parallelism, seed=seed, collectSubModels=keep).fit(rows)
+                              parallelism=parallelism, seed=seed).fit(rows)
     finally:
         rows.unpersist()
 
 
+ROWS_AT_ONCE = 4_000_000
+
+
 def cv_multiclass(df: DataFrame, folds: int = 10, trees: int = 50, depth: int = 8, parallelism: int = 4,
-                  seed: int = 2020) -> CrossValidatorModel:
-    """Cross-validated status model that keeps every fold's model; folds are by person."""
+                  seed: int = 2020, only: list[int] | None = None) -> dict[int, PipelineModel]:
+    """The status model of every fold, or of those in `only`, fitted on the rows of the other folds; folds are by person.
+
+    A forest keeps its own copy of the rows while it grows, so fewer grow side by side where there are many rows.
+    """
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **COMMON)
-    score = MulticlassClassificationEvaluator(labelCol="dep_var", weightCol=WEIGHT, metricName="logLoss")
-    return _cross_validate(df, forest, [{}], score, folds, parallelism, seed, True)
+    assembler = VectorAssembler(inputCols=feature_names(df), outputCol="features")
+    train = _train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
+    rows = assembler.transform(person_folds(train, folds, seed)).select("features", "dep_var", WEIGHT, "fold").persist()
+    wanted = list(range(folds)) if only is None else only
+    try:
+        side = max(1, min(parallelism, ROWS_AT_ONCE // max(1, rows.count())))
+        with ThreadPoolExecutor(side) as pool:
+            fits = pool.map(lambda k: forest.fit(rows.filter(F.col("fold") != k)), wanted)
+            return {k: PipelineModel(stages=[assembler, m]) for k, m in zip(wanted, fits)}
+    finally:
+        rows.unpersist()
 
 
-def out_of_fold(model: CrossValidatorModel, df: DataFrame, folds: int = 10, seed: int = 2020) -> DataFrame:
+def out_of_fold(models: dict[int, PipelineModel], df: DataFrame, folds: int = 10, seed: int = 2020) -> DataFrame:
     """Every training row with its fold and the probabilities p0, p1, ... of the model that has not seen the person."""
     rows = person_folds(_train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"), folds, seed)
-    assembler = VectorAssembler(inputCols=feature_names(df), outputCol="features")
-    parts = [predict(PipelineModel(stages=[assembler, m[0]]), rows.filter(F.col("fold") == k)) for k, m in enumerate(model.subModels)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [predict(m, rows.filter(F.col("fold") == k)) for k, m in models.items()])
 
 
 def feature_importance(spark: SparkSession, model, names: list[str]) -> DataFrame:

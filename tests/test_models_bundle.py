@@ -99,6 +99,18 @@ def test_merged_rows_give_the_trees_of_single_rows_and_the_first_trees_are_a_sho
     assert estimation.first_trees(numbers.stages[-1], 2).getNumTrees == 2
 
 
+def test_the_model_of_one_fold_needs_no_others(spark, lagged, monkeypatch):
+    fits = []
+    fit = estimation.RandomForestClassifier.fit
+    monkeypatch.setattr(estimation.RandomForestClassifier, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    df = features.split_train_test(features.features_retired(lagged))
+    one = estimation.cv_multiclass(df, folds=3, trees=2, depth=2, only=[0])
+    assert list(one) == [0] and len(fits) == 1
+    every = estimation.cv_multiclass(df, folds=3, trees=2, depth=2)
+    assert len(every) == 3 and len(fits) == 4  # none on all rows together, which no fold's row may use
+    assert every[0].stages[-1].toDebugString.split("\n", 1)[1] == one[0].stages[-1].toDebugString.split("\n", 1)[1]
+
+
 def test_no_person_is_in_two_folds(lagged):
     folds = estimation.person_folds(lagged, 10)
     assert folds.groupBy("pid").agg(F.countDistinct("fold").alias("n")).filter("n > 1").isEmpty()
