@@ -150,7 +150,8 @@ def full(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lags(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(spark, folder, "panel_lags", lambda: lagged_panel(full(spark, folder)))
+    # read once, so the frame before it need not be written
+    return stored(spark, folder, "panel_lags", lambda: lagged_panel(full_panel(panel(spark, folder))))
 
 
 def _with_states(df: DataFrame) -> DataFrame:
