@@ -216,6 +216,15 @@ def test_trees_on_held_out_hosts(spark):
     assert sum(v == "block" for k, v in judged.items() if k < 1_250) >= 45 and sum(v == "block" for k, v in judged.items() if k >= 1_250) <= 5
 
 
+def test_trees_learn_from_every_labelled_url(spark, monkeypatch):
+    trained, fit = [], url_filter.GBTClassifier.fit
+    monkeypatch.setattr(url_filter.GBTClassifier, "fit", lambda self, rows: trained.append(rows.count()) or fit(self, rows))
+    site = F.when(F.col("id") % 3 == 0, F.lit(".net/es/")).otherwise(F.lit(".com/x/"))
+    pages = spark.range(24_000).select(F.concat(F.lit("http://h"), F.col("id") % 500, site, "id").alias("url"))
+    errors = url_filter.held_out_errors(pages, trees=1, depth=1).collect()
+    assert {trained[0] + r.n_allowed + r.n_blocked for r in errors} == {24_000}
+
+
 # toxicity
 
 def test_toxicity_on_held_out_rows(spark, nothing):
