@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from hearthpanel.operators import reports as op
 from hearthpanel.operators.events import complete_panel
 from hearthpanel.operators.joins import anti_dropouts
-from hearthpanel.plans.frames import FIXED, METHODS, MONEY, VARIABLES, ana, full, panel
+from hearthpanel.plans.frames import FIXED, METHODS, MONEY, VARIABLES, ana, analysis_frame, full, panel
 from hearthpanel.plans.registry import fragment, query
 
 METHODS = op.METHODS
@@ -44,7 +44,8 @@ MEAN_VARS = ["married", "in_couple", "n_people", "n_children", "birth", "daily_h
     _each(f"avg({v}_{{m}}) as {v}_{{m}}") for v in MEAN_VARS) + " from panel_ana group by age_real",
     " ".join(_each(f"{v}_{{m}}", glue=" ") for v in MEAN_VARS))
 def _(spark, folder):
-    return op.mean_by_age_method(ana(spark, folder), MEAN_VARS)
+    # derived for the columns it needs; the stored frame holds all columns of all methods
+    return op.mean_by_age_method(analysis_frame(full(spark, folder)), MEAN_VARS)
 
 
 SHARES = ", ".join(f"avg(cast(employment_status = {k} as int)) as status{k}" for k in range(4))
