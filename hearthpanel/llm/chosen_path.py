@@ -34,6 +34,8 @@ SMALL = 200
 """Nodes of at most so many sets are compared by sketches."""
 SLICE_SETS = 20_000
 """A larger node's sets are dealt to slices of about so many; each slice meets all sets of its node in a task of its own."""
+FIRST_NODES = 32
+"""A pair that shares several crowds is made in the first of them, as far as it is among so many first nodes of both sets."""
 SHINGLE = 5
 BROADCAST_ROWS = 500_000
 """Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
@@ -175,11 +177,17 @@ def crowd_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
     Every pair is looked at, inside the join; only those that may be linked come out. The bits bound the difference
     of two full sets from below, so none that is linked is lost, and crowds that are merely alike make no rows. Sets
     of a node's most frequent component are compared with the others only, and nodes of one component not at all.
+    A pair comes out of one of the nodes it shares and in one order, so that rows are as many as pairs.
     """
     roots = many.groupBy("node", "root").agg(F.count(F.lit(1)).alias("sets"))
     nodes = roots.groupBy("node").agg(F.max(F.struct("sets", "root")).alias("top"), F.sum("sets").alias("sets"))
     nodes = nodes.filter(F.col("sets") > F.col("top.sets")).select("node", F.col("top.root").alias("main"), F.ceil(F.col("sets") / SLICE_SETS).cast("int").alias("slices"))
-    mixed_nodes = saved(many.select("node", "vertex", "root", "n").join(nodes, "node").join(sets.select("vertex", *PARITIES), "vertex"), "mixed_nodes")
+    placed = saved(many.select("node", "vertex", "root", "n").join(nodes, "node"), "placed")
+    # A set's nodes; a pair is left to an earlier node that both are in. Where the lists are cut, it may come twice but never not.
+    first = placed.groupBy("vertex").agg(F.slice(F.sort_array(F.collect_list("node")), 1, FIRST_NODES).alias("first"))
+    full = sets.select("vertex", *PARITIES).join(first, "vertex")
+    earlier = F.filter("first", lambda node: node < F.col("node")).alias("earlier")
+    mixed_nodes = saved(placed.join(full, "vertex").select(*placed.columns, *PARITIES, earlier), "mixed_nodes")
     others = F.col("root") != F.col("main")
     dealt = mixed_nodes.filter(others).withColumn("slice", F.pmod(F.xxhash64("vertex"), F.col("slices")).cast("int")).alias("a")
     all_sets = mixed_nodes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("b")
@@ -187,7 +195,8 @@ def crowd_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
     n, k = F.col("a.n"), F.col("b.n")
     may = ((DENOMINATOR * F.least(n, k) >= NUMERATOR * F.greatest(n, k))
            & (unequal * (DENOMINATOR + NUMERATOR) <= (n + k) * (DENOMINATOR - NUMERATOR)))
-    met = dealt.join(all_sets, (F.col("a.node") == F.col("b.node")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.root") != F.col("b.root")) & may)
+    once = ((F.col("b.root") == F.col("b.main")) | (F.col("a.vertex") < F.col("b.vertex"))) & ~F.arrays_overlap("a.earlier", "b.earlier")
+    met = dealt.join(all_sets, (F.col("a.node") == F.col("b.node")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.root") != F.col("b.root")) & may & once)
     low, high = F.least("a.vertex", "b.vertex"), F.greatest("a.vertex", "b.vertex")
     return saved(met.select(low.alias("a"), high.alias("b")).distinct(), "crowd_pairs")
 

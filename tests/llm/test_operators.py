@@ -494,6 +494,27 @@ def test_crowd_pairs_hold_every_link_and_little_else(spark, monkeypatch, slices)
     assert chosen_path.crowd_pairs(many.withColumn("root", F.lit(1).cast("long")), sets).isEmpty()
 
 
+def test_a_pair_that_shares_many_crowds_is_made_once(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        copy = [f"w{k}" for k in range(120)]
+        copy[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(copy)))
+    summed = chosen_path._summarised(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    sets = chosen_path.saved(summed.dropDuplicates(["vertex"]), "sets")
+    # Forty crowds, more than the list of first ones holds; every pair is in about ten of them.
+    many = sets.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("node"), "vertex", F.pmod("vertex", F.lit(20)).alias("root"), "n")
+    many = many.filter(F.pmod(F.xxhash64("node", "vertex"), F.lit(2)) == 0)
+    there = collections.defaultdict(set)
+    for r in many.collect():
+        there[r.node].add((r.vertex, r.root))
+    wanted = {(a, b) for members in there.values() for a, x in members for b, y in members if a < b and x != y}
+    monkeypatch.setattr(type(sets), "distinct", lambda df: df)
+    found = [tuple(r) for r in chosen_path.crowd_pairs(many, sets).collect()]
+    assert set(found) == wanted and len(found) == len(wanted)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
