@@ -29,6 +29,8 @@ SHINGLE = 4
 NUMERATOR, DENOMINATOR = 85, 100
 STARS = 3
 """Rounds that compare each set with one leader before what is still apart is compared in full."""
+FIRST_PLACES = 32
+"""A pair that meets in several keys is made in the first of them, as far as it is among so many first keys of both sets."""
 BROADCAST_ROWS = 500_000
 """Up to so many wanted rows (three numbers each) are sent to the texts; beyond that the texts are shuffled to them."""
 PARITIES = [f"s{k}" for k in range(PARITY_WORDS)]
@@ -258,23 +260,33 @@ def _rest_pairs(probes: DataFrame, index: DataFrame, sets: DataFrame) -> DataFra
     """All pairs of different components that meet in a key, where sizes and bits allow a link.
 
     Of each key the component with the most members is not compared with itself; a crowd of linked sets with few
-    others makes as many comparisons as it has members.
+    others makes as many comparisons as it has members. A pair that meets in many keys comes out of one of
+    them, in either order at most.
     """
-    rooted = sets.select("vertex", "root")
-    p = probes.join(rooted.withColumnRenamed("vertex", "x"), "x")
-    i = index.join(rooted.withColumnRenamed("vertex", "y"), "y")
-    members = p.select("key", "target", "root").union(i.select("key", "target", "root")).groupBy("key", "target", "root").agg(F.count(F.lit(1)).alias("n"))
+    place, yes, no = ["key", "target"], F.lit(True), F.lit(False)
+    rows = probes.select(*place, F.col("x").alias("vertex"), yes.alias("asks"), no.alias("held")).union(
+        index.select(*place, F.col("y").alias("vertex"), no.alias("asks"), yes.alias("held")))
+    rows = rows.groupBy(*place, "vertex").agg(F.max("asks").alias("asks"), F.max("held").alias("held")).join(sets.select("vertex", "root"), "vertex")
+    members = rows.groupBy("key", "target", "root").agg(F.count(F.lit(1)).alias("n"))
     keys = members.groupBy("key", "target").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
     keys = saved(keys.filter("roots > 1").drop("roots"), "mixed_keys")
-    place = ["key", "target"]
-    full = lambda rows, v: rows.join(keys, place).join(sets.drop("root"), F.col(v) == F.col("vertex")).drop("vertex")
-    p, i = saved(full(p, "x"), "rest_probes"), saved(full(i, "y"), "rest_index")
+    rows = saved(rows.join(keys, place).withColumn("place", F.xxhash64(*place)), "mixed_places")
+    # A set's places; a pair is left to an earlier place where the one asks too and the other is held too. Where the
+    # lists are cut, it may come more than once but never not.
+    first = lambda flag: F.slice(F.sort_array(F.collect_list(F.when(F.col(flag), F.col("place")))), 1, FIRST_PLACES).alias(f"first_{flag}")
+    full = sets.drop("root").join(rows.groupBy("vertex").agg(first("asks"), first("held")), "vertex")
+    earlier = lambda flag: F.filter(f"first_{flag}", lambda place: place < F.col("place")).alias("earlier")
+    side = lambda flag: saved(rows.filter(flag).join(full, "vertex").select(*rows.columns, "n", *PARITIES, earlier(flag)), f"rest_{flag}")
+    p, i = side("asks"), side("held")
     apart = lambda rows: rows.filter("root <> main")
     found = []
     for left, right in ((apart(p), i), (p.filter("root = main"), apart(i))):
         a, b = left.alias("a"), right.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.target") == F.col("b.target")) & (F.col("a.root") != F.col("b.root")) & _may_link("a", "b"))
-        found.append(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        # Of two sets that both ask and are held in a place, only the smaller number asks.
+        once = ((F.col("a.vertex") < F.col("b.vertex")) | ~(F.col("a.held") & F.col("b.asks"))) & ~F.arrays_overlap("a.earlier", "b.earlier")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.target") == F.col("b.target")) & (F.col("a.root") != F.col("b.root"))
+                     & _may_link("a", "b") & once)
+        found.append(met.select(F.least("a.vertex", "b.vertex").alias("a"), F.greatest("a.vertex", "b.vertex").alias("b")))
     return saved(found[0].union(found[1]).distinct(), "rest_pairs")
 
 

@@ -108,6 +108,26 @@ def test_every_linked_pair_shares_a_key_that_the_larger_set_asks_for(spark):
             assert missed < need <= max(have, band.segments)
 
 
+@pytest.mark.parametrize("places", [32, 2])
+def test_a_pair_that_meets_in_many_keys_is_not_made_in_each(spark, monkeypatch, places):
+    monkeypatch.setattr(partition_join, "FIRST_PLACES", places)
+    rng = random.Random(4)
+    crowd = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(changed(rng, crowd, 1 + i % 3))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, body string").selectExpr("id", "xxhash64(body) as print", "body")
+    summed = partition_join.saved(partition_join._summaries(docs), "summaries")
+    probes, index = partition_join.probes_and_index(summed)
+    sets = partition_join.saved(summed.dropDuplicates(["vertex"]).selectExpr("vertex", "n", *partition_join.PARITIES, "vertex as root"), "sets")
+    wanted = {tuple(sorted(r)) for r in probes.join(index, ["key", "target"]).filter("x <> y").select("x", "y").collect()}
+    n = {r.vertex: shingles(r.body) for r in summed.select("id", "vertex").join(docs, "id").collect()}
+    similar = {(a, b) for a, b in wanted if 100 * len(n[a] & n[b]) >= 85 * len(n[a] | n[b])}
+    monkeypatch.setattr(type(probes), "distinct", lambda df: df)
+    found = [tuple(r) for r in partition_join._rest_pairs(probes, index, sets).collect()]
+    assert similar and similar <= set(found) <= wanted
+    # In either order at most; cut lists let more through.
+    assert places < 32 or len(found) <= 2 * len(set(found))
+
+
 def test_no_rows(spark):
     assert partition_join.joined(spark.createDataFrame([], SCHEMA)).collect() == []
     assert partition_join.joined(spark.createDataFrame([(1, None), (None, "a b")], "doc_id long, text string")).count() == 2
