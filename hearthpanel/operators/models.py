@@ -7,6 +7,7 @@ folder, so that scoring a person-year needs nothing else.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -56,28 +57,38 @@ def _input(name: str) -> str:
     return f"_z_{name}"
 
 
+def _fit_target(lagged: DataFrame, target: str, test_share: float, seed: int) -> tuple[dict[str, tuple[float, float]], PipelineModel]:
+    """Scalers and fit of one target. Rows of a logit with whole-number regressors that are equal become one with the sum
+    of their weights, which leaves its likelihood as it is, so that its many passes grow with the different rows only."""
+    frame = ft.split_train_test(FRAMES[target](lagged), test_share, seed).filter("is_test = 0").drop("is_test").na.drop("any")
+    names = [c for c in frame.columns if c not in {*ft.KEYS, "dep_var", ft.WEIGHT}]
+    scaled = names + (["dep_var"] if target in CONTINUOUS else [])
+    stats = ft.scale_stats(frame, scaled).first()  # two numbers per column
+    bundle = Bundle(scalers={target: {c: (stats[f"{c}_mean"], stats[f"{c}_std"] or 1.0) for c in scaled}})
+    if target in BINARY and not {t for c, t in frame.dtypes if c in names} & {"double", "float"}:
+        frame = frame.groupBy(*names, "dep_var").agg(F.sum(ft.WEIGHT).alias(ft.WEIGHT))
+    rows = frame.select(*[bundle.scaled(target, c, F.col(c).cast("double")).alias(_input(c)) for c in names], ft.WEIGHT,
+                        (bundle.scaled(target, "dep_var", F.col("dep_var")) if target in CONTINUOUS else F.col("dep_var").cast("double")).alias("_y"))
+    common = dict(featuresCol="_features", labelCol="_y", weightCol=ft.WEIGHT, predictionCol="_prediction", regParam=0.0)
+    fit = (LinearRegression(solver="normal", **common) if target in CONTINUOUS else
+           LogisticRegression(maxIter=300, tol=1e-12, rawPredictionCol="_raw", probabilityCol="_probability", **common))
+    assembler = VectorAssembler(inputCols=[_input(c) for c in names], outputCol="_features")
+    return bundle.scalers[target], Pipeline(stages=[assembler, fit]).fit(rows)
+
+
 def fit_bundle(lagged: DataFrame, test_share: float = 0.05, seed: int = 2020) -> Bundle:
-    """All six models on the training rows of their frames, with the weights of the survey."""
-    bundle = Bundle()
-    for target, build in FRAMES.items():
-        frame = ft.split_train_test(build(lagged), test_share, seed).filter("is_test = 0").drop("is_test").na.drop("any")
-        names = [c for c in frame.columns if c not in {*ft.KEYS, "dep_var", ft.WEIGHT}]
-        scaled = names + (["dep_var"] if target in CONTINUOUS else [])
-        stats = ft.scale_stats(frame, scaled).first()  # two numbers per column
-        bundle.scalers[target] = {c: (stats[f"{c}_mean"], stats[f"{c}_std"] or 1.0) for c in scaled}
-        rows = frame.select(*[bundle.scaled(target, c, F.col(c).cast("double")).alias(_input(c)) for c in names], ft.WEIGHT,
-                            (bundle.scaled(target, "dep_var", F.col("dep_var")) if target in CONTINUOUS else F.col("dep_var").cast("double")).alias("_y"))
-        common = dict(featuresCol="_features", labelCol="_y", weightCol=ft.WEIGHT, predictionCol="_prediction", regParam=0.0)
-        fit = (LinearRegression(solver="normal", **common) if target in CONTINUOUS else
-               LogisticRegression(maxIter=300, tol=1e-12, rawPredictionCol="_raw", probabilityCol="_probability", **common))
-        assembler = VectorAssembler(inputCols=[_input(c) for c in names], outputCol="_features")
-        bundle.models[target] = Pipeline(stages=[assembler, fit]).fit(rows)
-    return bundle
+    """All six models on the training rows of their frames, with the weights of the survey.
+
+    The fits, each a chain of small jobs, run side by side.
+    """
+    with ThreadPoolExecutor(len(FRAMES)) as pool:
+        fits = list(pool.map(lambda target: _fit_target(lagged, target, test_share, seed), FRAMES))
+    return Bundle({t: model for t, (_, model) in zip(FRAMES, fits)}, {t: scalers for t, (scalers, _) in zip(FRAMES, fits)})
 
 
 def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
-    for target, model in bundle.models.items():
-        model.write().overwrite().save(f"{folder}/{target}")
+    with ThreadPoolExecutor(len(bundle.models) or 1) as pool:
+        list(pool.map(lambda target: bundle.models[target].write().overwrite().save(f"{folder}/{target}"), bundle.models))
     rows = [(t, c, float(m), float(s)) for t, columns in bundle.scalers.items() for c, (m, s) in columns.items()]
     spark.createDataFrame(rows, "target string, name string, mean double, std double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/scalers")
     return folder
@@ -88,7 +99,8 @@ def load_bundle(spark: SparkSession, folder: str) -> Bundle:
     bundle = Bundle()
     for row in spark.read.parquet(f"{folder}/scalers").collect():  # a row per column of six frames
         bundle.scalers.setdefault(row.target, {})[row.name] = (row.mean, row.std)
-    bundle.models = {target: PipelineModel.load(f"{folder}/{target}") for target in bundle.scalers}
+    with ThreadPoolExecutor(len(bundle.scalers) or 1) as pool:
+        bundle.models = dict(zip(bundle.scalers, pool.map(lambda target: PipelineModel.load(f"{folder}/{target}"), bundle.scalers)))
     return bundle
 
 

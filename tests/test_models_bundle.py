@@ -52,6 +52,21 @@ def test_fits_meet_their_score_equations(lagged, bundle):
             assert row.fitted == pytest.approx(row.observed, rel=1e-3, abs=1e-4), (target, row.term)
 
 
+def test_logits_on_whole_numbers_pass_over_different_rows_only(lagged, bundle, monkeypatch):
+    seen, fit = {}, models.Pipeline.fit
+
+    def noted(self, rows):
+        seen[len(seen)] = rows
+        return fit(self, rows)
+    monkeypatch.setattr(models.Pipeline, "fit", noted)
+    monkeypatch.setattr(models, "FRAMES", {"birth": models.FRAMES["birth"], "retired": models.FRAMES["retired"]})
+    again = models.fit_bundle(lagged)
+    assert list(again.models) == ["birth", "retired"] and again.scalers == {t: bundle.scalers[t] for t in again.scalers}
+    for rows in seen.values():
+        frame = [c for c in rows.columns if c != "personweight"]
+        assert rows.count() > 0 and rows.groupBy(*frame).count().filter("count > 1").isEmpty()
+
+
 def test_cascade_is_consistent(lagged, bundle):
     out = models.cascade(bundle, lagged)
     assert out.columns[:len(lagged.columns)] == lagged.columns and out.count() == lagged.count()
