@@ -84,7 +84,8 @@ def _set_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(_SCHEMA)
 def _summaries(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", *SKETCHES, *PARITIES, "tokens"])
+        # As objects: a column of numbers with a null among them would go through floats, and equal sets get unequal vertices.
+        out = pd.DataFrame([_summary(t) for t in batch], columns=["vertex", "n", *SKETCHES, *PARITIES, "tokens"], dtype=object)
         yield out.astype({"vertex": "Int64", "n": "int64"} | {c: "int64" for c in SKETCHES + PARITIES})
 
 
@@ -119,45 +120,56 @@ def _first_nodes(sets: DataFrame, *columns: str) -> DataFrame:
     return sets.select(F.explode(tokens).alias("node"), *columns)
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """Each set with a leader of each of its first nodes, where the sketches allow a link.
+def shared_nodes(sets: DataFrame) -> DataFrame:
+    """Saved table of node, size, leader and vertex: the first nodes that several sets are in.
+
+    A leader is the member smallest in an order of the node's own. Of the many nodes that hold a single set, only
+    the numbers are shuffled; signatures meet their nodes once those are gone.
+    """
+    rows = _first_nodes(sets, "vertex")
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("vertex").bitwiseXOR(F.col("node"))).alias("low"))
+    leaders = saved(sizes.filter("size > 1").select("node", "size", F.col("low").bitwiseXOR(F.col("node")).alias("leader")), "leaders")
+    return saved(rows.join(leaders, "node"), "shared_nodes")
+
+
+def star_pairs(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """Each set with a leader of each of its first nodes (`shared_nodes`), where the sketches allow a link.
 
     These few pairs, once confirmed, join most of a crowd of near copies into one component, so that its many
-    other pairs need no comparison. A leader is the member smallest in an order of the node's own.
+    other pairs need no comparison.
     """
-    rows = _first_nodes(sets, "vertex", "n", *SKETCHES)
-    leaders = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("vertex").bitwiseXOR(F.col("node"))).alias("low"))
-    leaders = saved(leaders.filter("size > 1").select("node", F.col("low").bitwiseXOR(F.col("node")).alias("leader")), "leaders")
-    members = rows.join(leaders, "node").filter("vertex <> leader").alias("a")
-    heads = sets.select(*[F.col(c).alias(c) for c in ("vertex", "n", *SKETCHES)]).alias("b")
-    met = members.join(heads, (F.col("a.leader") == F.col("b.vertex")) & _alike())
+    heads = sets.select("vertex", "n", *SKETCHES)
+    members = shared.filter("vertex <> leader").select("vertex", "leader").distinct().join(heads, "vertex")
+    met = members.alias("a").join(heads.alias("b"), (F.col("a.leader") == F.col("b.vertex")) & _alike())
     low, high = F.col("a.vertex"), F.col("b.vertex")
     return saved(met.select(F.least(low, high).alias("a"), F.greatest(low, high).alias("b")).distinct(), "star_pairs")
 
 
-def _nodes(sets: DataFrame, small: int, shrink: float) -> tuple[DataFrame, DataFrame | None]:
+def _nodes(sets: DataFrame, shared: DataFrame, whole: DataFrame, small: int, shrink: float) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a < b) within small nodes, and the members of large nodes that branching does not divide.
 
-    A large node branches as long as each of its children has at most the share `shrink` of its sets.
+    A large node branches as long as each of its children has at most the share `shrink` of its sets. `whole` has the
+    tokens of the sets.
     """
     lean = ["node", "vertex", "root", "n", *SKETCHES]
-    rows = _first_nodes(sets, *lean[1:])
-    found, crowds = [], []
+    members = saved(shared.select("node", "vertex", "size").join(sets.select(*lean[1:]), "vertex"), "members")
+    found, crowds, tokens = [], [], whole.select("vertex", "tokens")
     while True:
-        sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node_sizes")
-        members = saved(rows.join(sizes, "node"), "members")
         few = members.filter(F.col("size") <= small).select(*lean)
         found.append(saved(_pairs_of(few, few, True), "pairs"))
         many = members.filter(F.col("size") > small)
         if many.isEmpty():
             break
+        tokens = saved(tokens.join(many.select("vertex").distinct(), "vertex", "left_semi"), "tokens")
         picks = F.array(*[_child(F.col("node"), F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POSITIONS)).cast("int")) for k in range(BRANCHES)])
-        children = saved(many.join(sets.select("vertex", "tokens"), "vertex").select(
+        children = saved(many.join(tokens, "vertex").select(
             F.col("node").alias("parent"), "size", F.explode(F.array_distinct(picks)).alias("node"), *lean[1:]), "children")
         parts = children.groupBy("parent", "size", "node").agg(F.count(F.lit(1)).alias("part"))
         divided = saved(parts.groupBy("parent", "size").agg(F.max("part").alias("most")).filter(F.col("most") <= F.col("size") * shrink).select("parent"), "divided")
         crowds.append(many.select(*lean).join(divided.withColumnRenamed("parent", "node"), "node", "left_anti"))
         rows = children.join(divided, "parent", "left_semi").select(*lean)
+        sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node_sizes")
+        members = saved(rows.join(sizes, "node"), "members")
     return reduce(DataFrame.union, found).distinct(), reduce(DataFrame.union, crowds) if crowds else None
 
 
@@ -167,7 +179,7 @@ def candidates(sets: DataFrame, small: int = SMALL, shrink: float = SHRINK) -> D
     Sets with the same `root` are known to be in one component; their pairs are left out. Nodes of any size are
     compared exhaustively. A crowd gives as many candidates as it has pairs; `links` compares it without making them.
     """
-    pairs, crowds = _nodes(sets, small, shrink)
+    pairs, crowds = _nodes(sets, shared_nodes(sets), sets, small, shrink)
     return pairs if crowds is None else pairs.union(_pairs_of(crowds, crowds, True)).distinct()
 
 
@@ -202,10 +214,14 @@ def crowd_pairs(many: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, rows: DataFrame, sets: DataFrame, key: str, text: str, small: int = SMALL,
-          shrink: float = SHRINK) -> DataFrame:
-    """Links (a < b) that join the sets with different `root`; `rows` as summarised, `sets` as in `candidates`."""
-    pairs, crowds = _nodes(sets, small, shrink)
-    met = pairs if crowds is None else pairs.union(crowd_pairs(crowds, sets)).distinct()
+          shrink: float = SHRINK, shared: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """Links (a < b) that join the sets with different `root`; `rows` as summarised, `sets` as in `candidates`.
+
+    `shared` are the `shared_nodes`, if there are any yet. Tokens and parity bits can be in a table of their own, `whole`.
+    """
+    whole = sets if whole is None else whole
+    pairs, crowds = _nodes(sets, shared_nodes(whole) if shared is None else shared, whole, small, shrink)
+    met = pairs if crowds is None else pairs.union(crowd_pairs(crowds, whole)).distinct()
     return confirmed(docs, rows, saved(met, "candidates"), key, text)
 
 
@@ -218,16 +234,24 @@ def _summarised(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     """Saved table of the wanted vertices and all their shingles."""
-    # One row of each wanted set gives its text.
-    chosen = saved(rows.filter("n > 0").join(wanted, "vertex").groupBy("vertex").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print")).alias("r"))
-                   .select("vertex", F.col("r.id").alias("i"), F.col("r.print").alias("p")), "chosen_rows")
+    # One row of each wanted set gives its text; equal rows would give it more than once.
+    some = rows.filter("n > 0").select("vertex", "id", "print").join(wanted, "vertex").groupBy("vertex", "id", "print").agg(F.count(F.lit(1)).alias("equal"))
+    chosen = saved(some.groupBy("vertex").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "print", "equal")).alias("r"))
+                   .select("vertex", F.col("r.id").alias("i"), F.col("r.print").alias("p"), F.col("r.equal").alias("equal")), "chosen_rows")
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("print"), body.alias("body"))
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    found = texts.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).select("vertex", "body")
-    # Equal rows give their set more than once.
-    return saved(found.select("vertex", _set_of("body").alias("shingles")).dropDuplicates(["vertex"]), "full_sets")
+
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        if chosen.count() <= BROADCAST_ROWS:
+            chosen = F.broadcast(chosen)
+        found = texts.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("print") == F.col("p"))).select("vertex", "body")
+        return found.select("vertex", _set_of("body").alias("shingles"))
+
+    several = chosen.filter("equal > 1")
+    if several.isEmpty():
+        return saved(sets_of(chosen), "full_sets")
+    # Only the sets of equal rows are shuffled.
+    return saved(sets_of(chosen.filter("equal = 1")).union(sets_of(several).dropDuplicates(["vertex"])), "full_sets")
 
 
 def confirmed(docs: DataFrame, rows: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -254,11 +278,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     rows = _summarised(docs, key, text)
     sets = saved(rows.filter("n > 0").dropDuplicates(["vertex"]).select("vertex", "n", *SKETCHES, *PARITIES, "tokens"), "sets")
-    stars = confirmed(docs, rows, star_pairs(sets), key, text)
+    shared = shared_nodes(sets)
+    stars = confirmed(docs, rows, star_pairs(sets, shared), key, text)
     known = components(stars).withColumnRenamed("vertex", "v")
-    rooted_sets = saved(sets.join(known, F.col("vertex") == F.col("v"), "left").withColumn(
+    rooted_sets = saved(sets.select("vertex", "n", *SKETCHES).join(known, F.col("vertex") == F.col("v"), "left").withColumn(
         "root", F.coalesce("root", "vertex")).drop("v"), "rooted_sets")
-    roots = components(stars.union(links(docs, rows, rooted_sets, key, text)))
+    roots = components(stars.union(links(docs, rows, rooted_sets, key, text, shared=shared, whole=sets)))
     rooted = saved(rows.select("id", "print", "vertex", "n").join(roots.withColumnRenamed("vertex", "v"), F.col("vertex") == F.col("v"), "left")
                    .select("id", "print", "n", F.coalesce("root", "vertex").alias("root")), "rooted")
     smallest = saved(rooted.groupBy("root").agg(F.min("id").alias("smallest")).filter("root is not null"), "smallest")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthpanel.llm.prefilter import maybe_among
 from hearthpanel.llm.quality_rules import bound
 from hearthpanel.llm.store import saved
 
@@ -87,11 +88,14 @@ def repeated_pieces(keyed: DataFrame, least_words: int = 0) -> DataFrame:
     """
     spread = keyed.select("rank", "print", F.explode(_occurrences(_sentences(_pieces(F.col("body"))), least_words > 0)).alias("o")).select(
         "rank", "print", "o.*")
-    # Sums per hash are taken before the shuffle, so a passage that a third of all documents share is cheap.
-    repeated = saved(spread.groupBy("hash").agg(F.min("rank").alias("holder"), F.max("rank").alias("other"), F.max("again").alias("twice"))
+    # Sums per hash are taken before the shuffle, so a passage that a third of all documents share is cheap. Nothing else of all runs is
+    # shuffled: those that a map of the frequent hashes lets pass are few more than those that do repeat.
+    frequent = saved(spread.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "frequent_runs")
+    passing = saved(maybe_among(spread, F.col("hash"), frequent).filter("maybe").drop("maybe"), "passing_runs")
+    repeated = saved(passing.groupBy("hash").agg(F.min("rank").alias("holder"), F.max("rank").alias("other"), F.max("again").alias("twice"))
                      .filter("holder <> other or twice").select("hash", "holder"), "repeated_runs")
-    # The table of repeated runs is read from storage, so that the join may split the parts of a hot hash.
-    later = spread.join(repeated, "hash").filter("rank > holder or again")
+    # Both tables are read from storage, so that the join may split the parts of a hot hash.
+    later = passing.join(repeated, "hash").filter("rank > holder or again")
     runs = later.groupBy("rank", "print").agg(F.array_sort(F.collect_set(F.struct("span", *(["sizes"] if least_words else [])))).alias("runs"))
     return runs.select("rank", "print", _stretches(F.col("runs"), least_words).alias("gone")).filter(F.size("gone") > 0)
 
@@ -109,18 +113,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     with the same key are one document: runs are not removed for occurring in another of its rows. Equal
     rows are treated alike. Columns of `docs` may have any names.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    print_ = F.xxhash64(body)
+    print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rank = F.coalesce(F.col(key).cast("bigint"), print_.bitwiseAND(F.lit(AFTER_IDS - 1)) + F.lit(AFTER_IDS))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"),
-                        rank.alias("rank"), print_.alias("print"))
-    gone = saved(repeated_pieces(keyed.drop("row"), least_words), "removed_pieces")
-    both = keyed.join(gone, ["rank", "print"], "left")
-    left = F.when(F.col("gone").isNull(), F.col("body")).otherwise(bound(_pieces(F.col("body")), lambda p: F.array_join(
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rank.alias("rank"), print_.alias("print"))
+    runs = docs.select(F.col(text).alias("body"), rank.alias("rank"), print_.alias("print"))
+    gone = saved(repeated_pieces(runs, least_words), "removed_pieces")
+    # Only texts that may lose pieces are shuffled to them.
+    marked = maybe_among(keyed, F.col("print"), saved(gone.select("print").distinct(), "changed_prints"))
+    left = lambda body: F.when(F.col("gone").isNull(), body).otherwise(bound(_pieces(body), lambda p: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("gone")), lambda i: F.get(p, i)), "")))
-    count = F.size(F.filter(_pieces(F.col("body")), lambda p: p.rlike(r"[^.!?\s]")))
-    return both.select("row", count.cast("bigint").alias("n_sentences"),
-                       F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), left.alias("clean"))
+    count = lambda body: F.size(F.filter(_pieces(body), lambda p: p.rlike(r"[^.!?\s]")))
+    answer = lambda rows: rows.select("row", count(F.col("row").getField(text)).cast("bigint").alias("n_sentences"),
+                                      F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+                                      left(F.col("row").getField(text)).alias("clean"))
+    untouched = marked.filter(~F.col("maybe")).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+    return answer(marked.filter("maybe").join(gone, ["rank", "print"], "left")).union(answer(untouched))
 
 
 def deduplicated_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

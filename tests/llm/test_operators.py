@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthpanel.llm import (chosen_path, components, decontamination, licenses, quality_rules, sharding, span_dedup,
+from hearthpanel.llm import (chosen_path, components, decontamination, licenses, prefilter, quality_rules, sharding, span_dedup,
                              toxicity, url_filter)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -326,6 +326,37 @@ def test_repeated_stretches_of_short_sentences(spark):
     assert got == dict(rows) | {2: "Other one there. Own end.", 4: "Gamma. Delta.", 6: "Iota. Kappa."} and got == _without_repeats(rows)
 
 
+def _plans(monkeypatch, module):
+    """Plans of the tables that `module` saves, by name."""
+    plans, save = collections.defaultdict(list), module.saved
+
+    def watched(df, name):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+    monkeypatch.setattr(module, "saved", watched)
+    return plans
+
+
+def test_runs_of_all_texts_are_shuffled_once_and_only_as_hashes(spark, docs, monkeypatch):
+    plans = _plans(monkeypatch, span_dedup)
+    span_dedup.remove_repeats(docs)
+    assert "Generate" in plans["frequent_runs"][0] and "rank" not in "".join(
+        line for line in plans["frequent_runs"][0].splitlines() if "Aggregate" in line or "Exchange" in line)
+    assert not any("Generate" in p for name in ("repeated_runs", "removed_pieces") for p in plans[name])
+
+
+def test_prefilter_loses_no_key(spark):
+    keys = chosen_path.saved(spark.range(3000).select(F.xxhash64("id").alias("k")).union(spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,)], "k long")), "keys")
+    rows = spark.range(50_000).select(F.xxhash64("id").alias("h"), "id").union(
+        spark.createDataFrame([(-(1 << 63), 1), ((1 << 63) - 1, 2), (0, 3), (None, 50_000)], "h long, id long"))
+    got = prefilter.maybe_among(rows, F.col("h"), keys)
+    assert got.columns == ["h", "id", "maybe"] and got.count() == rows.count() and got.filter("maybe is null").isEmpty()
+    passed = {r.id for r in got.filter("maybe").collect()}
+    assert set(range(3000)) <= passed and 50_000 not in passed and len(passed) < 3000 + 0.2 * 47_000
+    none = prefilter.maybe_among(rows, F.col("h"), chosen_path.saved(keys.limit(0), "none"))
+    assert none.filter("maybe").isEmpty() and none.count() == rows.count()
+
+
 # decontamination
 
 QUESTION = ("A farmer called Alice sells 12 eggs for 3 dollars each and then Bob buys 4 kg of flour in the small market "
@@ -467,6 +498,24 @@ def test_tight_pairs_in_a_crowd_below_the_threshold(spark):
     assert sum(not r.kept for r in chosen_path.judge(df).collect()) == 60
 
 
+def test_signatures_and_full_sets_are_not_shuffled_with_all_nodes(spark, monkeypatch):
+    """First nodes are dealt as numbers only; full sets are shuffled only where equal rows would give them twice."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (2, " ".join(base[:-1])), (3, " ".join(base[:-2] + ["x"])), (4, "other words"), (5, None)]
+    plans = _plans(monkeypatch, chosen_path)
+    df = spark.createDataFrame([r for r in rows if r[0] != 2] + [rows[1]], "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.component_id for r in chosen_path.judge(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert plans["full_sets"] and not any("Aggregate" in p for p in plans["full_sets"])
+    assert not any("Generate" in p for name in ("star_pairs", "members") for p in plans[name])
+    # With the smallest key gone, the equal rows give their set, and give it once.
+    df = spark.createDataFrame(rows[1:], "doc_id long, text string").repartition(2)
+    got = chosen_path.judge(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True)]
+    summed = chosen_path._summarised(df, "doc_id", "text")
+    wanted = summed.select("vertex").filter("vertex is not null").distinct()
+    assert chosen_path.full_sets(df, summed, wanted, "doc_id", "text").count() == wanted.count() == 3
+
+
 @pytest.mark.parametrize("slices", [20_000, 37])
 def test_crowd_pairs_hold_every_link_and_little_else(spark, monkeypatch, slices):
     """A crowd in one node: no link is lost, and sets that are merely alike make no rows."""
