@@ -49,11 +49,14 @@ def keep_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back, so that later rounds do not recompute earlier ones."""
+def cut_lineage(spark: SparkSession, df: DataFrame, *by: str) -> DataFrame:
+    """`df` written once to the shared folder and read back, so that later rounds do not recompute earlier ones.
+
+    A filter on the columns `by` reads their rows only.
+    """
     path = f"{shared_folder(spark)}/cuts/{uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}
