@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hearthpanel.functions.columns import seeded_uniform
 from hearthpanel.operators.features import KEYS, WEIGHT
-from hearthpanel.operators.forest import UNIT_ROWS, FoldForest, Shared, cut_points, pack
+from hearthpanel.operators.forest import FoldForest, packed_rows
 from hearthpanel.session import cut_lineage, keep_checkpoints
 
 COMMON = dict(featuresCol="features", labelCol="dep_var", weightCol=WEIGHT)
@@ -236,33 +236,34 @@ def _cross_validate(df: DataFrame, estimator: Estimator, grid: list, score, fold
         rows.unpersist()
 
 
+ROWS_AT_ONCE = 4_000_000
+
+
 def cv_multiclass(df: DataFrame, folds: int = 10, trees: int = 50, depth: int = 8, parallelism: int = 4,
-                  seed: int = 2020, only: list[int] | None = None) -> dict[int, PipelineModel]:
+                  seed: int = 2020, only: list[int] | None = None, shared: bool = True) -> dict[int, PipelineModel]:
     """The status model of every fold, or of those in `only`, fitted on the rows of the other folds; folds are by person.
 
-    The forests grow side by side over one packed set of rows (`operators/forest.py`); `parallelism` of them are written
-    at a time.
+    The forests grow side by side in passes they share (`operators/forest.py`). If not `shared`, each is a fit of Spark's
+    own, which keeps its own copy of the rows while it grows, so fewer grow side by side where there are many rows.
     """
     names = feature_names(df)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    train = _train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any")
-    rows = person_folds(train, folds, seed).select(*names, "dep_var", WEIGHT, "fold").persist()
+    train = person_folds(_train(df).withColumn("dep_var", F.col("dep_var").cast("double")).na.drop("any"), folds, seed)
     wanted = list(range(folds)) if only is None else only
-    units = None
+    settings = dict(numTrees=trees, maxDepth=depth, seed=seed, **COMMON)
+    if shared:
+        with packed_rows(train, names, WEIGHT, wanted, folds, trees) as common:
+            with ThreadPoolExecutor(parallelism) as pool:
+                fits = pool.map(lambda k: FoldForest(common, k, **settings).fit(common.units), wanted)
+                return {k: PipelineModel(stages=[assembler, m]) for k, m in zip(wanted, fits)}
+    rows = assembler.transform(train).select("features", "dep_var", WEIGHT, "fold").persist()
     try:
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dep_var").alias("top")).first()
-        tasks = max(1, -(-size.n // UNIT_ROWS))
-        parts = max(1, min(trees, -(-2 * df.sparkSession.sparkContext.defaultParallelism // tasks)))
-        cuts = cut_points(rows, names)
-        units = pack(rows, names, cuts, WEIGHT, UNIT_ROWS, parts).repartition(tasks * parts).persist()
-        shared = Shared(units, parts, wanted, folds, cuts, int(size.top) + 1)
-        forest = lambda k: FoldForest(shared, k, numTrees=trees, maxDepth=depth, seed=seed, **COMMON).fit(units)
-        with ThreadPoolExecutor(parallelism) as pool:
-            return {k: PipelineModel(stages=[assembler, m]) for k, m in zip(wanted, pool.map(forest, wanted))}
+        side = max(1, min(parallelism, ROWS_AT_ONCE // max(1, rows.count())))
+        with ThreadPoolExecutor(side) as pool:
+            fits = pool.map(lambda k: RandomForestClassifier(**settings).fit(rows.filter(F.col("fold") != k)), wanted)
+            return {k: PipelineModel(stages=[assembler, m]) for k, m in zip(wanted, fits)}
     finally:
         rows.unpersist()
-        if units is not None:
-            units.unpersist()
 
 
 def out_of_fold(models: dict[int, PipelineModel], df: DataFrame, folds: int = 10, seed: int = 2020) -> DataFrame:

@@ -17,6 +17,7 @@ import json
 import math
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 from threading import Lock
 from uuid import uuid4
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthpanel.session import shared_folder
@@ -61,7 +62,7 @@ def pack(rows: DataFrame, columns: list[str], cuts: list[list[float]], weight: s
             made += 1
             column = lambda c, kind: table[c].to_numpy().astype(kind)
             bins = b"".join(np.searchsorted(e, column(c, float), side="left").astype(np.uint8).tobytes() for c, e in zip(columns, edges))
-            values = [place * 1_000_000 + made, table.num_rows, bins, *[column(c, k).tobytes() for c, k in (("dep_var", np.uint8), ("fold", np.uint8), (weight, float))]]
+            values = [place * 1_000_000 + made, table.num_rows, bins, *[column(c, k).tobytes() for c, k in (("dep_var", np.uint8), ("fold", np.uint16), (weight, float))]]
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
             one = dict(zip(("unit", "n", "bins", "label", "fold", "weight"), ([v] for v in values)))
             arrays = {k: pa.array(v, kind) for (k, v), kind in zip(one.items(), kinds)} | {"part": pa.array([0], pa.int32())}
@@ -103,9 +104,9 @@ def _tally(roots: list[Node], level: int, sizes: list[int], classes: int, folds:
         for row in (r for batch in batches for r in batch.to_pylist()):
             n = row["n"]
             bins = np.frombuffer(row["bins"], np.uint8).reshape(len(sizes), n)
-            label, fold, weight = (np.frombuffer(row[c], k) for c, k in (("label", np.uint8), ("fold", np.uint8), ("weight", float)))
-            both = label.astype(np.int64) + classes * fold
+            label, fold, weight = (np.frombuffer(row[c], k) for c, k in (("label", np.uint8), ("fold", np.uint16), ("weight", float)))
             label = label.astype(np.int64)
+            both = label + classes * fold.astype(np.int64)
             for root in roots[row["part"]::parts]:
                 drawn = np.random.default_rng([seed, 0, root.tree, row["unit"]]).poisson(1.0, n)
                 weights = weight * drawn
@@ -266,6 +267,26 @@ class Shared:
         return self.grown[model]
 
 
+@contextmanager
+def packed_rows(train: DataFrame, columns: list[str], weight: str, models: list[int], folds: int, trees: int) -> Iterator[Shared]:
+    """The rows (columns, dep_var, fold, weight) ready for the fits of `models`, in as many tasks as keep every core busy."""
+    rows, units = train.select(*columns, "dep_var", weight, "fold").persist(), None
+    try:
+        y, w = F.col("dep_var"), F.col(weight)
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(y).alias("top"), F.count_if((y < 0) | (y != F.floor(y)) | (y >= 100) | ~(w >= 0)).alias("odd")).first()
+        if not size.n or size.odd:
+            raise ValueError(f"of {size.n} rows {size.odd} have no class 0 to 99 or a negative weight")
+        tasks = -(-size.n // UNIT_ROWS)
+        parts = max(1, min(trees, -(-2 * train.sparkSession.sparkContext.defaultParallelism // tasks)))
+        cuts = cut_points(rows, columns)
+        units = pack(rows, columns, cuts, weight, UNIT_ROWS, parts).repartition(tasks * parts).persist()
+        yield Shared(units, parts, models, folds, cuts, int(size.top) + 1)
+    finally:
+        rows.unpersist()
+        if units is not None:
+            units.unpersist()
+
+
 class FoldForest(RandomForestClassifier):
     """The forest of one fold, on the rows of the others; its model is Spark's."""
 

@@ -56,7 +56,8 @@ def cut_lineage(spark: SparkSession, df: DataFrame, *by: str) -> DataFrame:
     """
     path = f"{shared_folder(spark)}/cuts/{uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.select(df.columns) if by else back  # the columns `by` come last in files
 
 
 _WRITTEN: dict[tuple[str, str, str], tuple[str, StructType]] = {}

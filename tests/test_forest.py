@@ -39,7 +39,7 @@ def _packed(df, parts=1):
 def _unpacked(units):
     for u in units.collect():
         n = u.n
-        yield u.unit, np.frombuffer(u.bins, np.uint8).reshape(-1, n), np.frombuffer(u.label, np.uint8), np.frombuffer(u.fold, np.uint8), np.frombuffer(u.weight, float)
+        yield u.unit, np.frombuffer(u.bins, np.uint8).reshape(-1, n), np.frombuffer(u.label, np.uint8), np.frombuffer(u.fold, np.uint16), np.frombuffer(u.weight, float)
 
 
 def test_bins_hold_every_row_and_cuts_lie_between_values(frame):
@@ -128,3 +128,10 @@ def test_each_fold_is_scored_from_its_own_rows(frame):
     assert scored.count() == 3000 and scored.filter(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-9).isEmpty()
     want = {(r.pid, r.year): r.fold for r in estimation.person_folds(frame, FOLDS).collect()}
     assert {(r.pid, r.year): r.fold for r in scored.collect()} == want
+
+
+@pytest.mark.parametrize("odd", ["dep_var = 0.5", "dep_var = -1", "personweight = -1"])
+def test_labels_and_weights_that_no_forest_knows_are_refused(frame, odd):
+    name, value = odd.split(" = ")
+    with pytest.raises(ValueError, match="1 have no class"):
+        estimation.cv_multiclass(frame.withColumn(name, F.when((F.col("pid") == 3) & (F.col("year") == 2000), float(value)).otherwise(F.col(name))), folds=2, trees=1, depth=1)
